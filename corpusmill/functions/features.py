@@ -144,8 +144,8 @@ def information_density(lower_text: Column) -> Column:
     content = tx.not_stop_words(
         F.regexp_extract_all(lower_text, F.lit(rf"{tx.ALNUM}{{3,}}"), F.lit(0))
     )
-    share = F.try_divide(F.size(F.array_distinct(content)), F.size(content))
-    return F.coalesce(F.least(F.lit(1.0), share * 1.5), F.lit(0.3))
+    scaled = F.least(F.lit(1.0), tx.distinct_ratio(content) * 1.5)
+    return F.when(F.size(content) > 0, scaled).otherwise(F.lit(0.3))
 
 
 def element_coverage(text: Column, elements: Column) -> Column:

@@ -48,18 +48,15 @@ def score_and_tier(
     members = ranking.nested_tiers(narrow, tiers, key=key)
     members.write.partitionBy("tier").parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
-    chosen = quality.attach_scores(resolved, members.where(F.col("tier") == _widest(tiers)), key)
-    named = chosen.join(members.select(key, "tier"), key)
-    sinks.save_splits(mixing.with_split(named, key, seed), f"{path}/tiers", by=("tier", "split"))
+    scores = members.select(
+        key, "tier", F.col("score").alias("quality_score"), F.col("components").alias("quality_components")
+    )
+    sinks.save_splits(mixing.with_split(resolved.join(scores, key), key, seed), f"{path}/tiers", by=("tier", "split"))
     report = ranking.tier_report(members.select("tier", "rank", "score", "components.*"), quality.COMPONENTS)
     sinks.save_json(report, f"{path}/report")
     return report
 
 
-def _widest(tiers: Mapping[str, int]) -> str:
-    return max(tiers, key=tiers.get)
-
-
 def mix_corpus(
     rows: DataFrame,
     path: str,

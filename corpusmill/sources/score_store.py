@@ -30,13 +30,17 @@ def stored_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unscored_pairs(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Distinct pairs without a stored score; only keys are compared, texts are not shuffled twice."""
-    keyed = pairs.withColumn("pair_key", pair_key())
-    new = keyed.join(store.select("pair_key"), "pair_key", "left_anti")
-    # Copies of one pair combine before the shuffle.
-    return new.groupBy("pair_key").agg(
-        F.first("instruction").alias("instruction"), F.first("response").alias("response")
+    """Distinct pairs without a stored score.
+
+    Copies of a pair combine before the one shuffle of texts; the anti join then works on unique keys
+    and keeps that partitioning.
+    """
+    unique = (
+        pairs.withColumn("pair_key", pair_key())
+        .groupBy("pair_key")
+        .agg(F.first("instruction").alias("instruction"), F.first("response").alias("response"))
     )
+    return unique.join(store.select("pair_key"), "pair_key", "left_anti")
 
 
 def update_store(
