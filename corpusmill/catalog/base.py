@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import fixed
 from corpusmill.operators import formats
+from corpusmill.sources.tables import spread_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,7 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    """The documents, dealt to all cores when the scan alone would leave some idle."""
+    return spread_out(table(spark, sf_dir, "documents"))
 
 
 def conversations(spark, sf_dir):

@@ -317,11 +317,12 @@ def sentence_style(spark, sf):
     """Capitalised sentences and spread of sentence lengths."""
     rows = b.documents(spark, sf).select("doc_id", "text", tx.sentences(F.col("text")).alias("s"))
     rows = rows.withColumn("l", ft.sentence_lengths(F.col("s")))
+    rows = rows.withColumn("m", ft.length_moments(F.col("l")))
     return rows.select(
         "doc_id",
         F.coalesce(ft.capital_ratio(F.col("text"), F.size("s")), F.lit(0.0)).alias("capital_ratio"),
-        ft.length_std(F.col("l")).alias("length_std"),
-        ft.length_variation(F.col("l")).alias("length_variation"),
+        ft.length_std(F.col("m")).alias("length_std"),
+        ft.length_variation(F.col("m")).alias("length_variation"),
     )
 
 
@@ -384,7 +385,8 @@ _CONTENT = b.content("list_filter(" + b.toks("lower(text)") + r", lambda w: rege
 )
 def information_density(spark, sf):
     """Distinct share of content words."""
-    return b.documents(spark, sf).select("doc_id", ft.information_density(F.lower("text")).alias("density"))
+    rows = b.documents(spark, sf).select("doc_id", ft.content_tokens(F.lower("text")).alias("c"))
+    return rows.select("doc_id", ft.information_density(F.col("c")).alias("density"))
 
 
 @query(

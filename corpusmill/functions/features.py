@@ -49,19 +49,26 @@ def sentence_lengths(sents: Column) -> Column:
     return F.transform(sents, tx.word_count)
 
 
-def length_std(lengths: Column) -> Column:
-    """Population standard deviation of an integer array; 0 when empty."""
-    n = F.size(lengths)
-    total = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    squares = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x)
+def length_moments(lengths: Column) -> Column:
+    """Struct of count, sum and sum of squares of an integer array; make it a column of its own."""
+    zero = F.lit(0).cast("bigint")
+    return F.struct(
+        F.size(lengths).cast("bigint").alias("n"),
+        F.aggregate(lengths, zero, lambda a, x: a + x).alias("total"),
+        F.aggregate(lengths, zero, lambda a, x: a + x.cast("bigint") * x).alias("squares"),
+    )
+
+
+def length_std(moments: Column) -> Column:
+    """Population standard deviation; 0 for an empty array."""
+    n, total, squares = moments["n"], moments["total"], moments["squares"]
     # n * sum(x^2) - sum(x)^2 is an exact integer, so equal lengths give exactly 0.
-    return F.coalesce(F.sqrt(F.try_divide(n * squares - total * total, n.cast("bigint") * n)), F.lit(0.0))
+    return F.coalesce(F.sqrt(F.try_divide(n * squares - total * total, n * n)), F.lit(0.0))
 
 
-def length_variation(lengths: Column) -> Column:
-    """Spread of the sentence lengths relative to their mean plus one."""
-    mean = ratio(F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x), F.size(lengths))
-    return length_std(lengths) / (mean + 1)
+def length_variation(moments: Column) -> Column:
+    """Spread of the lengths relative to their mean plus one."""
+    return length_std(moments) / (ratio(moments["total"], moments["n"]) + 1)
 
 
 def sentence_words(sents: Column) -> Column:
@@ -87,8 +94,15 @@ def sentence_repetition(sents: Column) -> Column:
     return F.when(F.size(sents) > 1, 1 - tx.distinct_ratio(sents)).otherwise(F.lit(0.0))
 
 
+def distinct_gram_ratio(grams: Column, n_items: Column, n: int) -> Column:
+    """Distinct n-grams over all; the total follows from the number of items, so ``grams`` is built once."""
+    total = F.when(n_items >= n, n_items - (n - 1))
+    return F.coalesce(F.try_divide(F.size(F.array_distinct(grams)), total), F.lit(0.0))
+
+
 def trigram_repetition(toks: Column) -> Column:
-    return F.when(F.size(toks) > 3, 1 - tx.distinct_ratio(tx.ngrams(toks, 3))).otherwise(F.lit(0.0))
+    ratio_of_three = distinct_gram_ratio(tx.ngrams(toks, 3), F.size(toks), 3)
+    return F.when(F.size(toks) > 3, 1 - ratio_of_three).otherwise(F.lit(0.0))
 
 
 # --- endings and structure ------------------------------------------------------------------------
@@ -139,11 +153,13 @@ def is_repetitive(lower_words: Column) -> Column:
 
 
 # --- composites -----------------------------------------------------------------------------------
-def information_density(lower_text: Column) -> Column:
-    """Distinct share of the content words, scaled by 1.5 and capped at 1; 0.3 without any."""
-    content = tx.not_stop_words(
-        F.regexp_extract_all(lower_text, F.lit(rf"{tx.ALNUM}{{3,}}"), F.lit(0))
-    )
+def content_tokens(lower_text: Column) -> Column:
+    """Alphanumeric tokens of at least three characters that are not stop words."""
+    return tx.not_stop_words(F.regexp_extract_all(lower_text, F.lit(rf"{tx.ALNUM}{{3,}}"), F.lit(0)))
+
+
+def information_density(content: Column) -> Column:
+    """Distinct share of the content tokens, scaled by 1.5 and capped at 1; 0.3 without any."""
     scaled = F.least(F.lit(1.0), tx.distinct_ratio(content) * 1.5)
     return F.when(F.size(content) > 0, scaled).otherwise(F.lit(0.3))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from corpusmill.functions.fixed import SPACE_CHARS, SPACE_CLASS, STOP_WORDS
 
 SPACE = f"[{SPACE_CLASS}]"
-NON_SPACE = f"[^{SPACE_CLASS}]"
 ALNUM = r"[\p{L}\p{N}]"
 
 
@@ -27,9 +26,18 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(SPACE_CHARS))
 
 
+def spaced(text: Column) -> Column:
+    """Every white-space character as a blank."""
+    return F.translate(text, SPACE_CHARS, " " * len(SPACE_CHARS))
+
+
 def words(text: Column) -> Column:
-    """Runs of non-space characters."""
-    return _all_matches(text, f"{NON_SPACE}+")
+    """Runs of non-space characters.
+
+    Splitting at single blanks needs no regular expression and takes half the time of matching runs
+    of a Unicode class; the empty pieces between neighbouring blanks are removed.
+    """
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def word_count(text: Column) -> Column:
@@ -53,7 +61,7 @@ def tokens(text: Column) -> Column:
 
 def alnum_words(text: Column) -> Column:
     """White-space words that are alphanumeric throughout."""
-    return _all_matches(text, rf"(?<!{NON_SPACE}){ALNUM}+(?!{NON_SPACE})")
+    return _all_matches(spaced(text), rf"(?<![^ ]){ALNUM}+(?![^ ])")
 
 
 def not_stop_words(items: Column) -> Column:
@@ -82,18 +90,18 @@ def bleu_tokens(text: Column) -> Column:
 
 def syllables(text: Column) -> Column:
     """Vowel groups, and one for each word without a vowel."""
-    vowelless = rf"(?<!{NON_SPACE})[^{SPACE_CLASS}aeiouy]+(?!{NON_SPACE})"
-    return F.size(_all_matches(F.lower(text), f"[aeiouy]+|{vowelless}"))
+    return F.size(_all_matches(spaced(F.lower(text)), "[aeiouy]+|(?<![^ ])[^ aeiouy]+(?![^ ])"))
 
 
-def ngrams(items: Column, n: int, sep: str = " ") -> Column:
+def ngrams(items: Column, n: int, sep: str = " ", shorter: Column | None = None) -> Column:
     """The n-grams of an array, joined; empty when the array is shorter than ``n``.
 
-    Built by zipping the (n-1)-grams with the shifted items, so no slice is copied per position.
+    Built by zipping the (n-1)-grams (``shorter``, if they are a column already) with the shifted
+    items, so no slice is copied per position.
     """
     if n == 1:
         return items
-    shorter = ngrams(items, n - 1, sep)
+    shorter = ngrams(items, n - 1, sep) if shorter is None else shorter
     length = F.greatest(F.size(items) - (n - 1), F.lit(0))
     return F.zip_with(
         F.slice(shorter, F.lit(1), length),

@@ -84,11 +84,11 @@ def quality_proxies(
             "_lengths": ft.sentence_lengths(F.col("_sents")),
             "_sets": ft.sentence_words(F.col("_sents")),
         }
-    )
+    ).withColumn("_moments", ft.length_moments(F.col("_lengths")))
     n, s = F.col("_n"), F.col("_s")
     rows = arrays.select(
         ft.flesch_reading_ease(n, s, tx.syllables(F.col("_t"))).alias("ease"),
-        F.when(s > 1, ft.length_std(F.col("_lengths"))).alias("variation"),
+        F.when(s > 1, ft.length_std(F.col("_moments"))).alias("variation"),
         ft.coherence(F.col("_sets")).alias("coherence"),
         ft.grammar_score(F.col("_t"), n, s, F.col("_words")).alias("grammar"),
     )

@@ -26,7 +26,7 @@ def _mean(*parts: Column) -> Column:
 
 
 def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFrame:
-    """Add the shared arrays as ``_``-columns, in three projections so that none is recomputed."""
+    """Add the shared arrays as ``_``-columns, in a chain of projections so that none is recomputed."""
     texts = df.withColumns(
         {
             "_ins": F.coalesce(F.col(instruction), F.lit("")),
@@ -40,15 +40,28 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFr
             "_both": F.lower(F.concat("_ins", F.lit(" "), "_res")),
         }
     )
-    return lowered.withColumns(
+    arrays = lowered.withColumns(
         {
             "_ins_words": tx.word_count(F.col("_ins")),
             "_ins_sents": F.size(tx.sentences(F.col("_ins"))),
             "_res_sents": tx.sentences(F.col("_res_l")),
+            "_content": ft.content_tokens(F.col("_res_l")),
             "_both_words": tx.words(F.col("_both")),
             "_both_tokens": counter(F.col("_both")),
         }
-    ).withColumn("_res_lengths", ft.sentence_lengths(F.col("_res_sents")))
+    )
+    derived = arrays.withColumns(
+        {
+            "_lengths": ft.sentence_lengths(F.col("_res_sents")),
+            "_bigrams": tx.ngrams(F.col("_both_words"), 2, "_"),
+        }
+    )
+    return derived.withColumns(
+        {
+            "_moments": ft.length_moments(F.col("_lengths")),
+            "_trigrams": tx.ngrams(F.col("_both_words"), 3, "_", shorter=F.col("_bigrams")),
+        }
+    )
 
 
 def clarity() -> Column:
@@ -75,16 +88,16 @@ def clarity() -> Column:
 
 
 def response_quality() -> Column:
-    res, low = F.col("_res"), F.col("_res_l")
+    res = F.col("_res")
     asks_code = F.contains("_ins_l", F.lit("code")) | F.contains("_ins_l", F.lit("function"))
-    n = F.aggregate("_res_lengths", F.lit(0), lambda a, x: a + x)
+    n = F.col("_moments.total")
     structure = (
         0.6
         + F.when(ft.has_paragraphs(res, blank_line=False), 0.2).otherwise(0.0)
         + F.when(ft.has_list(res, bullets=True), 0.1).otherwise(0.0)
         + F.when(ft.has_code_definition(res) & asks_code, 0.1).otherwise(0.0)
     )
-    spread = ft.length_variation(F.col("_res_lengths"))
+    spread = ft.length_variation(F.col("_moments"))
     flow = F.when(
         F.size("_res_sents") > 2, F.when(spread.between(0.3, 0.7), 1.0).otherwise(0.7)
     ).otherwise(0.8)
@@ -99,7 +112,7 @@ def response_quality() -> Column:
         F.least(F.lit(1.0), structure),
         flow,
         complete,
-        ft.information_density(low),
+        ft.information_density(F.col("_content")),
     )
     return F.when(res == "", 0.0).otherwise(score)
 
@@ -110,8 +123,8 @@ def diversity() -> Column:
     vocab = F.least(F.lit(1.0), tx.distinct_ratio(toks) * 2)
     topics = tx.contains_count(F.col("_both"), fixed.COMMON_TOPICS)
     templates = tx.pattern_hits(F.col("_res_l"), fixed.TEMPLATE_PATTERNS)
-    bigrams = F.when(n >= 2, tx.distinct_ratio(tx.ngrams(words, 2, "_"))).otherwise(0.0)
-    trigrams = F.when(n >= 3, tx.distinct_ratio(tx.ngrams(words, 3, "_"))).otherwise(0.0)
+    bigrams = ft.distinct_gram_ratio(F.col("_bigrams"), n, 2)
+    trigrams = ft.distinct_gram_ratio(F.col("_trigrams"), n, 3)
     total = (
         vocab
         + bigrams

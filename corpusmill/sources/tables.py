@@ -23,6 +23,16 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | Non
     return reader.format(fmt).load(path)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores to all cores; larger scans stay as they are.
+
+    For CPU-bound work on a few row groups. At scale the scan has more splits than cores, and nothing
+    is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_subset(spark: SparkSession, path: str, column: str, name: str) -> DataFrame:
     """One named subset of a table partitioned by ``column``; other directories are not listed."""
     return spark.read.parquet(path).where(F.col(column) == name)
