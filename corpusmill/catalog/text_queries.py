@@ -258,12 +258,11 @@ def ngram_ratios(spark, sf):
 )
 def pattern_matches(spark, sf):
     """Instruction patterns (any) and template patterns (count)."""
-    t = F.col("t")
     return b.conversations(spark, sf).select("conv_id", "turn", F.lower("text").alias("t")).select(
         "conv_id",
         "turn",
-        tx.any_pattern(t, fixed.INSTRUCTION_PATTERNS).alias("is_directive"),
-        tx.pattern_hits(t, fixed.TEMPLATE_PATTERNS).alias("template_hits"),
+        tx.any_pattern("t", fixed.INSTRUCTION_PATTERNS).alias("is_directive"),
+        tx.pattern_hits("t", fixed.TEMPLATE_PATTERNS).alias("template_hits"),
     )
 
 
@@ -285,7 +284,7 @@ KEYWORDS = {
 def keyword_counts(spark, sf):
     """Presence counts for the six keyword lists."""
     rows = b.documents(spark, sf).select("doc_id", F.lower("text").alias("t"))
-    return rows.select("doc_id", *[tx.contains_count(F.col("t"), w).alias(n) for n, w in KEYWORDS.items()])
+    return rows.select("doc_id", *[tx.contains_count("t", w).alias(n) for n, w in KEYWORDS.items()])
 
 
 @query(

@@ -14,13 +14,28 @@ from corpusmill.functions import text as tx
 from corpusmill.operators.stats import finite
 
 
-def exploded_ngrams(items: Column, max_n: int) -> Column:
-    """All n-grams up to ``max_n`` as an array of (n, gram)."""
-    grams = [
-        F.transform(tx.ngrams(items, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-        for n in range(1, max_n + 1)
-    ]
-    return F.concat(*grams)
+def explode_ngrams(df: DataFrame, sides: Mapping[str, int], max_n: int, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per n-gram of the array columns ``sides``: kept columns, ``side`` (the number given for
+    the array), ``n`` and ``gram``.
+
+    Each size is built from the one before in a projection of its own; a row then becomes one short
+    row per array, which is exploded.
+    """
+    cells = []
+
+    def cell(number: int, n: int, items: str) -> Column:
+        return F.struct(F.lit(number).alias("side"), F.lit(n).alias("n"), F.col(items).alias("_grams"))
+
+    for items, number in sides.items():
+        cells.append(cell(number, 1, items))
+        last = items
+        for n in range(2, max_n + 1):
+            name = f"{items}_{n}"
+            df = df.withColumn(name, tx.ngrams(F.col(items), n, shorter=F.col(last)))
+            cells.append(cell(number, n, name))
+            last = name
+    sized = df.select(*keep, F.inline(F.array(*cells)))
+    return sized.select(*keep, "side", "n", F.explode("_grams").alias("gram"))
 
 
 def distinct_ngrams(
@@ -33,7 +48,7 @@ def distinct_ngrams(
     mergeable sketches (one row per task and n).
     """
     value = F.lower(text) if lower else F.col(text)
-    grams = df.select(tx.words(value).alias("_w")).select(F.inline(exploded_ngrams(F.col("_w"), max_n)))
+    grams = explode_ngrams(df.select(tx.words(value).alias("_w")), {"_w": 1}, max_n)
     if approximate:
         counted = grams.groupBy("n").agg(
             F.count("*").alias("total"), F.approx_count_distinct("gram", 0.01).alias("distinct")

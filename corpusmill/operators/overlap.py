@@ -12,22 +12,6 @@ from corpusmill.operators import corpus
 from corpusmill.operators.stats import finite
 
 
-def _side(items: Column, max_n: int, is_prediction: bool) -> Column:
-    grams = [
-        F.transform(
-            tx.ngrams(items, n),
-            lambda g, n=n: F.struct(
-                F.lit(n).alias("n"),
-                g.alias("gram"),
-                F.lit(int(is_prediction)).alias("p"),
-                F.lit(int(not is_prediction)).alias("r"),
-            ),
-        )
-        for n in range(1, max_n + 1)
-    ]
-    return F.concat(*grams)
-
-
 def gram_matches(
     pairs: DataFrame, key: str, prediction: str, reference: str, max_n: int, tokenizer
 ) -> DataFrame:
@@ -40,11 +24,11 @@ def gram_matches(
     tokens = placed.select(
         key, tokenizer(F.col(prediction)).alias("_p"), tokenizer(F.col(reference)).alias("_r")
     )
-    both = F.concat(_side(F.col("_p"), max_n, True), _side(F.col("_r"), max_n, False))
     counts = (
-        tokens.select(key, F.inline(both))
+        corpus.explode_ngrams(tokens, {"_p": 1, "_r": 0}, max_n, [key])
         .groupBy(key, "n", "gram")
-        .agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+        .agg(F.sum("side").alias("p"), F.count("*").alias("_all"))
+        .withColumn("r", F.col("_all") - F.col("p"))
     )
     return counts.groupBy(key, "n").agg(
         F.sum(F.least("p", "r")).alias("matches"),
@@ -169,7 +153,7 @@ def self_bleu_scores(
     tokens = picked.select("place", tx.bleu_tokens(F.col("text")).alias("_t"))
     sizes = tokens.select("place", F.size("_t").alias("length"))
     counted = (
-        tokens.select("place", F.inline(corpus.exploded_ngrams(F.col("_t"), 4)))
+        corpus.explode_ngrams(tokens, {"_t": 1}, 4, ["place"])
         .groupBy("place", "n", "gram")
         .agg(F.count("*").alias("c"))
     )
@@ -190,14 +174,19 @@ def self_bleu_scores(
         *[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("c", "clip"))), F.lit(0)).alias(f"m{n}") for n in range(1, 5)],
         *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("c"))), F.lit(0)).alias(f"t{n}") for n in range(1, 5)],
     )
-    # The shortest reference per place, from the few lengths of the first others + 1 texts.
-    lengths = sizes.where(F.col("place") <= others + 1).agg(F.collect_list(F.struct("place", "length"))).scalar()
-    shortest = F.array_min(
-        F.transform(
-            F.filter(lengths, lambda s: is_reference(s["place"], F.col("place"))), lambda s: s["length"]
-        )
+    # The shortest reference per place: each place lists its references, which are looked up by number.
+    listed = sizes.where(F.col("place") <= candidates).select(
+        "place", F.explode(F.sequence(F.lit(1), F.lit(others + 1))).alias("ref")
+    )
+    shortest = (
+        listed.where(is_reference(F.col("ref"), F.col("place")))
+        .join(sizes.select(F.col("place").alias("ref"), F.col("length").alias("_l")), "ref")
+        .groupBy("place")
+        .agg(F.min("_l").alias("_short"))
+    )
+    scored = (
+        sizes.where(F.col("place") <= candidates).join(per_n, "place", "left").join(shortest, "place", "left")
     )
-    scored = sizes.where(F.col("place") <= candidates).join(per_n, "place", "left").withColumn("_short", shortest)
     filled = scored.fillna(0)
     score = _bleu(
         [F.col(f"m{n}") for n in range(1, 5)], [F.col(f"t{n}") for n in range(1, 5)], F.col("length"), F.col("_short")

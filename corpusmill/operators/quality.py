@@ -65,9 +65,9 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFr
 
 
 def clarity() -> Column:
-    ins, low = F.col("_ins"), F.col("_ins_l")
+    ins = F.col("_ins")
     n, sents = F.col("_ins_words"), F.col("_ins_sents")
-    directive = F.contains(ins, F.lit("?")) | tx.any_pattern(low, fixed.INSTRUCTION_PATTERNS)
+    directive = F.contains(ins, F.lit("?")) | tx.any_pattern("_ins_l", fixed.INSTRUCTION_PATTERNS)
     ease = ft.flesch_reading_ease(n, sents, tx.syllables(ins))
     readable = (
         F.when(ease.isNull(), 0.7)
@@ -75,7 +75,7 @@ def clarity() -> Column:
         .when(ease > 80, 0.9)
         .otherwise(0.7 + (ease - 30) / 200)
     )
-    vague = tx.contains_count(low, fixed.VAGUE_WORDS)
+    vague = tx.contains_count("_ins_l", fixed.VAGUE_WORDS)
     capital = ft.capital_ratio(ins, sents)
     score = _mean(
         ft.instruction_length_score(n),
@@ -121,8 +121,8 @@ def diversity() -> Column:
     words, toks = F.col("_both_words"), F.col("_both_tokens")
     n = F.size(words)
     vocab = F.least(F.lit(1.0), tx.distinct_ratio(toks) * 2)
-    topics = tx.contains_count(F.col("_both"), fixed.COMMON_TOPICS)
-    templates = tx.pattern_hits(F.col("_res_l"), fixed.TEMPLATE_PATTERNS)
+    topics = tx.contains_count("_both", fixed.COMMON_TOPICS)
+    templates = tx.pattern_hits("_res_l", fixed.TEMPLATE_PATTERNS)
     bigrams = ft.distinct_gram_ratio(F.col("_bigrams"), n, 2)
     trigrams = ft.distinct_gram_ratio(F.col("_trigrams"), n, 3)
     total = (
@@ -137,19 +137,18 @@ def diversity() -> Column:
 
 
 def complexity() -> Column:
-    low, sents = F.col("_res_l"), F.col("_res_sents")
-    clauses = F.aggregate(
-        sents, F.lit(0), lambda a, s: a + tx.contains_count(s, fixed.CLAUSE_WORDS)
-    )
+    sents = F.col("_res_sents")
+    in_sentence = tx.contains_count_sql("s", fixed.CLAUSE_WORDS)
+    clauses = F.expr(f"aggregate(_res_sents, 0, (a, s) -> a + {in_sentence})")
     structure = F.when(
         F.size(sents) > 3,
         F.least(F.lit(1.0), 0.5 + F.try_divide(clauses, F.size(sents)) * 0.5),
     ).otherwise(0.6)
     return _mean(
-        F.least(F.lit(1.0), 0.5 + tx.contains_count(F.col("_ins_l"), fixed.COMPLEX_INDICATORS) * 0.25),
-        F.least(F.lit(1.0), 0.4 + tx.contains_count(low, fixed.STEP_INDICATORS) * 0.15),
-        F.least(F.lit(1.0), 0.5 + tx.contains_count(low, fixed.TECHNICAL_INDICATORS) * 0.1),
-        F.least(F.lit(1.0), 0.6 + tx.contains_count(low, fixed.KNOWLEDGE_INDICATORS) * 0.2),
+        F.least(F.lit(1.0), 0.5 + tx.contains_count("_ins_l", fixed.COMPLEX_INDICATORS) * 0.25),
+        F.least(F.lit(1.0), 0.4 + tx.contains_count("_res_l", fixed.STEP_INDICATORS) * 0.15),
+        F.least(F.lit(1.0), 0.5 + tx.contains_count("_res_l", fixed.TECHNICAL_INDICATORS) * 0.1),
+        F.least(F.lit(1.0), 0.6 + tx.contains_count("_res_l", fixed.KNOWLEDGE_INDICATORS) * 0.2),
         structure,
     )
 
