@@ -1 +1,310 @@
-"""."""
+"""Task tables, grading, and the comparison of runs and strategies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusmill.catalog import base as b
+from corpusmill.catalog.base import query, r6
+from corpusmill.functions import fixed
+from corpusmill.operators import compare, corpus, formats, grading
+
+
+def _draw(key: str, seed: int, name: str, low: int, high: int) -> str:
+    value = f"('0x'||substr(md5('{seed}:'||{key}::VARCHAR||':{name}'),1,8))::BIGINT"
+    return f"({value} % {high - low + 1} + {low})"
+
+
+def _arith(key: str, table: str) -> str:
+    def side(s: str) -> str:
+        return f"CASE WHEN op='*' THEN {_draw('k', 42, s + 'm', 2, 12)} ELSE {_draw('k', 42, s, 10, 99)} END"
+
+    return f"""SELECT k AS task_id, 'arithmetic' AS task_type, 'What is '||a||' '||op||' '||b||'?' AS prompt,
+ (CASE op WHEN '+' THEN a+b WHEN '-' THEN a-b ELSE a*b END)::VARCHAR AS answer FROM (SELECT k, op, {side('a')} AS a, {side('b')} AS b FROM (
+ SELECT {key} AS k, ['+','-','*'][{_draw(key, 42, 'op', 1, 3)}] AS op FROM {table}) x) y"""
+
+
+def _numbers(key: str, table: str) -> str:
+    return f"""SELECT k AS task_id, 'pattern_completion' AS task_type, 'Complete the pattern: '||s||', '||(s+d)||', '||(s+2*d)||', __' AS prompt, (s+3*d)::VARCHAR AS answer
+ FROM (SELECT {key} AS k, {_draw(key, 42, 'start', 1, 10)} AS s, {_draw(key, 42, 'step', 2, 5)} AS d FROM {table}) x"""
+
+
+def _letters(key: str, table: str) -> str:
+    at = [f"chr((s+{i}*d)::INT)" for i in range(4)]
+    return f"""SELECT k AS task_id, 'letter_pattern' AS task_type, 'Complete the pattern: '||{at[0]}||', '||{at[1]}||', '||{at[2]}||', __' AS prompt, {at[3]} AS answer
+ FROM (SELECT {key} AS k, {_draw(key, 42, 'letter', 65, 85)} AS s, {_draw(key, 42, 'gap', 1, 3)} AS d FROM {table}) x"""
+
+
+def order_ids(spark, sf):
+    return b.table(spark, sf, "orders").select("o_orderkey")
+
+
+@query("arithmetic_tasks", _arith("o_orderkey", "orders"))
+def arithmetic_tasks(spark, sf):
+    """One arithmetic task per order id."""
+    return grading.arithmetic_tasks(order_ids(spark, sf), "o_orderkey")
+
+
+@query("number_patterns", _numbers("o_orderkey", "orders"))
+def number_patterns(spark, sf):
+    """One number sequence per order id."""
+    return grading.number_patterns(order_ids(spark, sf), "o_orderkey")
+
+
+@query("letter_patterns", _letters("o_orderkey", "orders"))
+def letter_patterns(spark, sf):
+    """One letter sequence per order id."""
+    return grading.letter_patterns(order_ids(spark, sf), "o_orderkey")
+
+
+# Responses: right for two in three orders; every fifth writes a comma before the last digit.
+RESPONSE = """CASE WHEN task_id % 3 = 0 THEN 'I am not sure.' WHEN task_id % 5 = 0 AND length(answer) > 1
+ THEN 'It is ' || left(answer, length(answer) - 1) || ',' || right(answer, 1) || '.' ELSE 'The answer is ' || answer || '.' END"""
+TASKS = f"SELECT * FROM ({_arith('o_orderkey', 'orders')}) UNION ALL SELECT * FROM ({_numbers('o_orderkey', 'orders')}) UNION ALL SELECT * FROM ({_letters('o_orderkey', 'orders')})"
+
+
+@query(
+    "task_accuracy",
+    f"""SELECT task_type, count(*) AS total, {r6('avg(ok::INT)')} AS accuracy FROM (SELECT task_type, CASE task_type WHEN 'arithmetic' THEN contains(replace(response,',',''), answer)
+ WHEN 'letter_pattern' THEN contains(response, answer) ELSE contains(lower(response), answer) END AS ok FROM (SELECT *, {RESPONSE} AS response FROM ({TASKS}) t) u) v GROUP BY task_type""",
+)
+def task_accuracy(spark, sf):
+    """Accuracy per task type of generated tasks with derived responses."""
+    ids = order_ids(spark, sf)
+    made = [f(ids, "o_orderkey") for f in (grading.arithmetic_tasks, grading.number_patterns, grading.letter_patterns)]
+    rows = []
+    for tasks in made:
+        keys = grading.generated_keys(tasks)
+        responses = tasks.select("task_id", F.expr(RESPONSE).alias("response"))
+        rows.append(grading.graded(responses, keys).select("task_type", "correct"))
+    return grading.accuracy(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+def _keys_sql(keys) -> str:
+    rows = ", ".join(
+        f"({i}, '{t}', '{rule}', {b.text_list(words)}, {k})" for i, (t, _, rule, words, k) in enumerate(keys)
+    )
+    return f"(VALUES {rows}) k(task_id, task_type, rule, tokens, k)"
+
+
+_HITS = "len(list_filter(tokens, lambda t: contains({t}, t)))"
+_OFTEN = "len(list_filter(tokens, lambda t: (length(response)-length(replace(response, t, '')))/length(t) >= k)) > 0"
+_OK = f"""CASE rule WHEN 'all' THEN {_HITS.format(t='lower(response)')}=len(tokens) WHEN 'all_cs' THEN {_HITS.format(t='response')}=len(tokens)
+ WHEN 'at_least' THEN {_HITS.format(t='lower(response)')}>=k WHEN 'count' THEN {_OFTEN} ELSE {_HITS.format(t='lower(response)')}>=1 END"""
+
+
+def document_responses(spark, sf, n_keys: int):
+    """Every document answers one task of a key."""
+    return b.documents(spark, sf).select("doc_id", (F.col("doc_id") % n_keys).alias("task_id"), F.col("text").alias("response"))
+
+
+def _answers_sql(keys) -> str:
+    return f"SELECT doc_id, task_type, rule, ({_OK}) AS correct FROM (SELECT doc_id, text AS response, task_type, rule, tokens, k FROM documents JOIN {_keys_sql(keys)} ON doc_id % {len(keys)} = task_id) t"
+
+
+@query("answer_checks", _answers_sql(fixed.ANSWER_KEYS))
+def answer_checks(spark, sf):
+    """Documents graded against the fixed answer keys."""
+    keys = grading.fixed_keys(spark)
+    rows = grading.graded(document_responses(spark, sf, len(fixed.ANSWER_KEYS)), keys)
+    return rows.select("doc_id", "task_type", "rule", "correct")
+
+
+_PAD = r"' '||regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')||' '"
+
+
+@query(
+    "answer_checks_whole_words",
+    f"""SELECT doc_id, correct FROM (SELECT doc_id, CASE rule WHEN 'all' THEN hits=len(tokens) WHEN 'at_least' THEN hits>=k ELSE hits>=1 END AS correct FROM (
+ SELECT doc_id, rule, tokens, k, len(list_filter(tokens, lambda t: contains(padded, {_PAD.format(t='t')}))) AS hits FROM (
+ SELECT doc_id, {_PAD.format(t='lower(text)')} AS padded, rule, tokens, k FROM documents JOIN {_keys_sql(fixed.ANSWER_KEYS)} ON doc_id % {len(fixed.ANSWER_KEYS)} = task_id) x) y) z""",
+)
+def answer_checks_whole_words(spark, sf):
+    """The same with tokens matched as whole words."""
+    rows = grading.graded(document_responses(spark, sf, len(fixed.ANSWER_KEYS)), grading.fixed_keys(spark), whole_words=True)
+    return rows.select("doc_id", "correct")
+
+
+@query(
+    "few_shot_accuracy",
+    f"SELECT task_type, count(*) AS total, {r6('avg(correct::INT)')} AS accuracy FROM ({_answers_sql(fixed.FEW_SHOT_KEYS)}) t GROUP BY task_type",
+)
+def few_shot_accuracy(spark, sf):
+    """Few-shot keys, one accuracy per task name."""
+    keys = grading.fixed_keys(spark, fixed.FEW_SHOT_KEYS)
+    return grading.accuracy(grading.graded(document_responses(spark, sf, len(fixed.FEW_SHOT_KEYS)), keys))
+
+
+@query(
+    "capability_accuracy",
+    f"SELECT task_type, count(*) AS total, {r6('avg(correct::INT)')} AS accuracy FROM ({_answers_sql(fixed.CAPABILITY_KEYS)}) t GROUP BY task_type",
+)
+def capability_accuracy(spark, sf):
+    """Capability suites, with newline and bullet counts."""
+    keys = grading.fixed_keys(spark, fixed.CAPABILITY_KEYS)
+    return grading.accuracy(grading.graded(document_responses(spark, sf, len(fixed.CAPABILITY_KEYS)), keys))
+
+
+@query(
+    "answer_consistency",
+    f"SELECT source AS prompt, count(*) AS n_responses, {r6('1e0/count(DISTINCT split_part(text, chr(10), 1))')} AS consistency FROM documents GROUP BY source",
+)
+def answer_consistency(spark, sf):
+    """One over the distinct responses of each prompt (first lines of each source)."""
+    rows = b.documents(spark, sf).select(
+        F.col("source").alias("prompt"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("response")
+    )
+    return grading.answer_consistency(rows)
+
+
+_WORDS = f"list_distinct({b.content(b.alnum('lower({t})'))})"
+
+
+@query(
+    "answer_robustness",
+    f"""SELECT conv_id, count(*) AS n_variants, {r6('avg(sim)')} AS robustness FROM (SELECT v.conv_id, {b.jac('bw', 'vw')} AS sim FROM
+ (SELECT conv_id, {_WORDS.replace('{t}', 'text')} AS vw FROM conversations WHERE role='user') v
+ JOIN (SELECT conv_id, {_WORDS.replace('{t}', "arg_min(text, turn)")} AS bw FROM conversations WHERE role='assistant' GROUP BY conv_id) a USING (conv_id)) t GROUP BY conv_id""",
+)
+def answer_robustness(spark, sf):
+    """Similarity of every user turn of a chat with the first assistant turn."""
+    turns = b.conversations(spark, sf)
+    base = formats.first_exchange(turns).where(F.col("response").isNotNull()).select("conv_id", F.col("response").alias("base_response"))
+    variants = turns.where(F.col("role") == "user").select("conv_id", F.col("text").alias("response"))
+    return grading.answer_robustness(variants, base, "conv_id")
+
+
+# --- runs ------------------------------------------------------------------------------------------
+# A run per level, size and order priority; its metrics are means over the orders.
+RUN_NAME = f"CASE o_custkey % 4 WHEN 0 THEN 'ultra_' WHEN 1 THEN 'high_' WHEN 2 THEN 'medium_' ELSE 'plain_' END || CASE o_orderkey % 3 WHEN 0 THEN '10k_' WHEN 1 THEN '100k_' ELSE '1M_' END || o_orderpriority"
+OTHER = "'replay_high_100k_' || o_orderstatus"
+LABELS = """CASE WHEN contains(experiment,'10k') THEN 10000 WHEN contains(experiment,'100k') THEN 100000 WHEN contains(experiment,'1M') THEN 1000000 END::BIGINT AS dataset_size,
+ CASE WHEN contains(experiment,'ultra') THEN 'ultra_high' WHEN contains(experiment,'high') THEN 'high' WHEN contains(experiment,'medium') THEN 'medium' END AS quality_level"""
+RUNS = f"""runs AS (SELECT *, {LABELS} FROM (SELECT {RUN_NAME} AS experiment, avg(o_totalprice/1e4) AS weighted_avg_perplexity, avg(o_custkey % 10) AS quality_mean FROM orders GROUP BY 1
+ UNION ALL SELECT {OTHER}, avg(o_totalprice/2e4), NULL FROM orders GROUP BY 1) t)"""
+
+
+def runs(spark, sf):
+    """Two families of runs, the second without a quality column."""
+    orders = b.table(spark, sf, "orders")
+    price = F.col("o_totalprice")
+    first = orders.groupBy(F.expr(RUN_NAME).alias("experiment")).agg(
+        F.avg(price / 1e4).alias("weighted_avg_perplexity"), F.avg(F.col("o_custkey") % 10).alias("quality_mean")
+    )
+    second = orders.groupBy(F.expr(OTHER).alias("experiment")).agg(F.avg(price / 2e4).alias("weighted_avg_perplexity"))
+    return compare.comparison_table([first, second])
+
+
+@query(
+    "run_comparison",
+    f"WITH {RUNS} SELECT experiment, {r6('weighted_avg_perplexity')} AS weighted_avg_perplexity, {r6('quality_mean')} AS quality_mean, dataset_size, quality_level FROM runs",
+)
+def run_comparison(spark, sf):
+    """One labelled row per run."""
+    return runs(spark, sf)
+
+
+@query(
+    "size_quality_pivot",
+    f"""WITH {RUNS} SELECT dataset_size, {", ".join(f"{r6(f"avg(weighted_avg_perplexity) FILTER (WHERE quality_level='{q}')")} AS {q}" for q in compare.QUALITY_LEVELS)} FROM runs GROUP BY dataset_size""",
+)
+def size_quality_pivot(spark, sf):
+    """Perplexity by size and level."""
+    return compare.size_quality_pivot(runs(spark, sf))
+
+
+@query(
+    "tradeoff_curve",
+    f"""WITH {RUNS}, p AS (SELECT quality_level, dataset_size, avg(weighted_avg_perplexity) AS v FROM runs GROUP BY ALL)
+ SELECT quality_level, dataset_size, {r6('v')} AS weighted_avg_perplexity, {r6('v - lag(v) OVER (PARTITION BY quality_level ORDER BY dataset_size)')} AS delta FROM p""",
+)
+def tradeoff_curve(spark, sf):
+    """Perplexity by size within each level."""
+    return compare.tradeoff_curve(runs(spark, sf))
+
+
+PERF = """SELECT CASE c_custkey % 3 WHEN 0 THEN 'ultra_high_10k' WHEN 1 THEN 'high_100k' ELSE 'medium_1m' END AS tier, c_custkey AS run,
+ 1000*(c_custkey % 50) AS data_size, 10 + abs(c_acctbal)/200 AS eval_perplexity, (c_custkey % 7)*60e0 AS train_time FROM customer"""
+
+
+def performance_runs(spark, sf):
+    k = F.col("c_custkey")
+    return b.table(spark, sf, "customer").select(
+        F.when(k % 3 == 0, "ultra_high_10k").when(k % 3 == 1, "high_100k").otherwise("medium_1m").alias("tier"),
+        k.alias("run"),
+        ((k % 50) * 1000).alias("data_size"),
+        (10 + F.abs("c_acctbal") / 200).alias("eval_perplexity"),
+        ((k % 7) * 60.0).alias("train_time"),
+    )
+
+
+@query(
+    "size_performance",
+    f"""SELECT run, {r6('1e0/nullif(eval_perplexity*data_size,0)')} AS performance_per_sample, {r6('train_time/nullif(data_size,0)')} AS training_efficiency,
+ {r6('train_time*20e0/eval_perplexity')} AS time_to_threshold, {r6('data_size/nullif(100e0-eval_perplexity,0)')} AS samples_per_point FROM ({PERF}) t""",
+)
+def size_performance(spark, sf):
+    """Efficiency figures of every run."""
+    made = compare.size_performance(performance_runs(spark, sf))
+    return made.select("run", "performance_per_sample", "training_efficiency", "time_to_threshold", "samples_per_point")
+
+
+@query(
+    "quality_threshold",
+    f"""SELECT CASE WHEN u < h*0.9e0 THEN 'ultra_high' WHEN h < m*0.9e0 THEN 'high' ELSE 'medium' END AS quality_threshold FROM (
+ SELECT avg(eval_perplexity) FILTER (WHERE tier='ultra_high_10k') AS u, avg(eval_perplexity) FILTER (WHERE tier='high_100k') AS h, avg(eval_perplexity) FILTER (WHERE tier='medium_1m') AS m FROM ({PERF}) t) x""",
+)
+def quality_threshold(spark, sf):
+    """The tier after which better data stops paying."""
+    return compare.quality_threshold(performance_runs(spark, sf))
+
+
+RESULTS = "SELECT source AS strategy, lang AS capability, n_chars/1000e0 AS score FROM documents"
+
+
+def results(spark, sf):
+    return b.table(spark, sf, "documents").select(
+        F.col("source").alias("strategy"), F.col("lang").alias("capability"), (F.col("n_chars") / 1000.0).alias("score")
+    )
+
+
+@query(
+    "best_strategies",
+    f"""WITH c AS (SELECT strategy, capability, avg(score) AS score FROM ({RESULTS}) t GROUP BY ALL),
+ e AS (SELECT 'overall' AS capability, strategy, avg(score) AS score FROM c GROUP BY strategy UNION ALL SELECT capability, strategy, score FROM c)
+ SELECT capability, strategy, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY capability ORDER BY score DESC, strategy) AS k FROM e) t WHERE k=1""",
+)
+def best_strategies(spark, sf):
+    """Best strategy overall and per capability."""
+    return compare.best_strategies(results(spark, sf))
+
+
+@query(
+    "source_contribution",
+    f"""WITH base AS (SELECT capability, avg(score) AS s FROM ({RESULTS}) t GROUP BY capability), ab AS (SELECT strategy AS removed, capability, avg(score) AS s FROM ({RESULTS}) t GROUP BY ALL),
+ d AS (SELECT removed, capability, base.s-ab.s AS "drop" FROM ab JOIN base USING (capability))
+ SELECT removed, capability, {r6('"drop"')} AS "drop", first_value(capability) OVER (PARTITION BY removed ORDER BY "drop" DESC, capability) AS main_contribution FROM d""",
+)
+def source_contribution(spark, sf):
+    """Loss per capability without each source."""
+    rows = results(spark, sf)
+    baseline = rows.groupBy("capability").agg(F.avg("score").alias("score"))
+    ablations = rows.groupBy(F.col("strategy").alias("removed"), "capability").agg(F.avg("score").alias("score"))
+    return compare.source_contribution(baseline, ablations)
+
+
+@query(
+    "model_composite",
+    f"""SELECT source, {r6('(g*0.4e0 + CASE WHEN t IS NULL THEN 0 ELSE t*0.4e0 END + d*0.2e0) / (0.6e0 + CASE WHEN t IS NULL THEN 0 ELSE 0.4e0 END)')} AS overall_score FROM (
+ SELECT source, avg(n_chars % 100)/100e0 AS g, CASE WHEN max(n_chars) < 15000 THEN avg(n_chars % 10)/10e0 END AS t, avg(n_chars % 50)/50e0 AS d FROM documents GROUP BY source) x""",
+)
+def model_composite(spark, sf):
+    """Weighted overall score per source, renormalised where the task part is missing."""
+    n = F.col("n_chars")
+    rows = b.table(spark, sf, "documents").groupBy("source").agg(
+        (F.avg(n % 100) / 100).alias("quality_score"),
+        F.when(F.max("n_chars") < 15000, F.avg(n % 10) / 10).alias("task_performance"),
+        (F.avg(n % 50) / 50).alias("diversity_score"),
+    )
+    parts = {c: F.col(c) for c in ("quality_score", "task_performance", "diversity_score")}
+    return rows.select("source", corpus.overall_score(parts).alias("overall_score"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import fixed
 from corpusmill.functions.text import seeded_key
 from corpusmill.operators.ranking import rank_rows
+from corpusmill.session import keep
 
 _CELL_SHIFT = 20  # 32-bit hash -> 4096 cells
 _CELLS = 4096
@@ -43,29 +44,31 @@ def nth_rows(
     if not needs:
         return {}
     wanted = F.create_map(*[F.lit(x) for g, ns in needs.items() for x in (g, ns)])
-    narrow = df.select(by, F.col(key).alias("_key"), place.alias("_place"), cell.alias("_cell")).where(
-        F.col(by).isin(list(needs))
+    # Kept as a narrow table, so that the texts (and their formatter) are scanned once here.
+    narrow = keep(
+        df.where(F.col(by).isin(list(needs))).select(
+            by, F.col(key).alias("_key"), place.alias("_place"), cell.cast("bigint").alias("_slot")
+        ),
+        "places",
     )
-    counts = narrow.groupBy(by, "_cell").agg(F.count("*").alias("_rows"))
-    running = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = narrow.groupBy(by, "_slot").agg(F.count("*").alias("_rows"))
+    running = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
     runs = counts.withColumn("_run", F.sum("_rows").over(running))
     hits = (
-        runs.select(by, "_cell", "_rows", "_run", F.explode(wanted[F.col(by)]).alias("_n"))
+        runs.select(by, "_slot", "_rows", "_run", F.explode(wanted[F.col(by)]).alias("_n"))
         .where((F.col("_run") >= F.col("_n")) & (F.col("_run") - F.col("_rows") < F.col("_n")))
-        .select(by, "_cell", (F.col("_n") - F.col("_run") + F.col("_rows")).alias("_inside"), "_n")
+        .select(by, "_slot", (F.col("_n") - F.col("_run") + F.col("_rows")).alias("_inside"), "_n")
         .collect()
     )
     if not hits:
         return {}
     group_type = dict(df.dtypes)[by]
     targets = F.broadcast(
-        spark.createDataFrame(hits, f"{by} {group_type}, _cell bigint, _inside bigint, _n bigint")
+        spark.createDataFrame(hits, f"{by} {group_type}, _slot bigint, _inside bigint, _n bigint")
     )
-    candidates = narrow.withColumn("_cell", F.col("_cell").cast("bigint")).join(
-        targets.select(by, "_cell").distinct(), [by, "_cell"], "left_semi"
-    )
-    ranked = rank_rows(candidates, [F.col("_place").asc(), F.col("_key").asc()], [by, "_cell"])
-    found = ranked.join(targets, [by, "_cell"]).where(F.col("rank") == F.col("_inside"))
+    candidates = narrow.join(targets.select(by, "_slot").distinct(), [by, "_slot"], "left_semi")
+    ranked = rank_rows(candidates, [F.col("_place").asc(), F.col("_key").asc()], [by, "_slot"])
+    found = ranked.join(targets, [by, "_slot"]).where(F.col("rank") == F.col("_inside"))
     return {(r[by], r["_n"]): (r["_place"], r["_key"]) for r in found.select(by, "_n", "_place", "_key").collect()}
 
 
