@@ -40,13 +40,13 @@ def flesch_kincaid_grade(n_words: Column, n_sents: Column, n_syllables: Column)
 
 
 # --- sentences ------------------------------------------------------------------------------------
-def capital_ratio(text: Column, n_sents: Column) -> Column:
+def capital_ratio(text: Column, n_sents: Column, plain: bool = False) -> Column:
     """Share of sentences that start with an upper-case letter; NULL without sentences."""
-    return F.try_divide(tx.capital_sentences(text), n_sents)
+    return F.try_divide(tx.capital_sentences(text, plain), n_sents)
 
 
-def sentence_lengths(sents: Column) -> Column:
-    return F.transform(sents, tx.word_count)
+def sentence_lengths(sents: Column, plain: bool = False) -> Column:
+    return F.transform(sents, lambda s: tx.word_count(s, plain))
 
 
 def length_moments(lengths: Column) -> Column:
@@ -71,10 +71,10 @@ def length_variation(moments: Column) -> Column:
     return length_std(moments) / (ratio(moments["total"], moments["n"]) + 1)
 
 
-def sentence_words(sents: Column) -> Column:
+def sentence_words(sents: Column, plain: bool = False) -> Column:
     """Per sentence its set of alphanumeric lower-case words that are not stop words."""
     return F.transform(
-        sents, lambda s: F.array_distinct(tx.not_stop_words(tx.alnum_words(F.lower(s))))
+        sents, lambda s: F.array_distinct(tx.not_stop_words(tx.alnum_words(F.lower(s), plain)))
     )
 
 
@@ -107,12 +107,18 @@ def trigram_repetition(toks: Column) -> Column:
 
 # --- endings and structure ------------------------------------------------------------------------
 def ends_properly(text: Column) -> Column:
-    return tx.strip(text).rlike(r"[.!?]\z")
+    """The last character is ``.``, ``!`` or ``?``; looks at the end only."""
+    return F.substring(tx.rstrip(text), -1, 1).isin(".", "!", "?")
 
 
 def ends_open(text: Column, with_the: bool = True) -> Column:
     """Stops on a comma, a semicolon or a conjunction."""
-    return tx.strip(text).rlike(r"(?:,|;|and|or|the)\z" if with_the else r"(?:,|;|and|or)\z")
+    end = tx.rstrip(text)
+    open_ends = [",", ";", "and", "or", *(["the"] if with_the else [])]
+    found = F.lit(False)
+    for piece in open_ends:
+        found = found | F.endswith(end, F.lit(piece))
+    return found
 
 
 def has_paragraphs(text: Column, blank_line: bool = True) -> Column:
@@ -182,12 +188,14 @@ def punctuation_ratio(text: Column) -> Column:
     return ratio(marks, F.length(text))
 
 
-def grammar_score(text: Column, n_words: Column, n_sents: Column, lower_words: Column) -> Column:
+def grammar_score(
+    text: Column, n_words: Column, n_sents: Column, lower_words: Column, plain: bool = False
+) -> Column:
     """Capitals, punctuation, sentence length near 17.5 words and varied vocabulary, at most 1."""
     mean_length = F.try_divide(n_words, n_sents)
     length_part = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean_length - 17.5) / 17.5)
     return F.least(
-        F.lit(0.3) * F.coalesce(capital_ratio(text, n_sents), F.lit(0.0))
+        F.lit(0.3) * F.coalesce(capital_ratio(text, n_sents, plain), F.lit(0.0))
         + F.lit(0.2) * F.least(punctuation_ratio(text) * 20, F.lit(1.0))
         + F.lit(0.3) * F.when(n_sents > 0, length_part).otherwise(F.lit(0.0))
         + F.lit(0.2) * tx.distinct_ratio(lower_words),

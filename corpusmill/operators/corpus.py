@@ -90,22 +90,31 @@ def quality_proxies(
     Grammar covers the whole table unless ``grammar_sample`` asks for the first rows by ``key``.
     """
     base = df.select(F.col(text).alias("_t"), *([F.col(key).alias("_k")] if key else []))
-    arrays = base.withColumns(
-        {"_words": tx.words(F.lower("_t")), "_sents": tx.sentences(F.col("_t"))}
-    ).withColumns(
-        {
-            "_n": F.size("_words"),
-            "_s": F.size("_sents"),
-            "_lengths": ft.sentence_lengths(F.col("_sents")),
-            "_sets": ft.sentence_words(F.col("_sents")),
-        }
-    ).withColumn("_moments", ft.length_moments(F.col("_lengths")))
+    arrays = (
+        base.withColumn("_p", tx.spaced(F.col("_t")))
+        .withColumns(
+            {
+                "_words": tx.words(F.lower("_p"), plain=True),
+                "_sents": tx.sentences(F.col("_p"), plain=True),
+                "_y": tx.syllables(F.col("_p"), plain=True),
+            }
+        )
+        .withColumns(
+            {
+                "_n": F.size("_words"),
+                "_s": F.size("_sents"),
+                "_lengths": ft.sentence_lengths(F.col("_sents"), plain=True),
+                "_sets": ft.sentence_words(F.col("_sents"), plain=True),
+            }
+        )
+        .withColumn("_moments", ft.length_moments(F.col("_lengths")))
+    )
     n, s = F.col("_n"), F.col("_s")
     rows = arrays.select(
-        ft.flesch_reading_ease(n, s, tx.syllables(F.col("_t"))).alias("ease"),
+        ft.flesch_reading_ease(n, s, F.col("_y")).alias("ease"),
         F.when(s > 1, ft.length_std(F.col("_moments"))).alias("variation"),
         ft.coherence(F.col("_sets")).alias("coherence"),
-        ft.grammar_score(F.col("_t"), n, s, F.col("_words")).alias("grammar"),
+        ft.grammar_score(F.col("_p"), n, s, F.col("_words"), plain=True).alias("grammar"),
     )
 
     def mean(name: str) -> Column:
@@ -127,10 +136,10 @@ def quality_proxies(
 
 def grammar_rows(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """The grammar score of every text as ``grammar``."""
-    arrays = df.select(*keep, F.col(text).alias("_t")).withColumns(
-        {"_words": tx.words(F.lower("_t")), "_s": F.size(tx.sentences(F.col("_t")))}
+    arrays = df.select(*keep, tx.spaced(F.col(text)).alias("_p")).withColumns(
+        {"_words": tx.words(F.lower("_p"), plain=True), "_s": F.size(tx.sentences(F.col("_p"), plain=True))}
     )
-    score = ft.grammar_score(F.col("_t"), F.size("_words"), F.col("_s"), F.col("_words"))
+    score = ft.grammar_score(F.col("_p"), F.size("_words"), F.col("_s"), F.col("_words"), plain=True)
     return arrays.select(*keep, score.alias("grammar"))
 
 

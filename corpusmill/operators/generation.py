@@ -47,12 +47,13 @@ def output_metrics(
     """All row metrics of an output. Tokens and sentences are columns of an earlier projection."""
     t = F.col(text)
     expected = F.col(elements) if elements else F.lit(None).cast("array<string>")
-    arrays = df.select(*dict.fromkeys([*keep, text]), expected.alias("_expected")).withColumns(
+    base = df.select(*dict.fromkeys([*keep, text]), expected.alias("_expected"), tx.spaced(t).alias("_p"))
+    arrays = base.withColumns(
         {
-            "_n": tx.word_count(t),
+            "_n": tx.word_count(F.col("_p"), plain=True),
             "_sents": tx.sentences(t),
-            "_tokens": tx.tokens(F.lower(t)),
-            "_syllables": tx.syllables(t),
+            "_tokens": tx.tokens(F.lower("_p"), plain=True),
+            "_syllables": tx.syllables(F.col("_p"), plain=True),
         }
     )
     n, sents, toks = F.col("_n"), F.col("_sents"), F.col("_tokens")

@@ -6,7 +6,7 @@ sentences, tokens) are columns of an earlier projection, so each text is tokenis
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,31 +33,40 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFr
             "_res": F.coalesce(F.col(response), F.lit("")),
         }
     )
-    lowered = texts.withColumns(
+    cleaned = texts.withColumns(
         {
             "_ins_l": F.lower("_ins"),
             "_res_l": F.lower("_res"),
-            "_both": F.lower(F.concat("_ins", F.lit(" "), "_res")),
+            "_ins_s": tx.spaced(F.col("_ins")),
+            "_res_s": F.lower(tx.spaced(F.col("_res"))),
+        }
+    ).withColumns(
+        {
+            "_both": F.concat("_ins_l", F.lit(" "), "_res_l"),
+            "_both_s": F.concat(F.lower("_ins_s"), F.lit(" "), "_res_s"),
         }
     )
-    arrays = lowered.withColumns(
+    arrays = cleaned.withColumns(
         {
-            "_ins_words": tx.word_count(F.col("_ins")),
-            "_ins_sents": F.size(tx.sentences(F.col("_ins"))),
-            "_res_sents": tx.sentences(F.col("_res_l")),
-            "_content": ft.content_tokens(F.col("_res_l")),
-            "_both_words": tx.words(F.col("_both")),
-            "_both_tokens": counter(F.col("_both")),
+            "_ins_words": tx.word_count(F.col("_ins_s"), plain=True),
+            "_ins_sents": F.size(tx.sentences(F.col("_ins_s"), plain=True)),
+            "_res_sents": tx.sentences(F.col("_res_s"), plain=True),
+            "_content": ft.content_tokens(F.col("_res_s")),
+            "_both_words": tx.words(F.col("_both_s"), plain=True),
+            "_both_tokens": counter(F.col("_both")) if counter else tx.tokens(F.col("_both_s"), plain=True),
         }
     )
     derived = arrays.withColumns(
         {
-            "_lengths": ft.sentence_lengths(F.col("_res_sents")),
+            "_lengths": ft.sentence_lengths(F.col("_res_sents"), plain=True),
             "_bigrams": tx.ngrams(F.col("_both_words"), 2, "_"),
         }
     )
     return derived.withColumns(
         {
+            "_ins_ease": ft.flesch_reading_ease(
+                F.col("_ins_words"), F.col("_ins_sents"), tx.syllables(F.col("_ins_s"), plain=True)
+            ),
             "_moments": ft.length_moments(F.col("_lengths")),
             "_trigrams": tx.ngrams(F.col("_both_words"), 3, "_", shorter=F.col("_bigrams")),
         }
@@ -68,7 +77,7 @@ def clarity() -> Column:
     ins = F.col("_ins")
     n, sents = F.col("_ins_words"), F.col("_ins_sents")
     directive = F.contains(ins, F.lit("?")) | tx.any_pattern("_ins_l", fixed.INSTRUCTION_PATTERNS)
-    ease = ft.flesch_reading_ease(n, sents, tx.syllables(ins))
+    ease = F.col("_ins_ease")
     readable = (
         F.when(ease.isNull(), 0.7)
         .when(ease < 30, 0.6)
@@ -76,7 +85,7 @@ def clarity() -> Column:
         .otherwise(0.7 + (ease - 30) / 200)
     )
     vague = tx.contains_count("_ins_l", fixed.VAGUE_WORDS)
-    capital = ft.capital_ratio(ins, sents)
+    capital = ft.capital_ratio(F.col("_ins_s"), sents, plain=True)
     score = _mean(
         ft.instruction_length_score(n),
         F.when(directive, 1.0).otherwise(0.6),
@@ -166,11 +175,12 @@ def score_components(
     instruction: str = "instruction",
     response: str = "response",
     only: list[str] | None = None,
-    counter=tx.tokens,
+    counter: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add one column per quality dimension.
 
-    ``counter`` turns a text column into a token array; pass a ``pandas_udf`` to plug in a tokenizer.
+    ``counter`` turns a text column into a token array (``text.tokens`` by default); pass a
+    ``pandas_udf`` to plug in a tokenizer.
     """
     wanted = only or COMPONENTS
     scored = _prepared(df, instruction, response, counter).withColumns(
@@ -191,7 +201,7 @@ def score_pairs(
     instruction: str = "instruction",
     response: str = "response",
     weights: Mapping[str, float] = fixed.DIMENSION_WEIGHTS,
-    counter=tx.tokens,
+    counter: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add ``score`` and the struct ``components`` to every pair."""
     scored = score_components(df, instruction, response, counter=counter)
