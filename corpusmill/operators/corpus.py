@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import features as ft
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
+from corpusmill.operators.ranking import first_rows
 from corpusmill.operators.stats import finite
 
 
@@ -128,7 +129,7 @@ def quality_proxies(
     )
     if grammar_sample is None:
         return result
-    sample = grammar_rows(df.orderBy(key).limit(grammar_sample), text).agg(
+    sample = grammar_rows(first_rows(df, grammar_sample, key), text).agg(
         F.coalesce(F.avg("grammar"), F.lit(0.0)).alias("g")
     )
     return result.withColumn("grammar_score", sample.scalar())

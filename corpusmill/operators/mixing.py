@@ -1,9 +1,8 @@
 """Splits, quotas and mixes of sources, drawn by a seeded hash of the row id.
 
-A quota sample needs the n-th smallest (hash, id) of a source, not the order of all its rows. Rows are
-counted in hash cells, only the cell that holds the n-th row is ranked, and the row found there is an
-exact bound that the big table is filtered by. Sources of any size cost one narrow counting pass and
-no shuffle of texts.
+A quota sample needs the n-th smallest (hash, id) of a source, not the order of all its rows.
+``ranking.nth_rows`` finds it, and it is an exact bound that the big table is filtered by: sources of
+any size cost one narrow counting pass and no shuffle of texts.
 """
 
 from __future__ import annotations
@@ -11,17 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions.text import seeded_key
-from corpusmill.operators.ranking import rank_rows
-from corpusmill.session import keep
-
-_CELL_SHIFT = 20  # 32-bit hash -> 4096 cells
-_CELLS = 4096
-
+from corpusmill.operators.ranking import hash_cell, id_cell, not_after, nth_rows
 
 def with_split(df: DataFrame, key: str, seed: int = 42, validation: float = 0.05) -> DataFrame:
     """Add ``split`` (train/validation) from the row's hash: row by row, stable when rows are added."""
@@ -30,72 +24,15 @@ def with_split(df: DataFrame, key: str, seed: int = 42, validation: float = 0.05
     return df.withColumn("split", F.when(part < cut, "validation").otherwise("train"))
 
 
-def nth_rows(
-    df: DataFrame, by: str, key: str, place: Column, cell: Column, needs: Mapping[str, Sequence[int]]
-) -> dict[tuple[str, int], tuple[int, int]]:
-    """(group, n) -> (place, key) of the group's n-th row in that order; groups with fewer rows have none.
-
-    ``cell`` must not decrease with ``place`` and take about 4096 values. What reaches the driver is
-    at most one row per requested n.
-    """
-    spark = df.sparkSession
-    needs = {g: sorted({n for n in ns if n > 0}) for g, ns in needs.items()}
-    needs = {g: ns for g, ns in needs.items() if ns}
-    if not needs:
-        return {}
-    wanted = F.create_map(*[F.lit(x) for g, ns in needs.items() for x in (g, ns)])
-    # Kept as a narrow table, so that the texts (and their formatter) are scanned once here.
-    narrow = keep(
-        df.where(F.col(by).isin(list(needs))).select(
-            by, F.col(key).alias("_key"), place.alias("_place"), cell.cast("bigint").alias("_slot")
-        ),
-        "places",
-    )
-    counts = narrow.groupBy(by, "_slot").agg(F.count("*").alias("_rows"))
-    running = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    runs = counts.withColumn("_run", F.sum("_rows").over(running))
-    hits = (
-        runs.select(by, "_slot", "_rows", "_run", F.explode(wanted[F.col(by)]).alias("_n"))
-        .where((F.col("_run") >= F.col("_n")) & (F.col("_run") - F.col("_rows") < F.col("_n")))
-        .select(by, "_slot", (F.col("_n") - F.col("_run") + F.col("_rows")).alias("_inside"), "_n")
-        .collect()
-    )
-    if not hits:
-        return {}
-    group_type = dict(df.dtypes)[by]
-    targets = F.broadcast(
-        spark.createDataFrame(hits, f"{by} {group_type}, _slot bigint, _inside bigint, _n bigint")
-    )
-    candidates = narrow.join(targets.select(by, "_slot").distinct(), [by, "_slot"], "left_semi")
-    ranked = rank_rows(candidates, [F.col("_place").asc(), F.col("_key").asc()], [by, "_slot"])
-    found = ranked.join(targets, [by, "_slot"]).where(F.col("rank") == F.col("_inside"))
-    return {(r[by], r["_n"]): (r["_place"], r["_key"]) for r in found.select(by, "_n", "_place", "_key").collect()}
-
-
-def _hash_cell(place: Column) -> Column:
-    return F.shiftright(place, _CELL_SHIFT)
-
-
-def _id_cell(df: DataFrame, key: str) -> Column:
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(0)
-    return F.floor((F.col(key) - low) / F.lit(float(high - low + 1)) * _CELLS)
-
-
 def exact_split(df: DataFrame, key: str, seed: int = 42, validation: float = 0.05) -> DataFrame:
     """Like ``with_split`` with exactly ``ceil(validation * rows)`` validation rows."""
     need = math.ceil(validation * df.count())
     place = seeded_key(seed, F.col(key))
     marked = df.select(key, F.lit("all").alias("_all"))
-    bound = nth_rows(marked, "_all", key, place, _hash_cell(place), {"all": [need]}).get(("all", need))
+    bound = nth_rows(marked, "_all", key, place, hash_cell(place), {"all": [need]}).get(("all", need))
     if bound is None:
         return df.withColumn("split", F.lit("train"))
-    return df.withColumn("split", F.when(_not_after(place, F.col(key), bound), "validation").otherwise("train"))
-
-
-def _not_after(place: Column, key: Column, bound: tuple[int, int]) -> Column:
-    return (place < bound[0]) | ((place == bound[0]) & (key <= bound[1]))
+    return df.withColumn("split", F.when(not_after(place, F.col(key), bound), "validation").otherwise("train"))
 
 
 def normalised(ratios: Mapping[str, float]) -> dict[str, float]:
@@ -145,10 +82,10 @@ def mix(
             needs.setdefault(name, []).append(n)
     if order == "hash":
         place = seeded_key(seed, F.col(key))
-        cell = _hash_cell(place)
+        cell = hash_cell(place)
     else:
         place = F.col(key)
-        cell = _id_cell(pool, key)
+        cell = id_cell(pool, key)
     bounds = nth_rows(pool, source, key, place, cell, needs)
     taken = []
     for strategy, shares in plan.items():
@@ -158,7 +95,7 @@ def mix(
             inside = F.col(source) == name
             bound = bounds.get((name, n))
             if bound is not None:  # without a bound the source has fewer rows than its quota
-                inside = inside & _not_after(place, F.col(key), bound)
+                inside = inside & not_after(place, F.col(key), bound)
             taken.append(F.when(inside, F.lit(strategy)))
     chosen = F.array_compact(F.array(*taken))
     return (
@@ -209,6 +146,3 @@ def leave_one_out(sources: DataFrame, source: str = "source", share: float = 0.3
     return removed.select("removed", F.explode("_all").alias("source")).withColumn(
         "ratio", F.when(F.col("source") == F.col("removed"), 0.0).otherwise(share)
     )
-
-
-STRATEGIES = fixed.MIX_STRATEGIES

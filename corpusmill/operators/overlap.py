@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import features as ft
 from corpusmill.functions import text as tx
 from corpusmill.operators import corpus
+from corpusmill.operators.ranking import seeded_sample
 from corpusmill.operators.stats import finite
 
 
@@ -126,7 +127,7 @@ def corpus_bleu(pairs: DataFrame, key: str, prediction: str = "prediction", refe
 
 def self_bleu_sample(texts: DataFrame, key: str, text: str, sample: int = 100, seed: int = 42) -> DataFrame:
     """The seeded sample (at most ``sample`` rows by definition) with its place 1, 2, … as ``place``."""
-    drawn = texts.select(key, text, tx.seeded_key(seed, F.col(key)).alias("_h")).orderBy("_h", key).limit(sample)
+    drawn = seeded_sample(texts.select(key, text), sample, key, seed).withColumn("_h", tx.seeded_key(seed, F.col(key)))
     # The window sees the sample only, so its single task is bounded by ``sample``.
     return drawn.select(
         F.row_number().over(Window.orderBy("_h", key)).alias("place"), F.col(text).alias("text")

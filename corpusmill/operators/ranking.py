@@ -19,6 +19,7 @@ from corpusmill.session import keep
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row position below
 PRUNE_CELLS = 4096
+_HASH_SHIFT = 20  # 32-bit hash -> 4096 cells
 
 
 def running_totals(
@@ -253,9 +254,79 @@ def single_bin(df: DataFrame) -> DataFrame:
     )
 
 
+def nth_rows(
+    df: DataFrame, by: str, key: str, place: Column, cell: Column, needs: Mapping[str, Sequence[int]]
+) -> dict[tuple[str, int], tuple[int, int]]:
+    """(group, n) -> (place, key) of the group's n-th row in that order; groups with fewer rows have none.
+
+    Rows are counted in cells; only the cells that hold a requested row are ranked. ``cell`` must not
+    decrease with ``place`` and take about 4096 values. What reaches the driver is at most one row per
+    requested n.
+    """
+    spark = df.sparkSession
+    needs = {g: sorted({n for n in ns if n > 0}) for g, ns in needs.items()}
+    needs = {g: ns for g, ns in needs.items() if ns}
+    if not needs:
+        return {}
+    wanted = F.create_map(*[F.lit(x) for g, ns in needs.items() for x in (g, ns)])
+    # Kept as a narrow table, so that the texts (and their formatter) are scanned once here.
+    narrow = keep(
+        df.where(F.col(by).isin(list(needs))).select(
+            by, F.col(key).alias("_key"), place.alias("_place"), cell.cast("bigint").alias("_slot")
+        ),
+        "places",
+    )
+    counts = narrow.groupBy(by, "_slot").agg(F.count("*").alias("_rows"))
+    running = Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    runs = counts.withColumn("_run", F.sum("_rows").over(running))
+    hits = (
+        runs.select(by, "_slot", "_rows", "_run", F.explode(wanted[F.col(by)]).alias("_n"))
+        .where((F.col("_run") >= F.col("_n")) & (F.col("_run") - F.col("_rows") < F.col("_n")))
+        .select(by, "_slot", (F.col("_n") - F.col("_run") + F.col("_rows")).alias("_inside"), "_n")
+        .collect()
+    )
+    if not hits:
+        return {}
+    group_type = dict(df.dtypes)[by]
+    targets = F.broadcast(
+        spark.createDataFrame(hits, f"{by} {group_type}, _slot bigint, _inside bigint, _n bigint")
+    )
+    candidates = narrow.join(targets.select(by, "_slot").distinct(), [by, "_slot"], "left_semi")
+    ranked = rank_rows(candidates, [F.col("_place").asc(), F.col("_key").asc()], [by, "_slot"])
+    found = ranked.join(targets, [by, "_slot"]).where(F.col("rank") == F.col("_inside"))
+    return {(r[by], r["_n"]): (r["_place"], r["_key"]) for r in found.select(by, "_n", "_place", "_key").collect()}
+
+
+def hash_cell(place: Column) -> Column:
+    return F.shiftright(place, _HASH_SHIFT)
+
+
+def id_cell(df: DataFrame, key: str) -> Column:
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return F.lit(0)
+    return F.floor((F.col(key) - low) / F.lit(float(high - low + 1)) * PRUNE_CELLS)
+
+
+def not_after(place: Column, key: Column, bound: tuple[int, int]) -> Column:
+    """Rows up to and including a bound of ``nth_rows``."""
+    return (place < bound[0]) | ((place == bound[0]) & (key <= bound[1]))
+
+
+def _first_by(df: DataFrame, n: int, key: str, place: Column, cell: Column) -> DataFrame:
+    bound = nth_rows(df.select(key, F.lit("all").alias("_all")), "_all", key, place, cell, {"all": [n]}).get(("all", n))
+    if n <= 0:
+        return df.limit(0)
+    return df if bound is None else df.where(not_after(place, F.col(key), bound))
+
+
 def first_rows(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The first ``n`` rows by id."""
-    return df.orderBy(F.col(key).asc()).limit(n)
+    """The first ``n`` rows by a numeric id.
+
+    ``orderBy().limit(n)`` would send n whole rows of every partition to one task; here the n-th id is
+    found first and the table is filtered by it.
+    """
+    return _first_by(df, n, key, F.col(key), id_cell(df, key))
 
 
 def row_index(df: DataFrame, key: str, by: Sequence[str] = (), name: str = "source_index") -> DataFrame:
@@ -270,5 +341,6 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, the same for the same seed."""
-    return seeded_shuffle(df, key, seed).limit(n)
+    """``n`` rows without replacement, the same for the same seed, in no particular order."""
+    place = seeded_key(seed, F.col(key))
+    return _first_by(df, n, key, place, hash_cell(place))

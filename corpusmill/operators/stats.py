@@ -67,33 +67,23 @@ def edge_histogram(df: DataFrame, value: str, edges: Sequence[float] = fixed.LEN
 def width_histogram(df: DataFrame, value: str, n_bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width histogram between the minimum and maximum of each group (maximum in the last bin).
 
-    Values are counted before anything else, so a hot value travels as one row per task.
+    Two passes that each combine before the shuffle: the limits, then the counts. No value is shuffled.
     """
     by = list(by)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    limits = counted.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    limits = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     if by:
-        spread = counted.join(limits, by)
+        spread = rows.join(limits, by)  # Spark sees the size of the limits
     else:
         limit = limits.select(F.struct("_lo", "_hi").alias("x")).scalar()
-        spread = counted.withColumn("_x", limit).select("*", "_x._lo", "_x._hi")
+        spread = rows.withColumn("_x", limit).select("_v", "_x._lo", "_x._hi")
     width = F.try_divide(F.col("_hi") - F.col("_lo"), F.lit(n_bins))
     place = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)).cast("int")
     place = F.least(F.coalesce(place, F.lit(0)), F.lit(n_bins - 1))
     return (
-        spread.withColumn("bin", place)
-        .groupBy(*by, "bin")
-        .agg(F.sum("_n").alias("n"), F.first("_lo").alias("_lo"), F.first(width).alias("_w"))
-        .select(
-            *by,
-            "bin",
-            "n",
-            (F.col("_lo") + F.col("bin") * F.coalesce("_w", F.lit(0.0))).alias("low"),
-        )
+        spread.groupBy(*by, place.alias("bin"))
+        .agg(F.count("*").alias("n"), F.min("_lo").alias("_lo"), F.min(width).alias("_w"))
+        .select(*by, "bin", "n", (F.col("_lo") + F.col("bin") * F.coalesce("_w", F.lit(0.0))).alias("low"))
     )
 
 

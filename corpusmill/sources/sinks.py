@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.ranking import first_rows
+
 
 def save_splits(df: DataFrame, path: str, mode: str = "errorifexists", by: Sequence[str] = ("split",)) -> None:
     """One directory per split (or strategy and split)."""
@@ -35,7 +37,7 @@ def save_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def save_predictions(df: DataFrame, path: str, key: str, n: int = 100) -> None:
     """The first ``n`` predictions as JSON lines, a report-sized extract."""
-    df.orderBy(key).limit(n).write.json(path)
+    first_rows(df, n, key).write.json(path)
 
 
 def score_columns(scored: DataFrame, key: str = "idx") -> DataFrame:
@@ -49,5 +51,6 @@ def save_score_csv(scored: DataFrame, path: str, key: str = "idx") -> None:
 
 def save_report(df: DataFrame, path: str, block: Column, key: str, n: int | None = 20) -> None:
     """Text blocks in order of ``key``: the first ``n``, or all when ``n`` is None."""
-    ordered = df.select(key, block.alias("value")).orderBy(key)
-    (ordered.limit(n) if n is not None else ordered).select("value").write.text(path)
+    chosen = df if n is None else first_rows(df, n, key)
+    ordered = chosen.select(key, block.alias("value")).orderBy(key)
+    ordered.select("value").write.text(path)
