@@ -140,7 +140,7 @@ def stream_scan(spark, sf):
     """The documents read as a bounded file stream."""
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "progress")
     scoring.run_available(document_stream(spark, sf), lambda df: df.drop("text"), out, check)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @query("stream_scores", f"WITH {DOC_SCORED} SELECT idx, {ROUNDED} FROM scored")
@@ -148,7 +148,7 @@ def stream_scores(spark, sf):
     """Micro-batch scoring gives the batch scores."""
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "progress")
     scoring.run_available(document_stream(spark, sf), _score_batch, out, check)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch")
 
 
 @query("resumed_stream_scores", f"WITH {DOC_SCORED} SELECT idx, {ROUNDED} FROM scored")
@@ -157,7 +157,7 @@ def resumed_stream_scores(spark, sf):
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "progress")
     for _ in range(2):
         scoring.run_available(document_stream(spark, sf), _score_batch, out, check)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch").drop("batch")
 
 
 @query("stream_take")

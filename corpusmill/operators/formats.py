@@ -133,7 +133,9 @@ def pair_text(
 def long_enough_text(text: Column, min_chars: int, max_words: int) -> Column:
     """NULL below ``min_chars``; cut to ``max_words`` words, re-joined with blanks, when longer."""
     parts = tx.words(text)
-    cut = F.when(F.size(parts) > max_words, F.array_join(F.slice(parts, 1, max_words), " ")).otherwise(text)
+    # More than n words take more than 2n characters, so shorter texts are not split at all.
+    too_long = (F.length(text) > 2 * max_words) & (F.size(parts) > max_words)
+    cut = F.when(too_long, F.array_join(F.slice(parts, 1, max_words), " ")).otherwise(text)
     return F.when(F.length(text) >= min_chars, cut)
 
 

@@ -7,25 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.sources.tables import spread_out
 
-def run_available(
-    stream: DataFrame,
-    transform: Callable[[DataFrame], DataFrame],
-    output: str,
-    checkpoint: str,
-    fmt: str = "parquet",
-) -> StreamingQuery:
-    """Process what has arrived, append it to ``output`` and stop.
 
-    Progress is in ``checkpoint``: a restart goes on after the last committed batch and adds no row
-    twice, because the file sink lists committed files only.
-    """
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     query = (
-        transform(stream)
-        .writeStream.format(fmt)
-        .option("path", output)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
@@ -35,6 +23,22 @@ def run_available(
     return query
 
 
+def run_available(
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], output: str, checkpoint: str
+) -> StreamingQuery:
+    """Process what has arrived, append it to ``output`` as Parquet and stop.
+
+    Progress is in ``checkpoint``: a restart goes on after the last committed batch. A batch that is
+    repeated after a failure overwrites its own directory, so no row is written twice. Batches of fewer
+    splits than cores are dealt to all cores before the transform.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        transform(spread_out(batch)).write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    return _run(stream, write, checkpoint)
+
+
 def take_from_stream(stream: DataFrame, n: int, output: str, checkpoint: str) -> None:
     """Append batches until ``output`` holds ``n`` rows.
 
@@ -48,12 +52,4 @@ def take_from_stream(stream: DataFrame, n: int, output: str, checkpoint: str) ->
             held = spark.read.parquet(output).where(f"batch < {number}").count()
         batch.limit(max(n - held, 0)).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+    _run(stream, write, checkpoint)
