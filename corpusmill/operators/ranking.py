@@ -19,20 +19,37 @@ from corpusmill.session import keep
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row position below
 PRUNE_CELLS = 4096
+BROADCAST_ROWS = 100_000
 _HASH_SHIFT = 20  # 32-bit hash -> 4096 cells
 
 
+def small_side(df: DataFrame, rows: int | None, name: str) -> DataFrame:
+    """The small side of a join: broadcast when a bound of its rows is known and low; otherwise written
+    first, so that Spark knows its size and broadcasts it only if it is small."""
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else keep(df, name)
+
+
+def _most_partitions(spark) -> int:
+    """How many partitions a range shuffle can have at most under the session's settings."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(initial or 0))
+
+
 def running_totals(
     df: DataFrame,
     order: Sequence[Column],
     by: Sequence[str] = (),
     weight: str | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Add ``_before`` (rows, or sum of ``weight``, sorted earlier in the group) and ``_total``.
 
-    One range shuffle and one written table. ``order`` must decide every tie.
+    One range shuffle and one written table. ``order`` must decide every tie. ``groups`` is a bound of
+    the number of groups where the caller knows one.
     """
     by = list(by)
+    if not by:
+        groups = 1
     keys = [F.col(k) for k in by]
     placed = keep(
         df.repartitionByRange(*keys, *order)
@@ -55,9 +72,8 @@ def running_totals(
         F.coalesce(F.sum("_cell").over(earlier), F.lit(0)).alias("_offset"),
         F.sum("_cell").over(group).alias("_total"),
     )
-    # Without groups the cells are at most one per partition, a proven bound; with groups Spark
-    # decides from their size.
-    joined = placed.join(cells if by else F.broadcast(cells), ["_part", *by])
+    bound = None if groups is None else _most_partitions(df.sparkSession) + groups
+    joined = placed.join(small_side(cells, bound, "cells"), ["_part", *by])
     if weight:
         inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
         here = F.coalesce(F.sum(weight).over(inside), F.lit(0))
@@ -175,28 +191,54 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     approximate: bool = False,
+    groups: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group as columns ``q0, q1, …``; NULLs are left out.
 
-    Exact by default: equal values are counted first, so a hot value is one row, and the order
-    statistics are looked up in running counts over a range-partitioned table. ``approximate`` uses
-    ``approx_percentile``, one aggregation with bounded memory.
+    Exact by default: rows are counted in equal-width cells per group, and only the cells that hold a
+    wanted position are looked at closer, their equal values counted first, so that a hot value is one
+    row. ``approximate`` uses ``approx_percentile``, one aggregation with bounded memory.
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull())
     if approximate:
         found = present.groupBy(*by).agg(F.percentile_approx(value, list(probs), 100_000).alias("_q"))
         return found.select(*by, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-    counted = present.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    table = running_totals(counted, [F.col("_v").asc()], by, weight="_n")
-    first, last = F.col("_before"), F.col("_before") + F.col("_n")
-    at = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    group, groups = (by, groups) if by else (["_all"], 1)
+    n_wanted = None if groups is None else 2 * len(probs) * groups
+    narrow = present.select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+    limits = small_side(
+        narrow.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")),
+        groups,
+        "limits",
+    )
+    share = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), F.col("_hi") - F.col("_lo"))
+    placed = narrow.join(limits, group).withColumn(
+        "_slot", F.coalesce(F.floor(share * PRUNE_CELLS), F.lit(0)).cast("bigint")
+    )
+    counts = placed.groupBy(*group, "_slot").agg(F.count("*").alias("_rows"), F.max("_n").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    at = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    positions = F.array(*[f(a).cast("bigint") for a in at for f in (F.floor, F.ceil)])
+    # At most two cells per group and quantile.
+    wanted = (
+        counts.withColumn("_skip", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .where(F.exists(positions, lambda x: (x >= F.col("_skip")) & (x < F.col("_skip") + F.col("_rows"))))
+        .select(*group, "_slot", "_skip")
+    )
+    counted = (
+        placed.join(small_side(wanted, n_wanted, "wanted"), [*group, "_slot"])
+        .groupBy(*group, "_slot", "_skip", "_n", "_v")
+        .agg(F.count("*").alias("_w"))
+    )
+    table = running_totals(counted, [F.col("_v").asc()], [*group, "_slot"], weight="_w", groups=n_wanted)
+    first = F.col("_skip") + F.col("_before")
 
     def value_at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position < last), F.col("_v")))
+        return F.max(F.when((first <= position) & (position < first + F.col("_w")), F.col("_v")))
 
-    picked = table.groupBy(*by).agg(
-        F.max("_total").alias("_total"),
+    picked = table.groupBy(*group).agg(
+        F.max("_n").alias("_n"),
         *[value_at(F.floor(a)).alias(f"_lo{i}") for i, a in enumerate(at)],
         *[value_at(F.ceil(a)).alias(f"_hi{i}") for i, a in enumerate(at)],
     )

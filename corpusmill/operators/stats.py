@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import fixed
 from corpusmill.operators.ranking import quantiles, running_totals
+from corpusmill.session import keep
 
 
 def melt(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +37,7 @@ def summary(
         F.max("value").alias("max"),
     )
     probs = [0.5, *[p / 100 for p in percentiles]]
-    cuts = quantiles(long, "value", probs, by=["metric"], approximate=approximate)
+    cuts = quantiles(long, "value", probs, by=["metric"], approximate=approximate, groups=len(columns))
     names = ["median", *[f"p{p}" for p in percentiles]]
     return moments.join(
         cuts.select("metric", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)]), "metric"
@@ -73,7 +74,8 @@ def width_histogram(df: DataFrame, value: str, n_bins: int, by: Sequence[str] =
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     limits = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     if by:
-        spread = rows.join(limits, by)  # Spark sees the size of the limits
+        # Written first: Spark then knows its size and broadcasts it only if it is small.
+        spread = rows.join(keep(limits, "limits"), by)
     else:
         limit = limits.select(F.struct("_lo", "_hi").alias("x")).scalar()
         spread = rows.withColumn("_x", limit).select("_v", "_x._lo", "_x._hi")
