@@ -179,7 +179,6 @@ def source_profiles(spark, sf):
     return compare.source_profiles(b.documents(spark, sf))
 
 
-SAVED = "SELECT doc_id, lang, source FROM documents"
 
 
 @query("reloaded_split", f"SELECT doc_id, lang FROM documents WHERE {SPLIT} = 'train'")
