@@ -16,19 +16,22 @@ SALTS = 16
 PAIRS_AT_ONCE = 1 << 20
 
 
-def in_blocks(members: DataFrame, key: str, node: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(members: DataFrame, key: str, node: str, data: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Members of buckets with two or more members, dealt out so that every pair of a bucket meets in one piece.
 
+    ``data`` (node, ...) is joined to the members that are left once buckets of one are gone.
+
     A piece is (bucket, i, j) with i <= j: the members of blocks i and j, at most about twice ``block_rows``. The
     column ``_block`` says which block a member is of. Rows come partitioned and sorted by piece.
     """
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     cut = members.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
     cut = cut.withColumn("_block", F.pmod(F.xxhash64(F.lit(7), node), "_blocks").cast("int"))
+    if data is not None:
+        cut = cut.join(data, node)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     dealt = cut.select("*", other).select(
-        *members.columns,
-        "_block",
+        *[c for c in cut.columns if c not in ("_n", "_blocks")],
         F.least("_block", "_other").alias("_i"),
         F.greatest("_block", "_other").alias("_j"),
     )
@@ -62,7 +65,7 @@ def _starts(table: pa.Table, key: str) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def pairs_of(starts: np.ndarray, end: int, i: np.ndarray, j: np.ndarray, block: np.ndarray):
+def pairs_of(starts: np.ndarray, end: int, i: np.ndarray, j: np.ndarray, block: np.ndarray, at_once: int = PAIRS_AT_ONCE):
     """(left, right) row numbers of the pairs of every piece, a bounded number at a time.
 
     A piece of one block has all its pairs, a piece of two blocks those across the blocks.
@@ -71,12 +74,12 @@ def pairs_of(starts: np.ndarray, end: int, i: np.ndarray, j: np.ndarray, block:
     for size in np.unique(sizes[sizes > 1]).tolist():
         own = starts[sizes == size]
         left, right = np.triu_indices(size, 1)
-        step = max(1, PAIRS_AT_ONCE // len(left))
+        step = max(1, at_once // len(left))
         for at in range(0, len(own), step):
             base = own[at : at + step, None]
-            for part in range(0, len(left), PAIRS_AT_ONCE):
-                a = (base + left[None, part : part + PAIRS_AT_ONCE]).ravel()
-                b = (base + right[None, part : part + PAIRS_AT_ONCE]).ravel()
+            for part in range(0, len(left), at_once):
+                a = (base + left[None, part : part + at_once]).ravel()
+                b = (base + right[None, part : part + at_once]).ravel()
                 across = (i[a] == j[a]) | (block[a] != block[b])
                 yield (a, b) if across.all() else (a[across], b[across])
 
@@ -97,6 +100,16 @@ def stars(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+def smallest(node: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For every row the smallest ``node`` reachable over links between row numbers."""
+    order = np.argsort(node, kind="stable")
+    rank = np.empty(len(node), dtype=np.int64)
+    rank[order] = np.arange(len(node))
+    out = np.empty(len(node), dtype=node.dtype)
+    out[order] = node[order][stars(rank[left], rank[right], len(node))]
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over ``edges`` (a, b), for every node that has an edge.
 

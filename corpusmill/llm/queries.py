@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_format, simhash, url_filter
+from corpusmill.llm import chat_format, embedding_dedup, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,6 +77,13 @@ FROM named LEFT JOIN known ON named.canonical = known.canonical
 """
 
 
+# --- 4: embedding near-duplicates ---------------------------------------------------------------------
+@query
+def op4_embedding_dedup(spark, sf_dir):
+    """Vectors of the same label with a cosine of at least 0.98."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 # --- 7: SimHash near-duplicates -----------------------------------------------------------------------
 @query
 def op7_simhash_dedup(spark, sf_dir):

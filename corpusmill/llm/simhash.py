@@ -139,14 +139,11 @@ def links(classes: DataFrame, bits: int, radius: int, segments: int, total_radiu
                 if total_radius is not None:
                     close &= _bit_counts(differ) <= total_radius
                 a, b = a[close], b[close]
-                rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-                if not len(rows):
+                if not len(a):
                     continue
-                order = np.argsort(node[rows], kind="stable")
-                rank = np.empty(len(rows), dtype=np.int64)
-                rank[order] = np.arange(len(rows))
-                low = graph.stars(rank[place[: len(a)]], rank[place[len(a) :]], len(rows))
-                own, root = node[rows][order], node[rows][order][low]
+                rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+                own = node[rows]
+                root = graph.smallest(own, place[: len(a)], place[len(a) :])
                 far = own != root
                 yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(root[far])], names=["a", "b"])
 
