@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_format, embedding_dedup, simhash, url_filter
+from corpusmill.llm import chat_format, embedding_dedup, language_id, simhash, url_filter
+from corpusmill.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,6 +144,17 @@ FROM written GROUP BY conv_id
 """
 
 
+# --- 10: language identification --------------------------------------------------------------------
+@query
+def op10_language_id(spark, sf_dir):
+    """The language of every document, learned from three of four folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.classify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def all_queries():
     return dict(QUERIES)
 

@@ -58,3 +58,33 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - counts), counts)
+
+
+def append_columns(df, function, added: str, text_col: str = "text"):
+    """``df`` with the columns ``added`` (a schema), which ``function`` gives for an Arrow array of texts.
+
+    Every row is kept, with all its columns. A column that has the name of an added one is replaced by it.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    names = [f.name for f in new.fields]
+    kept = [c for c in df.columns if c not in names]
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+
+    def run(batches):
+        for part in slices(batches, "__text"):
+            found = function(part.column("__text"))
+            own = [part.column(i) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*own, *found], names=[*kept, *names])
+
+    out = StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *new.fields])
+    return rows.mapInArrow(run, out)
+
+
+def fold(id_col: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
