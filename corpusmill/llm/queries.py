@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_format, embedding_dedup, language_id, simhash, url_filter
+from corpusmill.llm import chat_format, embedding_dedup, language_id, simhash, toxicity, url_filter
 from corpusmill.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,18 @@ def op4_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+# --- 6: toxicity --------------------------------------------------------------------------------------
+@query
+def op6_toxicity(spark, sf_dir):
+    """The toxicity of every document, learned from the labels of four of five folds."""
+    held_out = fold("doc_id", 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~held_out))
+    found = toxicity.score(docs.withColumn("held_out", held_out), model)
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
+
+
 # --- 7: SimHash near-duplicates -----------------------------------------------------------------------
 @query
 def op7_simhash_dedup(spark, sf_dir):
