@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_format, embedding_dedup, language_id, simhash, toxicity, url_filter
+from corpusmill.llm import bpe, chat_format, embedding_dedup, language_id, simhash, toxicity, url_filter
 from corpusmill.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,23 @@ def query(function):
     return function
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+# --- 2: byte-pair encoding --------------------------------------------------------------------------
+@query
+def op2_bpe(spark, sf_dir):
+    """Every document encoded and decoded, as digests."""
+    path = public_tokenizers.path(TOKENIZER)
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.decode(ids, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 # --- 3: URL filters ---------------------------------------------------------------------------------
 RULES = [
     url_filter.Rule("allow", "org", "/"),
