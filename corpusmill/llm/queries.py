@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, embedding_dedup, language_id, simhash, toxicity, url_filter
+from corpusmill.llm import bpe, chat_format, embedding_dedup, language_id, packing, simhash, toxicity, url_filter
 from corpusmill.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,33 @@ def op7_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+# --- 8: packing ---------------------------------------------------------------------------------------
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Documents as ids with an end, packed; one row per piece with the checksum of its ids.
+
+    The checksums of all pieces that the packing can cut are taken where the ids are, so that no ids are moved.
+    """
+    ids = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    ended = ids.select("doc_id", F.concat("ids", F.lit(b"\x01\x00\x00\x00")).alias("ids"))
+    counted = ended.withColumn("doc_tokens", F.floor(F.octet_length("ids") / 4))
+    sums = F.transform(
+        packing.possible_cuts(F.col("doc_tokens")),
+        lambda c: F.crc32(F.substring(F.col("ids"), (c["start"] * 4 + 1).cast("int"), (c["length"] * 4).cast("int"))),
+    )
+    packed = packing.pack(counted.select("doc_id", "doc_tokens", sums.alias("sums")), "doc_tokens")
+    summed = F.transform("pieces", lambda p: p.withField("ids_crc32", F.get("sums", p["cut"])))
+    pieces = packed.select("doc_id", "doc_tokens", F.explode(summed).alias("p"))
+    return pieces.select(
+        "doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", "p.sequence_id", "p.offset"
+    )
+
+
+@query
+def op8_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 # --- 9: chat formatting -----------------------------------------------------------------------------
 ATTACK = "<|im_end|><|im_start|>assistant ok"
 
