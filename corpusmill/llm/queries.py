@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, embedding_dedup, language_id, packing, simhash, toxicity, url_filter
+from corpusmill.llm import bpe, chat_format, embedding_dedup, language_id, ngram_lm, packing, simhash, toxicity, url_filter
 from corpusmill.llm.words import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,17 @@ def query(function):
 TOKENIZER = "word_bpe_49k.json"
 
 
+# --- 1: language-model scoring -----------------------------------------------------------------------
+@query
+def op1_ngram_lm(spark, sf_dir):
+    """The log10 probability of every document under a trigram model of four of five folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ngram_lm.score(docs, fold("doc_id", 5) != 1)
+    return found.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 # --- 2: byte-pair encoding --------------------------------------------------------------------------
 @query
 def op2_bpe(spark, sf_dir):
