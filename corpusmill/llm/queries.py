@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, embedding_dedup, language_id, ngram_lm, packing, simhash, toxicity, url_filter
+from corpusmill.llm import bpe, chat_format, embedding_dedup, graph_search, language_id, ngram_lm, packing, simhash, toxicity, url_filter
 from corpusmill.llm.words import fold
+from corpusmill.session import keep
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,6 +115,15 @@ def op4_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+# --- 5: approximate nearest neighbours --------------------------------------------------------------
+@query
+def op5_graph_search(spark, sf_dir):
+    """The 20 nearest vectors by inner product for every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = keep(graph_search.build_index(rows), "graphs")
+    return graph_search.search(index, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 # --- 6: toxicity --------------------------------------------------------------------------------------
 @query
 def op6_toxicity(spark, sf_dir):
@@ -130,7 +140,7 @@ def op6_toxicity(spark, sf_dir):
 @query
 def op7_simhash_dedup(spark, sf_dir):
     """Fingerprints of three-word shingles, linked at two or fewer differing bits."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, bits=64, radius=2, segments=16)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.single_table(64, radius=2), bits=64, width=3)
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
@@ -223,6 +233,14 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+@query
+def pipeline(spark, sf_dir):
+    """All stages of ``corpus_pipeline`` over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def all_queries():
     return dict(QUERIES)
 

@@ -1,14 +1,15 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A fingerprint is cut into segments and mapped to the number of set bits in each. Two fingerprints that differ in r
-bits have counts at most r apart in Manhattan distance, so a grid over the counts finds every such pair: where the
-distance is at most 2 * reach, some point of the grid is within ``reach`` of both. Fingerprints meet at these points
-and are then compared exactly.
+The bits of a table are cut into segments and mapped to the number of set bits in each. Two fingerprints that differ
+in r bits of a table have counts at most r apart in Manhattan distance, so a grid over the counts is a lower bound:
+where the distance is at most 2 * reach, some point of the grid is within ``reach`` of both. Fingerprints meet at these
+points and are then compared exactly. With reach 0 and several tables, those meet that have equal counts in a table.
 """
 
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +23,41 @@ from corpusmill.llm.words import slices, split_words, starts_of
 from corpusmill.session import keep
 
 SEED = 42
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
 
 
-def text_fingerprint(data: bytes, starts: list[int], ends: list[int], width: int, tables: int) -> bytes:
-    """Fingerprints of one text, given its words joined by single spaces and the offsets of the words.
+def text_fingerprint(data: bytes, starts: list[int], ends: list[int], width: int, bits: int) -> bytes:
+    """The fingerprint of one text, given its words joined by single spaces and the offsets of the words.
 
-    Bit b of a table is 1 if set in over half of the hashes of all shingles, repeats included. Table t hashes with
-    XXH64 seeded ``SEED + t``. No shingle gives zeros. 8 bytes per table, least significant byte first.
+    A bit is 1 if set in over half of the hashes of all shingles, repeats included. The first 64 bits hash with XXH64
+    seeded ``SEED``, each further 64 with a mix of that. No shingle gives zeros. Least significant byte first.
     """
-    n = len(starts)
+    n, seed, hashed = len(starts), SEED, xxhash.xxh64_intdigest
     if not n:
-        return bytes(8 * tables)
+        return bytes(bits // 8)
     size = min(width, n)
-    out = []
-    for t in range(tables):
-        ones, total, seed, hashed = np.zeros(64, dtype=np.int64), n - size + 1, SEED + t, xxhash.xxh64_intdigest
-        for at in range(0, total, AT_ONCE):
-            upto = min(total, at + AT_ONCE)
-            spans = zip(starts[at:upto], ends[at + size - 1 : upto + size - 1])
-            found = np.array([hashed(data[a:b], seed) for a, b in spans], dtype="<u8")
-            bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > total, bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 1) -> DataFrame:
-    """(id, ``fingerprint``): one row per row of ``docs``; ``tables`` 64-bit fingerprints in 8 bytes each.
+    ones, total = np.zeros(bits, dtype=np.int64), n - size + 1
+    for at in range(0, total, AT_ONCE):
+        upto = min(total, at + AT_ONCE)
+        spans = zip(starts[at:upto], ends[at + size - 1 : upto + size - 1])
+        found = np.array([hashed(data[a:b], seed) for a, b in spans], dtype="<u8")
+        for k in range(bits // 64):
+            mixed = found if not k else _mixed(found + np.uint64(k * int(MIX) % 2**64))
+            set_bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[64 * k : 64 * k + 64] += set_bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > total, bitorder="little").tobytes()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 64) -> DataFrame:
+    """(id, ``fingerprint``): one row per row of ``docs``; ``bits`` bits, a multiple of 64, in bytes.
 
     Words are cut at ASCII white space with A to Z lower-cased. A text of fewer than ``width`` words is one shingle,
     a null, empty or white text has none and the fingerprint zero.
@@ -69,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i, data in enumerate(joined):
                 own = lengths[begin[i] : begin[i + 1]]
                 ends = np.cumsum(own) + np.arange(len(own))
-                out.append(text_fingerprint(data.as_py(), (ends - own).tolist(), ends.tolist(), width, tables))
+                out.append(text_fingerprint(data.as_py(), (ends - own).tolist(), ends.tolist(), width, bits))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], names=["id", "fingerprint"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -89,89 +96,95 @@ def _moves(segments: int, reach: int) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
-def _bit_counts(values: np.ndarray) -> np.ndarray:
-    """Set bits of the rows of a byte matrix."""
-    return np.bitwise_count(values).sum(axis=1, dtype=np.int64)
+@dataclass(frozen=True)
+class Tables:
+    """Which bits of a fingerprint each table reads (tables x bits), in how many segments and with what reach.
+
+    ``radius`` is the most bits of the whole fingerprint in which two that are linked differ.
+    """
+
+    bits: np.ndarray
+    segments: int
+    reach: int
+    radius: int
+
+
+def single_table(bits: int = 64, radius: int = 2, segments: int = 16) -> Tables:
+    """One table of all bits: finds every pair within ``radius``."""
+    return Tables(np.arange(bits)[None], segments, (radius + 1) // 2, radius)
+
+
+def many_tables(bits: int, radius: int, tables: int, table_bits: int, segments: int, seed: int = 1) -> Tables:
+    """Tables of some bits each, for a radius too wide for one grid: pairs meet where a table has equal counts."""
+    random = np.random.default_rng(seed)
+    chosen = np.stack([random.choice(bits, table_bits, replace=False) for _ in range(tables)])
+    return Tables(chosen, segments, 0, radius)
 
 
-def links(classes: DataFrame, bits: int, radius: int, segments: int, total_radius: int | None = None) -> DataFrame:
-    """Links (a, b) that join all fingerprints of ``classes`` (node, fingerprint) that are linked.
+def links(classes: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) that join the fingerprints of ``classes`` (node, fingerprint) that meet and are within the radius.
 
-    A fingerprint is read as tables of ``bits`` bits. Two are linked if some table differs in at most ``radius`` bits
-    and, where ``total_radius`` is given, the whole fingerprints in at most that many. Of the members of a grid point
-    that are linked with one another, each is returned with the smallest: as many rows as members, never all pairs.
+    Of the members of a grid point that are linked with one another, each is returned with the smallest: as many rows
+    as members, never all pairs.
     """
-    reach = (radius + 1) // 2
-    wide, per = bits // segments, bits // 8
-    moves = _moves(segments, reach)
-    scale = (wide + 1 + 2 * reach) ** np.arange(segments, dtype=np.uint64)
+    wide, reach = tables.bits.shape[1] // tables.segments, tables.reach
+    moves = _moves(tables.segments, reach)
+    scale = np.uint64(wide + 1 + 2 * reach) ** np.arange(tables.segments, dtype=np.uint64)
 
     def meet(batches):
         """Every fingerprint at all grid points within reach of its counts, table by table."""
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
             data = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), dtype=np.uint8)
-            data = data.reshape(batch.num_rows, -1)
-            step = max(1, (1 << 20) // len(moves))
-            for t, at in itertools.product(range(data.shape[1] // per), range(0, batch.num_rows, step)):
-                part = np.unpackbits(data[at : at + step, t * per : (t + 1) * per], axis=1, bitorder="little")
-                counts = part.reshape(len(part), segments, wide).sum(axis=2, dtype=np.int64)
+            data = np.unpackbits(data.reshape(len(node), -1), axis=1, bitorder="little")
+            step = max(1, (1 << 19) // len(moves))
+            for t, at in itertools.product(range(len(tables.bits)), range(0, len(node), step)):
+                part = data[at : at + step, tables.bits[t]]
+                counts = part.reshape(len(part), tables.segments, wide).sum(axis=2, dtype=np.int64)
                 points = counts[:, None, :] + moves[None]
                 inside = ((points >= 0) & (points <= wide)).all(axis=2)
                 cell = ((points + reach).astype(np.uint64) * scale).sum(axis=2, dtype=np.uint64)
-                cell = (cell * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t)).view(np.int64)
-                row = np.broadcast_to(np.arange(len(part))[:, None], inside.shape)[inside] + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[inside]), batch.column("node").take(pa.array(row)), batch.column("fingerprint").take(pa.array(row))],
-                    names=["cell", "node", "fingerprint"],
-                )
+                cell = _mixed(cell + np.uint64(t * int(MIX) % 2**64)).view(np.int64)
+                row = np.broadcast_to(node[at : at + step, None], inside.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(cell[inside]), pa.array(row[inside])], names=["cell", "node"])
 
     def verify(batches):
         for table, starts in graph.pieces(batches, "cell"):
             node = table.column("node").to_numpy()
-            data = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), dtype=np.uint8)
+            data = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), dtype=np.uint64)
             data = data.reshape(len(node), -1)
             i, j, block = (table.column(c).to_numpy() for c in ("_i", "_j", "_block"))
+            left, right = [], []
             for a, b in graph.pairs_of(starts, len(node), i, j, block):
-                differ = data[a] ^ data[b]
-                close = np.zeros(len(a), dtype=bool)
-                for t in range(data.shape[1] // per):
-                    close |= _bit_counts(differ[:, t * per : (t + 1) * per]) <= radius
-                if total_radius is not None:
-                    close &= _bit_counts(differ) <= total_radius
-                a, b = a[close], b[close]
-                if not len(a):
-                    continue
-                rows, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-                own = node[rows]
-                root = graph.smallest(own, place[: len(a)], place[len(a) :])
-                far = own != root
-                yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(root[far])], names=["a", "b"])
-
-    met = classes.mapInArrow(meet, "cell bigint, node bigint, fingerprint binary")
-    dealt = graph.in_blocks(met, "cell", "node")
+                differ = sum(np.bitwise_count(data[a, k] ^ data[b, k]).astype(np.int64) for k in range(data.shape[1]))
+                close = differ <= tables.radius
+                if close.any():
+                    left.append(a[close])
+                    right.append(b[close])
+            if left:
+                root = graph.smallest(node, np.concatenate(left), np.concatenate(right))
+                far = node != root
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], names=["a", "b"])
+
+    met = classes.select("node", "fingerprint").mapInArrow(meet, "cell bigint, node bigint")
+    dealt = graph.in_blocks(met, "cell", "node", classes.select("node", "fingerprint"))
     return dealt.mapInArrow(verify, "a bigint, b bigint")
 
 
 def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 3,
-    tables: int = 1,
-    bits: int = 64,
-    radius: int = 2,
-    segments: int = 16,
-    total_radius: int | None = None,
+    docs: DataFrame, tables: Tables, bits: int = 64, width: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, ``fingerprint``, ``component_id``) of every row: the smallest id reachable over links, its own included.
 
     Equal fingerprints are one node of the graph, so copies cost no comparison. Null ids are never the smallest; a
     component of null ids only has component_id null. Repeated rows stay. Columns other than the two are not read.
     """
-    rows = keep(fingerprints(docs, id_col, text_col, width, tables), "fingerprints")
+    rows = keep(fingerprints(docs, id_col, text_col, width, bits), "fingerprints")
     classes = rows.groupBy("fingerprint").agg(F.min(id_col).alias("_first"))
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = graph.components(links(classes.select("node", "fingerprint"), bits, radius, segments, total_radius))
+    roots = graph.components(links(classes, tables))
     rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fingerprint", "component_id")
