@@ -16,14 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.words import slices, split_words, starts_of
 from corpusmill.session import keep
 
-#: Highest order, words per bucket of n-grams, and one in so many training rows that the weights are learned on.
-ORDER, WORDS_PER_BUCKET, DELETED = 3, 1_500_000, 20
+#: Highest order, words per bucket of n-grams, bytes of text in a chunk, and one in so many training rows that the weights are learned on.
+ORDER, WORDS_PER_BUCKET, CHUNK_BYTES, DELETED = 3, 1_500_000, 6 << 20, 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEPS_PER_OCTAVE = 4
@@ -48,6 +49,33 @@ def _expand(data: bytes, kind: str, count: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), dtype=kind) if count else np.zeros(0, kind)
 
 
+def _squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the high bytes of many small differences take no room."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _squeeze(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _expand_keys(data: bytes, count: int) -> np.ndarray:
+    planes = _expand(data, "uint8", 8 * count).reshape(8, count)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _squeeze_counts(counts: np.ndarray) -> bytes:
+    """Counts, nearly all of them small: one byte each, and those from 255 on behind, in order."""
+    large = counts[counts >= 255].astype(np.int64)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return _squeeze(np.concatenate([small, large.view(np.uint8)]))
+
+
+def _expand_counts(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, dtype=np.int64)
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    out = whole[:count].astype(np.int64)
+    out[out == 255] = np.frombuffer(whole[count:].tobytes(), dtype=np.int64)
+    return out
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * MIX
     return x ^ (x >> np.uint64(29))
@@ -65,7 +93,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFr
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=CHUNK_BYTES):
             codes, dictionary, counts = split_words(part.column("text"))
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in dictionary.cast(pa.binary()).to_pylist()], dtype=np.uint64)
             tune = part.column("tune").to_numpy(zero_copy_only=False)
@@ -159,8 +187,8 @@ def _ask(kept: DataFrame, buckets: int, order: int) -> DataFrame:
                         pa.array([row["chunk"]] * n, pa.int64()),
                         pa.array([row["tune"]] * n, pa.bool_()),
                         pa.array([b - a for a, b in zip(first.tolist(), ends)], pa.int64()),
-                        pa.array([c.distinct[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
-                        pa.array([_squeeze(seen[a:b].astype(np.int64)) for a, b in zip(first, ends)], pa.binary()),
+                        pa.array([_squeeze_keys(c.distinct[a:b]) for a, b in zip(first, ends)], pa.binary()),
+                        pa.array([_squeeze_counts(seen[a:b]) for a, b in zip(first, ends)], pa.binary()),
                     ],
                     names=["bucket", "chunk", "tune", "n", "grams", "seen"],
                 )
@@ -173,8 +201,8 @@ def _answer(asked: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         sizes, tune = table.column("n").to_numpy(), table.column("tune").to_numpy()
-        grams = np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in table.column("grams").to_pylist()])
-        seen = np.concatenate([_expand(b, "int64", n) for b, n in zip(table.column("seen").to_pylist(), sizes.tolist())])
+        grams = np.concatenate([_expand_keys(b.as_py(), n) for b, n in zip(table.column("grams"), sizes.tolist())])
+        seen = np.concatenate([_expand_counts(b.as_py(), n) for b, n in zip(table.column("seen"), sizes.tolist())])
         order = np.argsort(grams, kind="stable")
         first = np.diff(grams[order], prepend=~grams[order[:1]]) != 0
         group = np.cumsum(first) - 1
@@ -194,8 +222,8 @@ def _answer(asked: DataFrame) -> DataFrame:
                 "tune": table.column("tune"),
                 "n": table.column("n"),
                 "words": pa.array(words, pa.int64()),
-                "total": pa.array([_squeeze(total[p]) for p in own], pa.binary()),
-                "left": pa.array([_squeeze(left[p]) if t else b"" for p, t in zip(own, tune)], pa.binary()),
+                "total": pa.array([_squeeze_counts(total[p]) for p in own], pa.binary()),
+                "left": pa.array([_squeeze_counts(left[p]) if t else b"" for p, t in zip(own, tune)], pa.binary()),
             }
         )
 
@@ -208,7 +236,7 @@ def _counted(left: pa.Table, right: pa.Table, order: int, column: str) -> tuple[
     row = left.to_pylist()[0]
     chunk = open_chunk(row, order)
     answers = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column(column).to_pylist()))
-    found = np.concatenate([np.zeros(0, np.int64), *(_expand(b, "int64", n) for _, n, b in answers)])
+    found = np.concatenate([np.zeros(0, np.int64), *(_expand_counts(b, n) for _, n, b in answers)])
     return row, chunk, [found[at] for at in chunk.at]
 
 
@@ -261,7 +289,7 @@ def _fit(tuned: DataFrame, vocabulary: int, tokens: int, rows: int, order: int)
             for batch in batches:
                 for row in batch.to_pylist():
                     starts = np.frombuffer(row["starts"], dtype=np.int64)
-                    counts = [_expand(b, "int64", int(starts[-1])) for b in row["counts"]]
+                    counts = [_expand_counts(b, int(starts[-1])) for b in row["counts"]]
                     lower, own, context = probabilities(counts, starts, known, n)
                     with np.errstate(divide="ignore"):
                         steps = [np.round(np.log2(x) * STEPS_PER_OCTAVE) for x in (own, lower)]
@@ -310,7 +338,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return pa.table(
             {
                 "starts": pa.array([chunk.starts.tobytes()], pa.binary()),
-                "counts": pa.array([[_squeeze(c) for c in counts]], pa.list_(pa.binary())),
+                "counts": pa.array([[_squeeze_counts(c) for c in counts]], pa.list_(pa.binary())),
             }
         )
 
