@@ -153,8 +153,10 @@ def open_chunk(row: dict, order: int) -> Chunk:
     grams, context = [], np.full(len(word), 1, dtype=np.uint64)
     before = word
     for k in range(1, order + 1):
-        # The two lowest bits of a key are its order, so that n-grams of different orders never meet.
-        grams.append((_mixed(context * MIX + word) & ~np.uint64(3)) | np.uint64(k))
+        # The two lowest bits of a key are its order, so that n-grams of different orders never meet. Longer n-grams
+        # have twelve bits less, which take no room in the differences.
+        spare = np.uint64(3 if k == 1 else 0xFFF)
+        grams.append((_mixed(context * MIX + word) & ~spare) | np.uint64(k))
         shifted = np.roll(before, 1)
         shifted[starts[:-1]] = BEGIN
         before = shifted
@@ -322,8 +324,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     tokens, ``score`` that of the model, in which unknown tokens share one place beside the vocabulary.
 
     Null texts are empty, a null id or ``learn`` is no reason to leave a row out (it is not learned from if null);
-    repeated rows count each time. Without training rows every token has probability 1. N-grams are told apart by
-    62-bit hashes. Tables that cut lineage: the chunks of words, the answers of the buckets, the counts tuned on.
+    repeated rows count each time. Without training rows every token has probability 1. Words are told apart by
+    62-bit hashes, longer n-grams by 52-bit ones (of 1e13 different ones 0.2 % share theirs). Tables that cut lineage: the chunks of words, the answers of the buckets, the counts tuned on.
     """
     kept = keep(chunks(docs, id_col, text_col, learn), "chunks")
     only = F.when(F.col("tune"), 1).otherwise(0)
