@@ -24,7 +24,7 @@ from corpusmill.llm.words import slices, split_words, starts_of
 from corpusmill.session import keep
 
 #: Highest order, words per bucket of n-grams, bytes of text in a chunk, and one in so many training rows that the weights are learned on.
-ORDER, WORDS_PER_BUCKET, CHUNK_BYTES, DELETED = 3, 1_500_000, 6 << 20, 20
+ORDER, WORDS_PER_BUCKET, CHUNK_BYTES, DELETED = 3, 1_500_000, 8 << 20, 20
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEPS_PER_OCTAVE = 4
@@ -115,7 +115,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFr
                         pa.array([_squeeze(counts[own].astype(np.int64))]),
                         pa.array([len(used)]),
                         pa.array([hashes[used].tobytes()]),
-                        pa.array([_squeeze(local.astype(np.int32))]),
+                        pa.array([_squeeze(local.astype(np.int32).view(np.uint8).reshape(-1, 4).T)]),
                     ],
                     names=["tune", "learned", "rows", "tokens", "ids", "learn", "counts", "n_words", "words", "codes"],
                 )
@@ -143,7 +143,8 @@ def open_chunk(row: dict, order: int) -> Chunk:
     n = len(row["ids"])
     words = np.frombuffer(row["words"], dtype=np.uint64)
     counts = _expand(row["counts"], "int64", n)
-    codes = _expand(row["codes"], "int32", int(counts.sum()))
+    planes = _expand(row["codes"], "uint8", 4 * int(counts.sum())).reshape(4, -1)
+    codes = np.ascontiguousarray(planes.T).view(np.int32).ravel()
     learn = _expand(row["learn"], "uint8", n).astype(bool)
     starts = starts_of(counts + 1)
     word = np.full(int(starts[-1]), END, dtype=np.uint64)
