@@ -101,7 +101,7 @@ def train(
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
     chosen = known.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
     texts = known.select("id", "text").join(F.broadcast(chosen.select("id", "lang").distinct()), "id")
-    bags = _bags(texts.select("lang", "text")).toPandas()
+    bags = _bags(texts.select("lang", "text")).toArrow().to_pandas()
     bags = bags[bags["buckets"].map(len) > 0]
     languages = sorted(set(bags["lang"]))
     if not languages:

@@ -366,7 +366,7 @@ def train(
             x = features(part.column("text"), lexicon, model)
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    table = sample.mapInArrow(measure, "toxic int, x array<double>").toPandas()
+    table = sample.mapInArrow(measure, "toxic int, x array<double>").toArrow().to_pandas()
     table = table.iloc[sorted(range(len(table)), key=lambda i: (table["toxic"][i], *table["x"][i]))]
     x, y = np.array(table["x"].tolist()).reshape(-1, FEATURES), table["toxic"].to_numpy(dtype=float)
     weight = np.where(y == 1, share / max(1, toxic), (1 - share) / max(1, clean)) * len(y)
