@@ -24,7 +24,7 @@ from corpusmill.llm.words import append_columns, ragged, slices, split_words, st
 
 #: Words of more bytes are merged one by one with a heap, in time n log n.
 LONGEST_SCANNED = 48
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 NEVER = np.iinfo(np.int32).max
 
 

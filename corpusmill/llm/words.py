@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
