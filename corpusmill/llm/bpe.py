@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import append_columns, ragged, slices, split_words, starts_of
+from corpusmill.llm.words import append_columns, ragged, slices, small_batches, split_words, starts_of
 
 #: Words of more bytes are merged one by one with a heap, in time n log n.
 LONGEST_SCANNED = 48
@@ -315,4 +315,4 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
             yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*kept, text_col])
 
     schema = rows.withColumn(text_col, F.lit("")).schema
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import append_columns, slices, split_words, starts_of
+from corpusmill.llm.words import append_columns, slices, small_batches, split_words, starts_of
 
 #: Rows per language that the model is fitted on (all of a language with fewer), its hash buckets, dimensions,
 #: subword lengths in bytes, and the share of calibration rows that may be rejected.
@@ -77,7 +77,7 @@ def _bags(rows: DataFrame):
                 names=["lang", "buckets", "shares"],
             )
 
-    return rows.mapInArrow(run, "lang string, buckets array<int>, shares array<float>")
+    return small_batches(rows).mapInArrow(run, "lang string, buckets array<int>, shares array<float>")
 
 
 def train(

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import slices, split_words, starts_of
+from corpusmill.llm.words import slices, small_batches, split_words, starts_of
 from corpusmill.session import keep
 
 #: Highest order, words per bucket of n-grams, bytes of text in a chunk, and one in so many training rows that the weights are learned on.
@@ -120,7 +120,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFr
                     names=["tune", "learned", "rows", "tokens", "ids", "learn", "counts", "n_words", "words", "codes"],
                 )
 
-    out = rows.mapInArrow(
+    out = small_batches(rows).mapInArrow(
         run,
         f"tune boolean, learned bigint, rows bigint, tokens bigint, ids array<{kind}>, learn binary, counts binary, n_words bigint,"
         " words binary, codes binary",

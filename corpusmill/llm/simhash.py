@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import graph
-from corpusmill.llm.words import slices, split_words, starts_of
+from corpusmill.llm.words import slices, small_batches, split_words, starts_of
 from corpusmill.session import keep
 
 SEED = 42
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], names=["id", "fingerprint"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, fingerprint binary")
+    found = small_batches(rows).mapInArrow(run, f"id {kind}, fingerprint binary")
     return found.withColumnRenamed("id", id_col)
 
 

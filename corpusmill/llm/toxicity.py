@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.words import append_columns, slices, split_words, starts_of
+from corpusmill.llm.words import append_columns, slices, small_batches, split_words, starts_of
 from corpusmill.session import keep
 
 #: Labelled rows per class that the model is fitted on, lexicon size, rows and odds a term needs, terms a row is covered
@@ -331,7 +331,7 @@ def train(
     order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
     chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_class)
     chosen = chosen.select("id", "toxic", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2)).alias("half"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     sample = keep(texts.join(F.broadcast(chosen), "id").select("text", "toxic", "half"), "labelled")
     sizes = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

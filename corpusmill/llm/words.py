@@ -7,6 +7,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: Bytes and rows that Spark hands to a Python worker at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+
+
+def small_batches(df):
+    """``df``, whose session from now on hands at most ``BATCH_BYTES`` at a time to Python.
+
+    Rows of texts are large and batches are counted in rows by default: this is what bounds the memory of a worker.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        now = int(conf.get(f"spark.sql.execution.arrow.{key}", "0") or 0)
+        if now <= 0 or now > most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return df
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
@@ -80,7 +95,7 @@ def append_columns(df, function, added: str, text_col: str = "text"):
             yield pa.RecordBatch.from_arrays([*own, *found], names=[*kept, *names])
 
     out = StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *new.fields])
-    return rows.mapInArrow(run, out)
+    return small_batches(rows).mapInArrow(run, out)
 
 
 def fold(id_col: str, folds: int):
