@@ -39,7 +39,8 @@ def comparable(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.floor(c * 1e6 + 0.5) / 1e6
+            # Non-finite and very large values stay as they are: floor() gives a BIGINT.
+            c = F.when(F.abs(c) < 9e12, F.floor(c * 1e6 + 0.5) / 1e6).otherwise(c.cast("double"))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))

@@ -153,7 +153,7 @@ def bottom_tier(spark, sf):
 def _bins_sql(source: str, value: str, n: int) -> str:
     probs = "[" + ",".join(f"{i / n}e0" if i not in (0, n) else f"{i // n}.0e0" for i in range(n + 1)) + "]"
     inner = " + ".join(f"({value} > q[{i + 1}])::INT" for i in range(1, n))
-    names = "[" + ",".join(f"'bin_{i + 1}_q{int(100 * (i / n))}-{int(100 * ((i + 1) / n))}'" for i in range(n)) + "]"
+    names = "[" + ",".join(f"'bin_{i + 1}_q{100 * i // n}-{100 * (i + 1) // n}'" for i in range(n)) + "]"
     return f"""lim AS (SELECT quantile_cont({value}, {probs}) AS q FROM {source}),
  binned AS (SELECT *, names[bin] AS bin_name, q[bin] AS min_score, q[bin+1] AS max_score FROM (
  SELECT s.*, q, {names} AS names, 1 + {inner} AS bin FROM {source} s, lim) x)"""

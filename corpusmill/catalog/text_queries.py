@@ -43,10 +43,9 @@ def chat_training_text(spark, sf):
     f"SELECT conv_id, text, md5(text) AS text_md5 FROM ({CHAT_SQL}) t",
 )
 def chat_array_text(spark, sf):
-    """The array form of a chat: turns renamed to from/value, formatted without a shuffle."""
+    """The array form of a chat: one array of from/value turns per chat, formatted without a shuffle."""
     names = F.create_map(*[F.lit(x) for x in ("user", "human", "assistant", "gpt", "system", "system")])
-    turns = b.conversations(spark, sf).withColumn("part", F.floor(F.col("turn") / 4096))
-    chats = turns.groupBy("conv_id", "part").agg(
+    chats = b.conversations(spark, sf).groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", names[F.col("role")].alias("from"), F.col("text").alias("value")))).alias("conversations")
     )
     made = chats.select("conv_id", formats.chat_array_text(F.col("conversations"), formats.TRAINING_ROLES, "from", "value").alias("text"))

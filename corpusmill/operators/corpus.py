@@ -45,7 +45,8 @@ def distinct_ngrams(
     """Per n: total and distinct n-grams and their ratio.
 
     One explode that carries n and a two-level aggregation: equal grams combine before the shuffle,
-    which also takes care of very frequent ones. ``approximate`` replaces the gram shuffle by
+    which also takes care of very frequent ones. What is shuffled is a 128-bit hash of the gram: of N
+    different grams, fewer than N * N / 2 ** 129 pairs are expected to share one. ``approximate`` replaces the gram shuffle by
     mergeable sketches (one row per task and n).
     """
     value = F.lower(text) if lower else F.col(text)
@@ -56,7 +57,7 @@ def distinct_ngrams(
         )
     else:
         counted = (
-            grams.groupBy("n", "gram")
+            grams.groupBy("n", F.xxhash64("gram").alias("_h"), F.xxhash64(F.lit(1), "gram").alias("_l"))
             .agg(F.count("*").alias("_c"))
             .groupBy("n")
             .agg(F.sum("_c").alias("total"), F.count("*").alias("distinct"))

@@ -95,14 +95,23 @@ def _cells_before_cut(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 def prune_to_first(df: DataFrame, score: str, n: int, ascending: bool = False) -> DataFrame:
     """Drop rows that cannot be among the first ``n`` by ``score``; keeps all that can.
 
-    Counts rows in equal-width score cells (a fixed number of them) and keeps the cells up to the one
-    that completes ``n`` rows, so that only little more than ``n`` rows are ranked afterwards.
+    NULL and NaN scores are unranked and dropped. Counts rows in equal-width cells of the finite scores (a fixed
+    number of them, infinite ones before and after) and keeps the cells up to the one that completes ``n`` rows, so
+    that only little more than ``n`` rows are ranked afterwards.
     """
-    low, high = df.agg(F.min(score), F.max(score)).first()
+    value = F.col(score).cast("double")
+    df = df.where(value.isNotNull() & ~F.isnan(value))
+    finite = F.when(F.abs(value) < float("inf"), value)
+    low, high = df.agg(F.min(finite), F.max(finite)).first()
     if low is None or low == high:
         return df
-    share = (F.col(score) - F.lit(low)) / F.lit(float(high) - float(low))
-    cell = F.floor((share if ascending else F.lit(1.0) - share) * PRUNE_CELLS).cast("int")
+    share = (value - F.lit(low)) / F.lit(high - low)
+    first = float("-inf") if ascending else float("inf")
+    cell = (
+        F.when(value == first, -1)
+        .when(value == -first, PRUNE_CELLS + 1)
+        .otherwise(F.floor((share if ascending else F.lit(1.0) - share) * PRUNE_CELLS).cast("int"))
+    )
     counts = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_rows"))
     cut = _cells_before_cut(counts, ()).where(F.col("_run") >= n).agg(F.min("_cell")).first()[0]
     return df if cut is None else df.where(cell <= cut)
@@ -111,7 +120,7 @@ def prune_to_first(df: DataFrame, score: str, n: int, ascending: bool = False) -
 def top_ranked(
     df: DataFrame, n: int, score: str = "score", key: str = "idx", ascending: bool = False
 ) -> DataFrame:
-    """The best ``n`` rows with their ``rank``, ties by key. ``n`` may be millions.
+    """The best ``n`` rows with their ``rank``, ties by key; NULL and NaN scores have none. ``n`` may be millions.
 
     Rows that cannot reach the top are dropped by a counted score cut before the range shuffle, so
     that the shuffle carries little more than ``n`` rows with whatever columns ``df`` has.
@@ -251,6 +260,11 @@ def quantiles(
     )
 
 
+def _percent(i: int, n_bins: int) -> int:
+    """The whole percent at which bin ``i`` starts, cut off after scaling the step and not the share."""
+    return 100 if i == n_bins else int(i * (100 / n_bins))
+
+
 def quantile_bins(df: DataFrame, score: str, n_bins: int, approximate: bool = False) -> DataFrame:
     """Add ``bin`` (1..n), ``bin_name``, ``min_score`` and ``max_score``.
 
@@ -267,7 +281,7 @@ def quantile_bins(df: DataFrame, score: str, n_bins: int, approximate: bool = Fa
         number = number + (F.col(score) > bound).cast("int")
     edges = F.array(*[F.lit(b) for b in bounds])
     names = F.array(
-        *[F.lit(f"bin_{i + 1}_q{int(100 * probs[i])}-{int(100 * probs[i + 1])}") for i in range(n_bins)]
+        *[F.lit(f"bin_{i + 1}_q{_percent(i, n_bins)}-{_percent(i + 1, n_bins)}") for i in range(n_bins)]
     )
     return (
         df.where(F.col(score).isNotNull())

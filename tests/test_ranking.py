@@ -128,3 +128,41 @@ def test_losses(spark):
     mixed = spark.createDataFrame([("a", float("nan")), ("a", float("inf")), ("a", 1.0)], "g string, loss double")
     row = stats.perplexity_summary(mixed, ["g"]).first()
     assert (row.n, row.perplexity, row.perplexity_median) == (1, pytest.approx(math.e), pytest.approx(math.e))
+
+
+def _scored(spark, values):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "idx bigint, score double")
+
+
+def test_top_ranked_leaves_out_missing_scores_only(spark):
+    values = [None if i % 2 else float(i) for i in range(1000)]
+    rows = ranking.top_ranked(_scored(spark, values), 100).orderBy("rank").collect()
+    assert [r.score for r in rows] == sorted((v for v in values if v is not None), reverse=True)[:100]
+    members = ranking.nested_tiers(_scored(spark, values), {"a": 10, "b": 600}).groupBy("tier").count()
+    assert {r.tier: r["count"] for r in members.collect()} == {"a": 10, "b": 500}
+
+
+def test_top_ranked_orders_infinite_scores_and_drops_nan(spark):
+    values = [1.0, float("nan"), float("inf"), float("-inf"), None, 2.0, 3.0]
+    best = [r.score for r in ranking.top_ranked(_scored(spark, values), 3).orderBy("rank").collect()]
+    assert best == [float("inf"), 3.0, 2.0]
+    worst = [r.score for r in ranking.top_ranked(_scored(spark, values), 2, ascending=True).orderBy("rank").collect()]
+    assert worst == [float("-inf"), 1.0]
+
+
+def test_top_ranked_constant_and_few(spark):
+    assert ranking.top_ranked(_scored(spark, [5.0, None, 5.0]), 10).count() == 2
+    assert ranking.top_ranked(_scored(spark, [None, None]), 1).count() == 0
+
+
+def test_bin_names_scale_the_step():
+    linear = [int(100 * 29 / 100), int(29 * (100 / 100))]
+    assert ranking._percent(29, 100) == linear[1] == 29
+    assert [ranking._percent(i, 50) for i in (0, 29, 50)] == [0, 58, 100]
+
+
+def test_comparable_keeps_what_rounding_would_change(spark):
+    from corpusmill.catalog.base import comparable
+
+    rows = comparable(_scored(spark, [float("inf"), 1e14, 0.1234567, None])).orderBy("idx").collect()
+    assert [r.score for r in rows] == [float("inf"), 1e14, 0.123457, None]
