@@ -130,8 +130,10 @@ def build_index(
     named = named.where(F.col("id").isNotNull() & vectors.usable(F.col("vector"))).withColumn(
         "key", vectors.content_key(F.col("vector"))
     )
+    # A row that is there more than once is one.
+    once = named.groupBy("key", "id").agg(F.any_value("vector").alias("vector"))
     order = Window.partitionBy("key").orderBy("id")
-    low = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= copies)
+    low = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= copies)
     nodes = low.groupBy("key").agg(
         F.sort_array(F.collect_set("id")).alias("ids"), F.any_value("vector").cast("array<double>").alias("vector")
     )

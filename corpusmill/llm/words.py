@@ -18,8 +18,8 @@ def small_batches(df):
     """
     conf = df.sparkSession.conf
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
-        now = int(conf.get(f"spark.sql.execution.arrow.{key}", "0") or 0)
-        if now <= 0 or now > most:
+        now = conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
