@@ -147,13 +147,11 @@ def capability_accuracy(spark, sf):
 
 @query(
     "answer_consistency",
-    f"SELECT source AS prompt, count(*) AS n_responses, {r6('1e0/count(DISTINCT split_part(text, chr(10), 1))')} AS consistency FROM documents GROUP BY source",
+    f"SELECT source AS prompt, count(*) AS n_responses, {r6('1e0/count(DISTINCT text)')} AS consistency FROM documents GROUP BY source",
 )
 def answer_consistency(spark, sf):
-    """One over the distinct responses of each prompt (first lines of each source)."""
-    rows = b.documents(spark, sf).select(
-        F.col("source").alias("prompt"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("response")
-    )
+    """One over the distinct responses of each prompt (whole texts of each source, told apart by digest)."""
+    rows = b.documents(spark, sf).select(F.col("source").alias("prompt"), F.sha2("text", 256).alias("response"))
     return grading.answer_consistency(rows)
 
 
