@@ -5,7 +5,7 @@ on how often its context occurs (in buckets of powers of two) and is learned by
 the training texts, against counts from which that part is deleted.
 
 Texts are cut into chunks of words. A chunk sends each different n-gram once, with its count, to the bucket that its
-hash falls into, and gets back the count in all training texts. A bucket so sees an n-gram once per chunk however
+hash falls into, order by order, and gets back the count in all training texts. A bucket so sees an n-gram once per chunk however
 frequent it is, and the number of buckets grows with the number of words.
 """
 
@@ -130,12 +130,12 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, learn: Column) -> DataFr
 
 @dataclass
 class Chunk:
-    """The n-grams of a chunk at each place: ``distinct`` sorted keys, ``at[n - 1]`` their place for order n."""
+    """The n-grams of a chunk: ``distinct[n - 1]`` the sorted keys of order n, ``at[n - 1]`` which of them is at each place."""
 
     counts: np.ndarray
     learn: np.ndarray
     starts: np.ndarray
-    distinct: np.ndarray
+    distinct: list[np.ndarray]
     at: list[np.ndarray]
 
 
@@ -151,19 +151,21 @@ def open_chunk(row: dict, order: int) -> Chunk:
     inner = np.ones(len(word), dtype=bool)
     inner[starts[1:] - 1] = False
     word[inner] = words[codes]
-    grams, context = [], np.full(len(word), 1, dtype=np.uint64)
-    before = word
+    distinct, at, context, before = [], [], np.full(len(word), 1, dtype=np.uint64), word
     for k in range(1, order + 1):
-        # The two lowest bits of a key are its order, so that n-grams of different orders never meet. Longer n-grams
-        # have twelve bits less, which take no room in the differences.
-        spare = np.uint64(3 if k == 1 else 0xFFF)
-        grams.append((_mixed(context * MIX + word) & ~spare) | np.uint64(k))
+        # Longer n-grams have twelve bits less, which take no room in the differences. One order after the other: the
+        # sort of all orders at once takes three times the memory.
+        keys = _mixed(context * MIX + word)
+        if k > 1:
+            keys &= ~np.uint64(0xFFF)
+        own, place = np.unique(keys, return_inverse=True)
+        distinct.append(own)
+        at.append(place.astype(np.int32))
         shifted = np.roll(before, 1)
         shifted[starts[:-1]] = BEGIN
         before = shifted
         context = _mixed(context * np.uint64(0xD1342543DE82EF95) + before)
-    distinct, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-    return Chunk(counts, learn, starts, distinct, np.split(inverse, order))
+    return Chunk(counts, learn, starts, distinct, at)
 
 
 def bucket_bounds(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,23 +182,25 @@ def _ask(kept: DataFrame, buckets: int, order: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 c = open_chunk(row, order)
                 learning = np.repeat(c.learn, c.counts + 1)
-                seen = sum(np.bincount(at[learning], minlength=len(c.distinct)) for at in c.at)
-                names, first = bucket_bounds(c.distinct, buckets)
-                ends = [*first[1:].tolist(), len(c.distinct)]
-                n = len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names),
-                        pa.array([row["chunk"]] * n, pa.int64()),
-                        pa.array([row["tune"]] * n, pa.bool_()),
-                        pa.array([b - a for a, b in zip(first.tolist(), ends)], pa.int64()),
-                        pa.array([_squeeze_keys(c.distinct[a:b]) for a, b in zip(first, ends)], pa.binary()),
-                        pa.array([_squeeze_counts(seen[a:b]) for a, b in zip(first, ends)], pa.binary()),
-                    ],
-                    names=["bucket", "chunk", "tune", "n", "grams", "seen"],
-                )
+                for k, (distinct, at) in enumerate(zip(c.distinct, c.at), 1):
+                    seen = np.bincount(at[learning], minlength=len(distinct))
+                    names, first = bucket_bounds(distinct, buckets)
+                    ends = [*first[1:].tolist(), len(distinct)]
+                    n = len(names)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(names),
+                            pa.array([k] * n, pa.int32()),
+                            pa.array([row["chunk"]] * n, pa.int64()),
+                            pa.array([row["tune"]] * n, pa.bool_()),
+                            pa.array([b - a for a, b in zip(first.tolist(), ends)], pa.int64()),
+                            pa.array([_squeeze_keys(distinct[a:b]) for a, b in zip(first, ends)], pa.binary()),
+                            pa.array([_squeeze_counts(seen[a:b]) for a, b in zip(first, ends)], pa.binary()),
+                        ],
+                        names=["bucket", "order", "chunk", "tune", "n", "grams", "seen"],
+                    )
 
-    return kept.mapInArrow(run, "bucket bigint, chunk bigint, tune boolean, n bigint, grams binary, seen binary")
+    return kept.mapInArrow(run, "bucket bigint, order int, chunk bigint, tune boolean, n bigint, grams binary, seen binary")
 
 
 def _answer(asked: DataFrame) -> DataFrame:
@@ -214,13 +218,14 @@ def _answer(asked: DataFrame) -> DataFrame:
         total = np.bincount(group, weights=seen[order]).astype(np.int64)
         deleted = np.where(np.repeat(tune, sizes), seen, 0)
         left = total - np.bincount(group, weights=deleted[order]).astype(np.int64)
-        single = (grams[order][first] & np.uint64(3)) == 1
-        words = [int((single & (total > 0)).sum())] + [0] * (len(sizes) - 1)
+        single = table.column("order")[0].as_py() == 1
+        words = [int((total > 0).sum()) if single else 0] + [0] * (len(sizes) - 1)
         cut = np.cumsum(sizes)[:-1]
         own = np.split(place, cut)
         return pa.table(
             {
                 "bucket": table.column("bucket"),
+                "order": table.column("order"),
                 "chunk": table.column("chunk"),
                 "tune": table.column("tune"),
                 "n": table.column("n"),
@@ -230,17 +235,20 @@ def _answer(asked: DataFrame) -> DataFrame:
             }
         )
 
-    schema = "bucket bigint, chunk bigint, tune boolean, n bigint, words bigint, total binary, left binary"
-    return asked.groupBy("bucket").applyInArrow(run, schema)
+    schema = "bucket bigint, order int, chunk bigint, tune boolean, n bigint, words bigint, total binary, left binary"
+    return asked.groupBy("bucket", "order").applyInArrow(run, schema)
 
 
 def _counted(left: pa.Table, right: pa.Table, order: int, column: str) -> tuple[dict, Chunk, list[np.ndarray]]:
     """A chunk with the counts of its n-grams at each place, from the answers of all buckets."""
+    pa.default_memory_pool().release_unused()  # what is left of the chunk before
     row = left.to_pylist()[0]
     chunk = open_chunk(row, order)
-    answers = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column(column).to_pylist()))
-    found = np.concatenate([np.zeros(0, np.int64), *(_expand_counts(b, n) for _, n, b in answers)])
-    return row, chunk, [found[at] for at in chunk.at]
+    columns = (right.column(name).to_pylist() for name in ("order", "bucket", "n", column))
+    answers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(order)]
+    for k, _, n, data in sorted(zip(*columns)):
+        answers[k - 1].append(_expand_counts(data, n))
+    return row, chunk, [np.concatenate(found)[at] for found, at in zip(answers, chunk.at)]
 
 
 def probabilities(counts: list[np.ndarray], starts: np.ndarray, weights: Weights, upto: int):
@@ -326,7 +334,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     Null texts are empty, a null id or ``learn`` is no reason to leave a row out (it is not learned from if null);
     repeated rows count each time. Without training rows every token has probability 1. Words are told apart by
-    62-bit hashes, longer n-grams by 52-bit ones (of 1e13 different ones 0.2 % share theirs). Tables that cut lineage: the chunks of words, the answers of the buckets, the counts tuned on.
+    64-bit hashes, longer n-grams by 52-bit ones (of 1e13 different ones 0.2 % share theirs). Tables that cut lineage: the chunks of words, the answers of the buckets, the counts tuned on.
     """
     kept = keep(chunks(docs, id_col, text_col, learn), "chunks")
     only = F.when(F.col("tune"), 1).otherwise(0)
