@@ -61,8 +61,9 @@ def conversations(spark, sf_dir):
 
 
 def chat_pairs(spark, sf_dir) -> DataFrame:
-    """First user and first assistant turn of every chat."""
-    return formats.first_exchange(conversations(spark, sf_dir)).withColumnRenamed("conv_id", "idx")
+    """Every user turn of every chat with its answer; ``idx`` is chat:turn."""
+    idx = F.concat_ws(":", "conv_id", "turn").alias("idx")
+    return formats.exchanges(conversations(spark, sf_dir)).select(idx, "instruction", "response")
 
 
 def document_pairs(spark, sf_dir) -> DataFrame:
@@ -191,8 +192,10 @@ def grammar(t: str, n: str, s: str, low_words: str) -> str:
     )
 
 
-CHAT_PAIRS = """SELECT conv_id AS idx, arg_min(text, turn) FILTER (WHERE role='user') AS instruction,
- arg_min(text, turn) FILTER (WHERE role='assistant') AS response FROM conversations GROUP BY conv_id"""
+EXCHANGES = """SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn-1) AS turn, u.text AS instruction, a.text AS response
+ FROM (SELECT * FROM conversations WHERE role='user') u FULL JOIN (SELECT * FROM conversations WHERE role='assistant') a
+ ON u.conv_id=a.conv_id AND u.turn+1=a.turn"""
+CHAT_PAIRS = f"SELECT conv_id||':'||turn AS idx, instruction, response FROM ({EXCHANGES}) x"
 DOCUMENT_PAIRS = "SELECT doc_id AS idx, split_part(text, chr(10), 1) AS instruction, text AS response FROM documents"
 
 

@@ -32,13 +32,13 @@ for _name in PARTS:
     def _one(spark, sf, part=_name):
         return quality.score_components(b.chat_pairs(spark, sf), only=[part]).select("idx", part)
 
-    _one.__doc__ = f"The {_name.replace('_', ' ')} dimension of every chat's first exchange."
+    _one.__doc__ = f"The {_name.replace('_', ' ')} dimension of every exchange of every chat."
     query(f"{_name}_scores", f"WITH {CHAT_SCORED} SELECT idx, {r6(_name)} AS {_name} FROM scored")(_one)
 
 
 @query("chat_quality", f"WITH {CHAT_SCORED} SELECT idx, {ROUNDED} FROM scored")
 def chat_quality(spark, sf):
-    """All dimensions and the weighted total of every chat's first exchange."""
+    """All dimensions and the weighted total of every exchange of every chat."""
     return flat(quality.score_pairs(b.chat_pairs(spark, sf)))
 
 

@@ -66,21 +66,19 @@ def chat_dialogue_text(spark, sf):
     return formats.dialogue_text(b.conversations(spark, sf))
 
 
-SYSTEM_PAIRS = """SELECT conv_id, arg_min(text, turn) FILTER (WHERE role='system') AS system,
- arg_min(text, turn) FILTER (WHERE role='user') AS instruction, arg_min(text, turn) FILTER (WHERE role='assistant') AS response
- FROM conversations GROUP BY conv_id"""
+SYSTEM_PAIRS = f"""SELECT * FROM ({b.EXCHANGES}) x
+ LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS system FROM conversations WHERE role='system' GROUP BY conv_id) s USING (conv_id)"""
 PAIR = "'### Instruction:'||chr(10)||coalesce(instruction,'')||chr(10)||chr(10)||'### Response:'||chr(10)||coalesce(response,'')"
 
 
 def _system_pairs(spark, sf):
     turns = b.conversations(spark, sf)
-    system = turns.groupBy("conv_id").agg(F.expr("min_by(text, turn) FILTER (WHERE role = 'system')").alias("system"))
-    return formats.first_exchange(turns).join(system, "conv_id")
+    return formats.exchanges(turns).join(formats.system_text(turns), "conv_id", "left")
 
 
 @query(
     "pair_training_text",
-    f"""SELECT conv_id, CASE WHEN coalesce(system,'')<>'' THEN 'System: '||system||chr(10)||chr(10)||{PAIR} ELSE {PAIR} END AS with_system,
+    f"""SELECT conv_id, turn, CASE WHEN coalesce(system,'')<>'' THEN 'System: '||system||chr(10)||chr(10)||{PAIR} ELSE {PAIR} END AS with_system,
  {PAIR} AS without_system, CASE WHEN coalesce(instruction,'')<>'' AND coalesce(response,'')<>'' THEN {PAIR} END AS complete_only
  FROM ({SYSTEM_PAIRS}) t""",
 )
@@ -89,6 +87,7 @@ def pair_training_text(spark, sf):
     ask, answer = F.col("instruction"), F.col("response")
     return _system_pairs(spark, sf).select(
         "conv_id",
+        "turn",
         formats.pair_text(ask, answer, F.col("system")).alias("with_system"),
         formats.pair_text(ask, answer).alias("without_system"),
         formats.pair_text(ask, answer, reject_empty=True).alias("complete_only"),

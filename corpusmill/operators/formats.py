@@ -99,6 +99,41 @@ def first_exchange(
     )
 
 
+def exchanges(
+    turns: DataFrame,
+    chat: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    content: str = "text",
+    asker: str = "user",
+    answerer: str = "assistant",
+) -> DataFrame:
+    """(chat, turn, ``instruction``, ``response``): one pair per user turn and the assistant turn right after it.
+
+    A user turn without an answer has no response, an answer to nothing no instruction (its turn is the one before).
+    Turns meet on (chat, turn), so that a chat of any length is spread over all tasks. Of repeated turns the smallest
+    text counts; rows without a turn number belong to no exchange.
+    """
+    spoken = turns.where(F.col(role).isin(asker, answerer) & F.col(turn).isNotNull())
+    asked = F.when(F.col(role) == answerer, F.col(turn) - 1).otherwise(F.col(turn))
+    return spoken.groupBy(chat, asked.alias(turn)).agg(
+        F.min(F.when(F.col(role) == asker, F.col(content))).alias("instruction"),
+        F.min(F.when(F.col(role) == answerer, F.col(content))).alias("response"),
+    )
+
+
+def system_text(
+    turns: DataFrame, chat: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text"
+) -> DataFrame:
+    """(chat, ``system``): the system turns of a chat in order, a line each. Chats without any do not appear."""
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(content).alias("text"))))
+    return (
+        turns.where((F.col(role) == "system") & F.col(content).isNotNull())
+        .groupBy(chat)
+        .agg(F.array_join(F.transform(in_order, lambda t: t["text"]), "\n").alias("system"))
+    )
+
+
 def first_present(*columns: str) -> Column:
     """The first column that is not NULL, else an empty string (an empty string counts as present)."""
     return F.coalesce(*[F.col(c) for c in columns], F.lit(""))

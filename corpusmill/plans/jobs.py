@@ -44,7 +44,7 @@ def score_and_tier(
     resolved = formats.resolve_pair(pairs)
     store = f"{path}/scores"
     score_store.update_store(resolved, store, weights=weights)
-    narrow = score_store.with_stored_scores(resolved, store).select(key, "score", "components")
+    narrow = keep(score_store.with_stored_scores(resolved, store).select(key, "score", "components"), "scores")
     members = ranking.nested_tiers(narrow, tiers, key=key)
     members.write.partitionBy("tier").parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")

@@ -122,10 +122,29 @@ def test_chat_texts(spark):
     assert dialogue == {1: ("User: Hi\n\nAssistant: Hello", 4), 2: ("User: Alone", 2)}
     pair = {r.conv_id: (r.instruction, r.response) for r in formats.first_exchange(df).collect()}
     assert pair == {1: ("Hi", "Hello"), 2: ("Alone", None), 3: (None, None)}
+    system = {r.conv_id: r.system for r in formats.system_text(df).collect()}
+    assert system == {1: "Be kind."}
     parsed = formats.prompt_and_reference(formats.chat_text(df, names)).collect()
     assert [(r.prompt[-14:], r.reference) for r in parsed] == [("### Response:\n", "Hello")]
 
 
+def test_exchanges_use_all_turns(spark):
+    turns = [
+        (1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "user", "d"),
+        (1, 5, "assistant", "e"), (2, 0, "assistant", "f"), (2, 0, "assistant", "f"), (3, 0, "tool", "x"), (3, None, "user", "y"),
+        (None, 1, "user", "g"), (None, 2, "assistant", None),
+    ]
+    turns += [(4, i, ("user", "assistant")[i % 2], str(i)) for i in range(10_000)]
+    df = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    made = {(r.conv_id, r.turn): (r.instruction, r.response) for r in formats.exchanges(df).collect()}
+    long = {k: v for k, v in made.items() if k[0] == 4}
+    assert long == {(4, i): (str(i), str(i + 1)) for i in range(0, 10_000, 2)}
+    assert {k: v for k, v in made.items() if k[0] != 4} == {
+        (1, 1): ("a", "b"), (1, 3): ("c", None), (1, 4): ("d", "e"), (2, -1): (None, "f"), (None, 1): ("g", None),
+    }
+    assert formats.exchanges(df.limit(0)).count() == 0
+
+
 def test_random_texts_match_python(spark):
     draw = random.Random(7)
     alphabet = ["a", "B", "é", " ", " ", "\n", " ", ".", "!", ",", "7", "\x1d"]
