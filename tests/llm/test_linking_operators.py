@@ -159,3 +159,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert done.select("doc_id").distinct().count() == single.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, every.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_one_of_each_equals_brute_force(spark):
+    rng = random.Random(11)
+    docs, word = [], lambda: f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}"
+    for family in range(60):
+        text = [word() for _ in range(rng.randrange(30, 500))]
+        docs.append(text)
+        for _ in range(3):  # edits one after another: similarities from 0.7 to 0.95, chains below 0.8
+            text = list(docs[-1])
+            changed = int(len(text) * rng.uniform(0.025, 0.18)) + 1
+            at = rng.randrange(len(text) - changed + 1)
+            text[at : at + changed] = [word() for _ in range(changed)]
+            docs.append(text)
+    shared = [word() for _ in range(300)]
+    docs += [shared + [word() for _ in range(rng.randrange(40, 160))] for _ in range(40)]  # a passage in all of them
+    docs += [["one", "two"], ["One", "two"], ["one"], ["x"] * 300 + shared, ["x"] * 5 + shared, [], [" "]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(docs)] + [(10**6, None)]
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    values = {(a, b): len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for a in range(len(rows)) for b in range(a)}
+    assert sum(0.75 <= v < 0.8 for v in values.values()) > 10 and sum(0.8 <= v < 0.85 for v in values.values()) > 10
+    roots = joined([p for p, v in values.items() if v >= 0.8 or not (sets[p[0]] or sets[p[1]])], range(len(rows)))
+    single = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in single.collect()) == sorted(rows[i][0] for i in set(roots.values()))
