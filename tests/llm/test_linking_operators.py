@@ -186,3 +186,13 @@ def test_one_of_each_equals_brute_force(spark):
     roots = joined([p for p, v in values.items() if v >= 0.8 or not (sets[p[0]] or sets[p[1]])], range(len(rows)))
     single = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
     assert sorted(r.doc_id for r in single.collect()) == sorted(rows[i][0] for i in set(roots.values()))
+
+
+def test_related_texts_below_the_similarity_stay(spark):
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}"
+    chain = [[word() for _ in range(400)]]
+    for k in range(1, 20):  # each shares 0.72 to 0.79 of its shingles with the one before
+        chain.append(chain[-1][: (at := 20 * (k % 15))] + [word() for _ in range(rng.randrange(46, 60))] + chain[-1][at + 53 :])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(chain)], "doc_id bigint, text string")
+    assert corpus_pipeline.one_of_each(spark, docs, "").count() == len(chain)
