@@ -52,7 +52,7 @@ class Lexicon:
                 node = self.children[node][letter]
             (self.stem if term.endswith("*") else self.word)[node] = i
         self.start = self._close({0: 0})
-        self.shared: dict[str, tuple[dict[int, int], int]] = {"": (self.start, -1)}
+        self.shared: dict[str, tuple[dict[int, int], int, int]] = {"": (self.start, -1, -1)}
 
     def _close(self, states: dict[int, int]) -> dict[int, int]:
         """With the letters of the term that the word may leave out."""
@@ -75,35 +75,39 @@ class Lexicon:
                     out.setdefault(child, 1)
         return self._close(out) if 0 in out.values() else out
 
-    def _after(self, prefix: str) -> tuple[dict[int, int], int]:
-        """The states after ``prefix`` and the stem it starts with (or -1)."""
+    def _after(self, prefix: str) -> tuple[dict[int, int], int, int]:
+        """The states after ``prefix``, the stem it starts with and the one it starts with misspelled (or -1)."""
         found = self.shared.get(prefix)
         if found is None:
-            states, stem = self._after(prefix[:-1])
-            found = self._advance(states, stem, prefix[-1])
+            found = self._advance(*self._after(prefix[:-1]), prefix[-1])
             if len(self.shared) > 200_000:
-                self.shared = {"": (self.start, -1)}
+                self.shared = {"": (self.start, -1, -1)}
             self.shared[prefix] = found
         return found
 
-    def _advance(self, states, stem, letter):
+    def _advance(self, states, stem, near, letter):
+        # A misspelled stem has to end in its own last letter: without that, any word of a shorter prefix would be one.
+        for node, edits in states.items():
+            term = self.stem[self.children[node].get(letter, 0)]
+            if edits == 1 and term >= 0 and len(self.terms[term]) > FUZZY_FROM and (near < 0 or term < near):
+                near = term
         states = self._step(states, letter) if states else states
         if stem < 0:
             for node, edits in states.items():
                 if edits == 0 and self.stem[node] >= 0:
                     stem = self.stem[node]
-        return states, stem
+        return states, stem, near
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the best term that ``word`` is, or misspells by one edit; else None."""
-        states, stem = self._after(word[:4])
+        """(term, edits) of the best term that ``word`` is (a stem: starts with), or misspells by one edit; else None."""
+        states, stem, near = self._after(word[:4])
         for letter in word[4:]:
             if stem >= 0 or not states:
                 break
-            states, stem = self._advance(states, stem, letter)
+            states, stem, near = self._advance(states, stem, near, letter)
         if stem >= 0:
             return stem, 0
-        best = None
+        best = (near, 1) if near >= 0 else None
         for node, edits in states.items():
             term = self.word[node]
             if term >= 0 and (edits == 0 or len(self.terms[term]) >= FUZZY_FROM):

@@ -196,3 +196,13 @@ def test_toxicity_held_out_misspelled_quoted_and_empty(spark):
     plain = toxicity.train(docs, labels.limit(0))
     assert {r.toxic for r in toxicity.score(docs, plain).collect()} == {0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_misspelled_stems_are_found():
+    found = [(w, 40, 0) for w in ("idiot", "idiots", "idiotic")] + [("idiot*", 120, 0), ("idio*", 120, 0), ("idi*", 120, 0)]
+    terms = list(toxicity.choose_terms(sorted(found, key=lambda x: -x[1]), 200, 200))
+    assert terms == ["idiot*"]
+    lexicon = toxicity.Lexicon([*terms, "scu*"])
+    assert {lexicon.find(w) for w in ("idyotic", "idot", "idots", "iddiots", "xidiotic", "diotic")} == {(0, 1)}
+    assert lexicon.find("idiotic") == (0, 0) and lexicon.find("scum") == (1, 0)
+    assert {lexicon.find(w) for w in ("idio", "idyll", "idiom", "ixyot", "scx", "skum")} == {None}
