@@ -254,6 +254,12 @@ def _variants(rows: DataFrame, terms: list[str]) -> DataFrame:
     return found.groupBy("word", "term", "half").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
 
+def _ordinary(near: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """(word, clean rows) of the words near a term that in half 0, of so many rows a class, are not commoner in toxic rows."""
+    seen = near.where("half = 0").groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return seen.where((F.col("n") > 0) & (F.col("t") * clean <= F.col("n") * toxic)).select("word", "n")
+
+
 def _context(words: list[str], at: int) -> str:
     """``quoted``, ``addressed`` or ``plain``, from the window around a hit."""
     before, after = words[max(0, at - WINDOW) : at], words[at + 1 : at + 1 + WINDOW]
@@ -354,7 +360,7 @@ def train(
     picked = cover([r.terms for r in _present(sample, names).collect()], odds_of) if names else []
     model.terms, model.exact = [names[i] for i in picked], [float(odds_of[i]) for i in picked]
     near = _variants(sample, model.terms)
-    ordinary = near.where("half = 0 AND n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    ordinary = _ordinary(near, sizes.get((1, 0), 0), sizes.get((0, 0), 0))
     model.exceptions = frozenset(r.word for r in ordinary.orderBy(F.desc("n"), "word").limit(EXCEPTIONS).collect())
     left = near.where("half = 1").join(F.broadcast(ordinary.select("word")), "word", "left_anti")
     seen = {r.term: (r.t, r.n) for r in left.groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()}

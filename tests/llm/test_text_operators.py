@@ -206,3 +206,16 @@ def test_misspelled_stems_are_found():
     assert {lexicon.find(w) for w in ("idyotic", "idot", "idots", "iddiots", "xidiotic", "diotic")} == {(0, 1)}
     assert lexicon.find("idiotic") == (0, 0) and lexicon.find("scum") == (1, 0)
     assert {lexicon.find(w) for w in ("idio", "idyll", "idiom", "ixyot", "scx", "skum")} == {None}
+
+
+def test_a_misspelling_in_one_clean_row_is_no_exception(spark):
+    rows = [("idyot", 0, 0, 30, 1), ("idyot", 0, 1, 0, 9), ("idiom", 0, 0, 0, 1), ("idiots", 0, 0, 2, 90), ("idoit", 0, 0, 5, 0)]
+    near = spark.createDataFrame(rows, "word string, term bigint, half bigint, t bigint, n bigint")
+    assert {(r.word, r.n) for r in toxicity._ordinary(near, 100, 4000).collect()} == {("idiom", 1), ("idiots", 90)}
+    fillers = [f"v{i % 7} w{i % 11} x{i}" for i in range(400)]
+    texts = [(i, f"{f} you idiot" if i % 3 else f"{f} you idyot") if i < 60 else (i, f) for i, f in enumerate(fillers)]
+    texts += [(1000 + i, f"he wrote idyot {i}") for i in range(2)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in texts], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert "idyot" not in model.exceptions
