@@ -91,7 +91,8 @@ def train(
 ) -> LanguageModel:
     """Fit the model on whole texts of a bounded sample of ``docs``: those of each language with the smallest id hashes.
 
-    Rows with a null language, id or text are not used. One fifth of the sample calibrates: the temperature that
+    Rows with a null language, id or text are not used; an id counts once, with the smallest of its languages and the
+    smallest text in it. One fifth of the sample calibrates: the temperature that
     makes its probabilities likeliest, and the threshold below which at most ``REJECTED`` of it lies (0.5 at most).
     A table without usable rows gives a model without languages, which answers ``und``.
     """
@@ -99,8 +100,8 @@ def train(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     ).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    chosen = known.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
-    texts = known.select("id", "text").join(F.broadcast(chosen.select("id", "lang").distinct()), "id")
+    chosen = known.groupBy("id").agg(F.min("lang").alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
+    texts = known.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
     bags = _bags(texts.select("lang", "text")).toArrow().to_pandas()
     bags = bags[bags["buckets"].map(len) > 0]
     languages = sorted(set(bags["lang"]))

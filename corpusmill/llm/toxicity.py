@@ -331,7 +331,8 @@ def train(
     """Learn lexicon, weights and regression from whole texts of at most ``rows_per_class`` labelled rows per class.
 
     The rows with the smallest id hashes are taken. Null ids, labels and texts, and ids that only one of the tables
-    has, are not used; of an id labelled more than once the largest label counts. Without toxic rows the model has
+    has, are not used; of an id labelled more than once the largest label counts, of one with several texts the
+    smallest text. Without toxic rows the model has
     no terms and gives every text the share of toxic rows, 0 where there are none.
 
     Half of the sample shows which near spellings are clean words, the other half weighs the rest of them.
@@ -342,7 +343,8 @@ def train(
     chosen = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_class)
     chosen = chosen.select("id", "toxic", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(2)).alias("half"))
     texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    sample = keep(texts.join(F.broadcast(chosen), "id").select("text", "toxic", "half"), "labelled")
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic", "half").agg(F.min("text").alias("text"))
+    sample = keep(sample.select("text", "toxic", "half"), "labelled")
     sizes = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = (sum(n for (t, _), n in sizes.items() if t == k) for k in (1, 0))

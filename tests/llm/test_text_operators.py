@@ -219,3 +219,15 @@ def test_a_misspelling_in_one_clean_row_is_no_exception(spark):
     labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in texts], "doc_id bigint, toxic int")
     model = toxicity.train(docs, labels)
     assert "idyot" not in model.exceptions
+
+
+def test_training_takes_one_row_of_an_id(spark, monkeypatch):
+    rows = [(1, f"same id {i % 50}", "ab"[i % 2]) for i in range(400)] + [(2, "two", "b"), (3, "three", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = []
+    bags, kept = language_id._bags, toxicity.keep
+    monkeypatch.setattr(language_id, "_bags", lambda x: seen.append(x.count()) or bags(x))
+    monkeypatch.setattr(toxicity, "keep", lambda x, name: seen.append(x.count()) or kept(x, name))
+    language_id.train(docs, epochs=1)
+    toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id bigint, toxic int"))
+    assert seen == [3, 3]
