@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language_id, shingles, toxicity
+from corpusmill.llm import language_id, simhash, toxicity
 from corpusmill.llm.queries import packed_documents
 from corpusmill.llm.vectors import content_key
 from corpusmill.session import keep
 
-#: Documents are near-duplicates from a similarity (Jaccard) of their five-word shingles of ``shingles.SIMILAR`` on.
-SHINGLE_WORDS = 5
+#: Documents are near-duplicates if the fingerprints of their shingles of so many words differ in so many bits at most.
+SHINGLE_WORDS, BITS_APART = 3, 2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = docs.withColumn("_key", content_key(F.col("doc_id"), F.col("text")))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key").alias("_row")
-    groups = shingles.near_duplicates(rows.select(order, "text"), SHINGLE_WORDS, id_col="_row")
+    tables = simhash.single_table(64, radius=BITS_APART)
+    groups = simhash.near_duplicates(rows.select(order, "text"), tables, bits=64, width=SHINGLE_WORDS, id_col="_row")
     chosen = groups.where("_row = component_id").select("_row._key.*").distinct()
     kept = rows.select("*", "_key.*").join(chosen, ["h", "l"], "left_semi")
     return kept.dropDuplicates(["h", "l"]).select(*docs.columns)
