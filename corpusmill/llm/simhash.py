@@ -3,7 +3,7 @@
 The bits of a table are cut into segments and mapped to the number of set bits in each. Two fingerprints that differ
 in r bits of a table have counts at most r apart in Manhattan distance, so a grid over the counts is a lower bound:
 where the distance is at most 2 * reach, some point of the grid is within ``reach`` of both. Fingerprints meet at these
-points and are then compared exactly. With reach 0 and several tables, those meet that have equal counts in a table.
+points and are then compared exactly.
 """
 
 from __future__ import annotations
@@ -114,13 +114,6 @@ def single_table(bits: int = 64, radius: int = 2, segments: int = 16) -> Tables:
     return Tables(np.arange(bits)[None], segments, (radius + 1) // 2, radius)
 
 
-def many_tables(bits: int, radius: int, tables: int, table_bits: int, segments: int, seed: int = 1) -> Tables:
-    """Tables of some bits each, for a radius too wide for one grid: pairs meet where a table has equal counts."""
-    random = np.random.default_rng(seed)
-    chosen = np.stack([random.choice(bits, table_bits, replace=False) for _ in range(tables)])
-    return Tables(chosen, segments, 0, radius)
-
-
 def links(classes: DataFrame, tables: Tables) -> DataFrame:
     """Links (a, b) that join the fingerprints of ``classes`` (node, fingerprint) that meet and are within the radius.
 

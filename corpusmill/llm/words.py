@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -78,24 +80,25 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def append_columns(df, function, added: str, text_col: str = "text"):
     """``df`` with the columns ``added`` (a schema), which ``function`` gives for an Arrow array of texts.
 
-    Every row is kept, with all its columns. A column that has the name of an added one is replaced by it.
+    Every row is kept, with all its columns. A column that has the name of an added one is replaced by it. Only the
+    text goes to Python, and only the added columns come back.
     """
     from pyspark.sql import functions as F
     from pyspark.sql.types import StructType
 
-    new = StructType.fromDDL(added)
-    names = [f.name for f in new.fields]
-    kept = [c for c in df.columns if c not in names]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    names = StructType.fromDDL(added).fieldNames()
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in names]
 
-    def run(batches):
-        for part in slices(batches, "__text"):
-            found = function(part.column("__text"))
-            own = [part.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*own, *found], names=[*kept, *names])
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            found = [pa.StructArray.from_arrays(function(part.column(0)), names=names) for part in slices([batch])]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.struct([(n, pa.null()) for n in names]))
 
-    out = StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *new.fields])
-    return small_batches(rows).mapInArrow(run, out)
+    # Marked as not repeatable, or a filter on an added column would have the function run a second time.
+    found = F.arrow_udf(run, StructType.fromDDL(added)).asNondeterministic()
+    rows = small_batches(df).select(*kept, found(F.col(f"`{text_col}`").cast("string")).alias("__found"))
+    return rows.select(*kept, "__found.*")
 
 
 def fold(id_col: str, folds: int):
