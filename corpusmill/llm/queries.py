@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, embedding_dedup, graph_search, language_id, ngram_lm, packing, simhash, toxicity, url_filter
+from corpusmill.llm import (
+    bpe,
+    chat_format,
+    chat_repair,
+    collocations,
+    embedding_dedup,
+    graph_search,
+    language_id,
+    multiset_hash,
+    ngram_lm,
+    packing,
+    simhash,
+    toxicity,
+    url_filter,
+)
 from corpusmill.llm.words import fold
 from corpusmill.session import keep
 
@@ -233,6 +247,196 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+# --- 11: collocations -----------------------------------------------------------------------------------
+@query
+def op11_collocations(spark, sf_dir):
+    """The first 2000 phrases of two to five words of every language that occur 100 times or more."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"), least=100, first=2000)
+
+
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {k} AS size, unnest([array_to_string(w[i:i + {k - 1}], ' ') FOR i IN range(1, len(w) - {k - 2})]) AS phrase FROM pieces WHERE len(w) >= {k}"
+    for k in range(1, 6)
+)
+ORACLE["op11_collocations"] = rf"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+cut AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+
+]')) AS piece FROM texts),
+pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM cut),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+longer AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM longer),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM longer o WHERE o.lang = b.lang AND o.a >= b.a AND o.phrase <> b.phrase AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+# --- 12: conversation repair --------------------------------------------------------------------------
+@query
+def op12_chat_repair(spark, sf_dir):
+    """Every chat after damage, with its faults and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_repair.every_chat(chat_repair.repair(chat_repair.damaged(turns)), turns)
+
+
+def _more(way: str, cost: str, letter: str) -> str:
+    """A way (six digits of cost, then the audit) with one more edit."""
+    return f"(lpad((({way})[1:6]::INT + {cost})::VARCHAR, 6, '0') || ({way})[7:] || '{letter}')"
+
+
+def _inserted(ways: str) -> str:
+    """Ways per state, each also reached by inserting rows."""
+    user = f"least({ways}[3], {', '.join(_more(f'{ways}[{k}]', '3', 'I') for k in (1, 2, 4))})"
+    return f"list_transform([[{ways}[1], {ways}[2], {user}, {ways}[4]]], lambda i: [i[1], i[2], i[3], least(i[4], {_more('i[3]', '3', 'I')})])[1]"
+
+
+def _after_row(w: str, row: str) -> str:
+    """Ways per state after a row [initial, fault]."""
+    late = f"(CASE WHEN {row}[2] = 't' THEN 3 ELSE 0 END)"
+    stays = f"{row}[2] NOT IN ('b', 'd')"
+    gone = [_more(f"{w}[{k}]", "4", "D") for k in range(1, 5)]
+
+    def kept(initial, *sources):
+        return [f"CASE WHEN {stays} AND {row}[1] = '{initial}' THEN {_more(f'{w}[{k}]', late, 'K')} END" for k in sources]
+
+    def turned(*sources):
+        return [f"CASE WHEN {stays} THEN {_more(f'{w}[{k}]', f'3 + {late}', 'R')} END" for k in sources]
+
+    system = ", ".join([gone[1], *kept("s", 1)])
+    user = ", ".join([gone[2], *kept("u", 1, 2, 4), *turned(1, 2, 4)])
+    answer = ", ".join([gone[3], *kept("a", 3), *turned(3)])
+    return f"[{gone[0]}, least({system}), least({user}), least({answer})]"
+
+
+_SEEN = "regexp_replace(text, '[ \\t-\\r]', '', 'g')"
+ORACLE["op12_chat_repair"] = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS cells),
+fated AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+      lambda c, b: xor(c >> 8, cells[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS fate
+  FROM conversations, crc),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fated),
+faulty AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    CASE WHEN {_SEEN} = '' THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'd'
+      WHEN right({_SEEN}, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+  FROM rows),
+near AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS two FROM faulty),
+chats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal,
+    list([left(role, 1), fault, NULL, NULL] ORDER BY pos) AS steps
+  FROM near GROUP BY conv_id),
+ways AS (
+  SELECT *, list_reduce([['000000', NULL, NULL, NULL]] || steps,
+    lambda w, r: list_transform([{_inserted("w")}], lambda v: {_after_row("v", "r")})[1]) AS w
+  FROM chats),
+solved AS (
+  SELECT * EXCLUDE (w, steps), list_transform([{_inserted("w")}], lambda v: least(v[1], v[4]))[1] AS way FROM ways),
+letters AS (
+  SELECT conv_id, i, way[6 + i] AS letter, sum((way[6 + i] <> 'I')::INT) OVER w AS pos, sum((way[6 + i] <> 'D')::INT) OVER w AS nth
+  FROM (SELECT conv_id, way, unnest(range(1, len(way) - 5)) AS i FROM solved) WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+named AS (
+  SELECT l.*, r.role, r.text, max((nth = 1 AND letter = 'K' AND left(r.role, 1) = 's')::INT) OVER (PARTITION BY l.conv_id) AS lead
+  FROM letters l LEFT JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.pos = l.pos AND l.letter <> 'I'),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS text
+  FROM named WHERE letter <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(way[1:6]::BIGINT, 0) AS cost, coalesce(way[7:], '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+# --- 13: document fingerprints ------------------------------------------------------------------------
+@query
+def op13_multiset_hash(spark, sf_dir):
+    """Every document and its edited text as sums of the hashes of their paragraphs, and what they have in common."""
+    found = multiset_hash.edited_halves(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    edited = multiset_hash.fingerprint(F.col("edited"))
+    both = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", edited.alias("edited"), "next")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        multiset_hash.as_hex(F.col("found")).alias("fingerprint"),
+        multiset_hash.as_hex(F.col("edited")).alias("edited_fingerprint"),
+        multiset_hash.likeness(F.col("found"), F.col("edited")).alias("near_edited"),
+        multiset_hash.likeness(F.col("found"), F.col("next")).alias("near_next"),
+    )
+
+
+_LONGS, _M = multiset_hash.LONGS, multiset_hash.LANE
+_LINES = rf"""flatten(list_transform(string_split({{0}}, chr(10)), lambda z: CASE WHEN length(z) <= {multiset_hash.LONG_LINE} THEN [z]
+  ELSE string_split(regexp_replace(z, '([.!?]) ', ' ' || chr(10), 'g'), chr(10)) END))"""
+_HEX8 = "lpad(lower(to_hex({0})), 8, '0')"
+
+
+def _near(a: str, b: str) -> str:
+    def dot(x, y):
+        return f"list_sum(list_transform(list_zip({x}, {y}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+
+    return (
+        f"CASE WHEN {a}.lanes = {b}.lanes AND {a}.total = {b}.total THEN 1e0 ELSE greatest(0e0, least(1e0, coalesce("
+        f"2 * {dot(f'{a}.even', f'{b}.even')} / nullif({dot(f'{a}.even', f'{a}.even')} + {dot(f'{b}.even', f'{b}.even')}, 0), 0e0))) END"
+    )
+
+
+ORACLE["op13_multiset_hash"] = f"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, length(text) AS n, length(text) // 2 AS h,
+    coalesce(lead(text) OVER w, first_value(text) OVER w) AS nxt
+  FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, sha256(text))),
+e AS MATERIALIZED (SELECT *, left(text, n - h) || left(nxt, h) AS edited FROM n),
+every AS (SELECT text FROM e UNION SELECT edited FROM e),
+cut AS (SELECT text, unnest({_LINES.format("text")}) AS p FROM every),
+named AS (SELECT DISTINCT p, sha256(p) AS first FROM cut),
+worded AS (
+  SELECT p, greatest(1, floor(sqrt(length(p))))::BIGINT AS weight,
+    flatten([[('0x' || substr(sha256(first || k), q, 16))::UBIGINT FOR q IN [1, 17, 33, 49]] FOR k IN range({_LONGS // 32})]) AS words
+  FROM named),
+spread AS MATERIALIZED (
+  SELECT p, weight,
+    [((words[1 + t // 8] >> (4 * (t % 8)) & {multiset_hash.ENTRIES}::UBIGINT)::BIGINT * weight) FOR t IN range({_LONGS})] AS entries
+  FROM worded),
+sums AS (
+  SELECT text, t, sum(weight)::BIGINT AS total, sum(entry)::HUGEINT AS s
+  FROM (SELECT text, weight, unnest(entries) AS entry, unnest(range({_LONGS})) AS t FROM cut JOIN spread USING (p)) GROUP BY text, t),
+prints AS MATERIALIZED (
+  SELECT text, {{'total': any_value(total) & {_M}, 'lanes': flatten(list([(s >> 32)::BIGINT & {_M}, s::BIGINT & {_M}] ORDER BY t)),
+    'even': list_transform(flatten(list([(s >> 32)::BIGINT & {_M}, s::BIGINT & {_M}] ORDER BY t)), lambda x: 2 * x - {multiset_hash.ENTRY} * (any_value(total) & {_M}))}} AS f
+  FROM sums GROUP BY text)
+SELECT e.doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+  {_HEX8.format("a.f.total")} || array_to_string(list_transform(a.f.lanes, lambda x: {_HEX8.format("x")}), '') AS fingerprint,
+  {_HEX8.format("b.f.total")} || array_to_string(list_transform(b.f.lanes, lambda x: {_HEX8.format("x")}), '') AS edited_fingerprint,
+  {_near("a.f", "b.f")} AS near_edited, {_near("a.f", "c.f")} AS near_next
+FROM e JOIN prints a ON a.text = e.text JOIN prints b ON b.text = e.edited JOIN prints c ON c.text = e.nxt
+"""
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of ``corpus_pipeline`` over the documents."""
