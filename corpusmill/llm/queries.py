@@ -390,7 +390,7 @@ def op13_multiset_hash(spark, sf_dir):
 
 _LONGS, _M = multiset_hash.LONGS, multiset_hash.LANE
 _LINES = rf"""flatten(list_transform(string_split({{0}}, chr(10)), lambda z: CASE WHEN length(z) <= {multiset_hash.LONG_LINE} THEN [z]
-  ELSE string_split(regexp_replace(z, '([.!?]) ', ' ' || chr(10), 'g'), chr(10)) END))"""
+  ELSE string_split(regexp_replace(z, '([.!?]) ', '\1 ' || chr(10), 'g'), chr(10)) END))"""
 _HEX8 = "lpad(lower(to_hex({0})), 8, '0')"
 
 
