@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.catalog import base as b
+from corpusmill.catalog import stem_sql
 from corpusmill.catalog.base import query, r6
 from corpusmill.functions import features as ft
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
+from corpusmill.functions.stemming import stemmed
 from corpusmill.operators import corpus, generation, grading, overlap, stats
 from corpusmill.plans import jobs
 
@@ -323,42 +325,84 @@ def _bleu_tok(t: str) -> str:
     return b.words(f"({spaced})")
 
 
-def _match_sql(tokenizer, max_n: int, where: str) -> str:
+def _stemmed_sql(raw: str) -> str:
+    """CTE ``tok``: the token lists of ``raw`` with every word as its stem, in order."""
+    words = f"SELECT unnest(pt) AS word FROM {raw} UNION ALL SELECT unnest(rt) FROM {raw}"
+    sides = " UNION ALL ".join(
+        f"SELECT id, '{side}' AS side, unnest({side}) AS word, unnest(range(len({side}))) AS i FROM {raw}" for side in ("pt", "rt")
+    )
+    return f"""{stem_sql.stems(words)}, placed AS (SELECT id, side, list(stem ORDER BY i) AS w FROM ({sides}) z JOIN stems USING (word) GROUP BY id, side),
+ tok AS MATERIALIZED (SELECT x.id, coalesce(p.w, []) AS pt, coalesce(r.w, []) AS rt FROM {raw} x
+  LEFT JOIN placed p ON p.id = x.id AND p.side = 'pt' LEFT JOIN placed r ON r.id = x.id AND r.side = 'rt')"""
+
+
+def _match_sql(tokenizer, max_n: int, where: str, stem: bool = False, name: str = "") -> str:
+    """CTEs over ``pairs`` ending in ``cell`` (id, n, m, tp, tr), each with ``name`` before its own."""
+    tok = f"{name}tok"
     side = " UNION ALL ".join(
-        f"SELECT id, {n} AS n, unnest({b.grams(col, n)}) AS g, {int(col == 'pt')} AS p FROM tok"
+        f"SELECT id, {n} AS n, unnest({b.grams(col, n)}) AS g, {int(col == 'pt')} AS p FROM {tok}"
         for n in range(1, max_n + 1)
         for col in ("pt", "rt")
     )
-    return f"""pairs AS ({OVERLAP}), tok AS MATERIALIZED (SELECT id, {tokenizer('prediction')} AS pt, {tokenizer('reference')} AS rt FROM pairs {where}),
- cnt AS (SELECT id, n, g, sum(p) AS cp, count(*)-sum(p) AS cr FROM ({side}) s GROUP BY id, n, g),
- cell AS (SELECT id, n, sum(least(cp,cr))::DOUBLE AS m, sum(cp)::DOUBLE AS tp, sum(cr)::DOUBLE AS tr FROM cnt GROUP BY id, n)"""
+    cut = f"(SELECT id, {tokenizer('prediction')} AS pt, {tokenizer('reference')} AS rt FROM pairs {where})"
+    made = f"raw AS MATERIALIZED {cut}, {_stemmed_sql('raw')}" if stem else f"{tok} AS MATERIALIZED {cut}"
+    return f"""{made},
+ {name}cnt AS (SELECT id, n, g, sum(p) AS cp, count(*)-sum(p) AS cr FROM ({side}) s GROUP BY id, n, g),
+ {name}cell AS (SELECT id, n, sum(least(cp,cr))::DOUBLE AS m, sum(cp)::DOUBLE AS tp, sum(cr)::DOUBLE AS tr FROM {name}cnt GROUP BY id, n)"""
+
+
+def _f_sql(m: str, p: str, r: str) -> str:
+    return f"coalesce(2*({m}/nullif({p},0))*({m}/nullif({r},0))/nullif({m}/nullif({p},0)+{m}/nullif({r},0),0),0)"
+
+
+NS = ", ".join(f"coalesce(max(CASE WHEN n={n} THEN {_f_sql('m', 'tp', 'tr')} END),0) AS rouge{n}" for n in (1, 2))
+
+
+def _rouge_sql(stem: bool) -> str:
+    return f"""pairs AS ({OVERLAP}), {_match_sql(_rouge_tok, 2, "WHERE reference <> ''", stem)},
+ f AS (SELECT tok.id, {NS} FROM tok LEFT JOIN cell USING (id) GROUP BY tok.id)"""
 
 
-_F = "coalesce(2*(m/nullif(tp,0))*(m/nullif(tr,0))/nullif(m/nullif(tp,0)+m/nullif(tr,0),0),0)"
-ROUGE = f"""{_match_sql(_rouge_tok, 2, "WHERE reference <> ''")},
- f AS (SELECT tok.id, coalesce(max(CASE WHEN n=1 THEN {_F} END),0) AS rouge1, coalesce(max(CASE WHEN n=2 THEN {_F} END),0) AS rouge2 FROM tok LEFT JOIN cell USING (id) GROUP BY tok.id)"""
+ROUGE = _rouge_sql(stem=True)
+LONGEST = f"""{stem_sql.subsequence("tok")}, fl AS (SELECT id, {_f_sql("lcs", "len(pt)", "len(rt)")} AS rougeL FROM (SELECT id, pt, rt, lcs::DOUBLE AS lcs FROM tok LEFT JOIN lcs USING (id)) x)"""
 
 
 @query("rouge_n", f"WITH {ROUGE} SELECT id, {r6('rouge1')} AS rouge1, {r6('rouge2')} AS rouge2 FROM f")
 def rouge_n(spark, sf):
-    """ROUGE-1 and ROUGE-2 of every pair."""
+    """ROUGE-1 and ROUGE-2 of every pair, on stems."""
     return overlap.rouge_n(overlap_pairs(spark, sf), "id")
 
 
-@query("rouge_l")
+@query("rouge_n_unstemmed", f"WITH {_rouge_sql(stem=False)} SELECT id, {r6('rouge1')} AS rouge1, {r6('rouge2')} AS rouge2 FROM f")
+def rouge_n_unstemmed(spark, sf):
+    """The same on the words themselves."""
+    return overlap.rouge_n(overlap_pairs(spark, sf), "id", stem=False)
+
+
+@query("rouge_l", f"WITH {ROUGE}, {LONGEST} SELECT id, {r6('rougeL')} AS rougeL FROM fl")
 def rouge_l(spark, sf):
-    """ROUGE-L of every pair (checked against brute force in the tests)."""
+    """ROUGE-L of every pair, on stems."""
     return overlap.rouge_l(overlap_pairs(spark, sf), "id")
 
 
+@query(
+    "word_stems",
+    f"WITH {stem_sql.stems("SELECT unnest(" + _rouge_tok('text') + ") AS word FROM documents")} SELECT word, stem FROM stems",
+)
+def word_stems(spark, sf):
+    """Every different word of the documents with its stem."""
+    words = b.documents(spark, sf).select(F.explode(tx.rouge_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", F.get(stemmed(F.array("word")), 0).alias("stem"))
+
+
 _PREC = [f"coalesce(sum(CASE WHEN n={n} THEN m END)/nullif(sum(CASE WHEN n={n} THEN tp END),0),0) AS p{n}" for n in range(1, 5)]
-BLEU = f"""{_match_sql(_bleu_tok, 4, "")}, bl AS (SELECT {", ".join(_PREC)}, sum(CASE WHEN n=1 THEN tp END)::BIGINT AS tl, sum(CASE WHEN n=1 THEN tr END)::BIGINT AS rl FROM cell),
+BLEU = f"""{_match_sql(_bleu_tok, 4, "", name="b")}, bl AS (SELECT {", ".join(_PREC)}, sum(CASE WHEN n=1 THEN tp END)::BIGINT AS tl, sum(CASE WHEN n=1 THEN tr END)::BIGINT AS rl FROM bcell),
  bs AS (SELECT *, CASE WHEN least(p1,p2,p3,p4)>0 THEN exp((ln(p1)+ln(p2)+ln(p3)+ln(p4))/4)*CASE WHEN tl::DOUBLE/rl>1 THEN 1e0 ELSE exp(1-rl::DOUBLE/tl) END ELSE 0e0 END AS bleu FROM bl)"""
 
 
 @query(
     "corpus_bleu",
-    f"WITH {BLEU} SELECT {', '.join(f'{r6(f"p{n}")} AS precision_{n}' for n in range(1, 5))}, tl AS translation_length, rl AS reference_length, {r6('bleu')} AS bleu FROM bs",
+    f"WITH pairs AS ({OVERLAP}), {BLEU} SELECT {', '.join(f'{r6(f"p{n}")} AS precision_{n}' for n in range(1, 5))}, tl AS translation_length, rl AS reference_length, {r6('bleu')} AS bleu FROM bs",
 )
 def corpus_bleu(spark, sf):
     """BLEU-4 pooled over all pairs."""
@@ -390,17 +434,23 @@ def self_bleu(spark, sf):
     return overlap.self_bleu(b.documents(spark, sf), "doc_id")
 
 
-@query("generation_quality")
+QUALITY_ROW = f"""WITH {ROUGE}, {LONGEST}, {BLEU},
+ {_self_bleu_sql('documents', 'doc_id', 'text')},
+ dn AS (SELECT n, count(*)::DOUBLE/sum(c) AS ratio FROM (SELECT n, g, count(*) AS c FROM ({_gram_rows('text')}) a GROUP BY n, g) t GROUP BY n),
+ ratios AS (SELECT len({b.words('prediction')})/greatest(len({b.words('reference')}), 1)::DOUBLE AS x FROM pairs WHERE reference <> '')
+ SELECT (SELECT {r6('avg(rouge1)')} FROM f) AS rouge1, (SELECT {r6('avg(rouge2)')} FROM f) AS rouge2, (SELECT {r6('avg(rougeL)')} FROM fl) AS rougeL,
+ (SELECT {r6('bleu')} FROM bs) AS bleu, (SELECT {r6('avg(x)')} FROM ratios) AS avg_length_ratio, (SELECT {r6('stddev_pop(x)')} FROM ratios) AS std_length_ratio,
+ {', '.join(f"(SELECT {r6('ratio')} FROM dn WHERE n={n}) AS distinct_{n}" for n in range(1, 5))},
+ (SELECT {r6('1-avg(bleu)')} FROM selfb) AS self_bleu"""
+
+
+@query("generation_quality", QUALITY_ROW)
 def generation_quality(spark, sf):
-    """The whole overlap report in one row (its parts other than ROUGE-L have SQL twins)."""
+    """The whole overlap report in one row."""
     return overlap.generation_quality(overlap_pairs(spark, sf), "id")
 
 
-LCS_FREE = (
-    f"WITH {_match_sql(_rouge_tok, 2, 'WHERE reference <> ' + chr(39) * 2)}, f AS (SELECT tok.id, coalesce(max(CASE WHEN n=1 THEN {_F} END),0) AS rouge1, "
-    f"coalesce(max(CASE WHEN n=2 THEN {_F} END),0) AS rouge2 FROM tok LEFT JOIN cell USING (id) GROUP BY tok.id) "
-    f"SELECT {r6('avg(rouge1)')} AS rouge1, {r6('avg(rouge2)')} AS rouge2, count(*) AS n FROM f"
-)
+LCS_FREE = f"WITH {ROUGE} SELECT {r6('avg(rouge1)')} AS rouge1, {r6('avg(rouge2)')} AS rouge2, count(*) AS n FROM f"
 
 
 @query("mean_rouge", LCS_FREE)

@@ -164,3 +164,31 @@ CAPABILITY_KEYS = [
 # --- fixed values: composite weights ---------------------------------------------------------------
 MODEL_WEIGHTS = {"quality_score": 0.4, "task_performance": 0.4, "diversity_score": 0.2}
 DEFAULT_FAMILY_WEIGHT = 0.25
+
+# --- fixed values: English stemmer (suffixes in the order in which they are tried) -------------------
+STEM_IRREGULAR = {
+    "sky": "sky skies",
+    "die": "dying",
+    "lie": "lying",
+    "tie": "tying",
+    "news": "news",
+    "inning": "innings inning",
+    "outing": "outings outing",
+    "canning": "cannings canning",
+    "howe": "howe",
+    "proceed": "proceed",
+    "exceed": "exceed",
+    "succeed": "succeed",
+}
+STEM_PLURALS = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")]
+STEM_DOUBLE_SUFFIXES = [
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
+    ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+    ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
+    ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+    ("fulli", "ful"), ("logi", "log"),
+]
+STEM_SUFFIXES = [
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+]
+STEM_LAST_SUFFIXES = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"

@@ -1,41 +1,107 @@
-"""ROUGE, BLEU and self-BLEU as grouped counts of n-grams."""
+"""ROUGE and BLEU counted pair by pair inside Arrow batches, self-BLEU as grouped counts of n-grams."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import features as ft
 from corpusmill.functions import text as tx
+from corpusmill.functions.stemming import stem_distinct
 from corpusmill.operators import corpus
 from corpusmill.operators.ranking import seeded_sample
 from corpusmill.operators.stats import finite
 
 
-def gram_matches(
-    pairs: DataFrame, key: str, prediction: str, reference: str, max_n: int, tokenizer
-) -> DataFrame:
-    """Per pair and n: clipped matches, n-grams of the prediction and of the reference.
+#: Tokens whose overlap is counted at once inside a batch.
+TOKENS_AT_ONCE = 400_000
+
+
+def lcs_length(a: list[int], b: list[int]) -> int:
+    """Longest common subsequence: the longer side as the bits of one integer of any length, the shorter one token by
+    token; one addition carries through all machine words."""
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict[int, int] = {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    row = full
+    for token in b:
+        hit = row & places.get(token, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
 
-    The texts are shuffled once by pair; the n-grams, many times their size, are then exploded and
-    counted inside those partitions. Both sides are counted in one aggregation, without a join.
+def _sides(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of a list column and the number of tokens of every row (0 for null)."""
+    return lists.flatten(), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def count_overlap(left: pa.ListArray, right: pa.ListArray, max_n: int, stem: bool, subsequence: bool) -> list[np.ndarray]:
+    """Per row, for every n up to ``max_n``: clipped n-gram matches, n-grams left, n-grams right; last the length of
+    the longest common subsequence (0 unless asked for)."""
+    (a, n_left), (b, n_right) = _sides(left), _sides(right)
+    words = pa.concat_arrays([a, b]).dictionary_encode()
+    ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if stem:
+        stems = pa.array(stem_distinct(words.dictionary.to_pylist()), pa.string()).dictionary_encode()
+        ids = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[ids]
+    rows, side = len(n_left), np.repeat([0, 1], [len(a), len(b)])
+    row = np.concatenate([np.repeat(np.arange(rows), n_left), np.repeat(np.arange(rows), n_right)])
+    sizes = np.concatenate([n_left, n_right])
+    remaining = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(ids))
+    out, gram, shared = [], ids, np.zeros(len(ids), dtype=bool)
+    base = int(ids.max(initial=0)) + 1
+    for n in range(1, max_n + 1):
+        if n > 1:  # the (n-1)-gram that starts here, renumbered, and the token that makes it one longer
+            _, short = np.unique(gram, return_inverse=True)
+            gram = short * base + np.append(ids[n - 1 :], np.zeros(min(n - 1, len(ids)), dtype=np.int64))
+        here = np.flatnonzero(remaining >= n)
+        _, dense = np.unique(gram[here], return_inverse=True)
+        cells, at = np.unique(row[here] * (int(dense.max(initial=0)) + 1) + dense, return_inverse=True)
+        counts = [np.bincount(at[side[here] == k], minlength=len(cells)) for k in (0, 1)]
+        owner = np.zeros(len(cells), dtype=np.int64)
+        owner[at] = row[here]
+        out += [np.bincount(owner, weights=c, minlength=rows).astype(np.int64) for c in (np.minimum(*counts), *counts)]
+        if n == 1:
+            shared = ((counts[0] > 0) & (counts[1] > 0))[at]
+    lengths = np.zeros(rows, dtype=np.int64)
+    if subsequence:  # only tokens that both texts have can be part of it
+        kept = [(ids[own], np.append(0, np.cumsum(np.bincount(row[own], minlength=rows)))) for own in (shared & (side == k) for k in (0, 1))]
+        (x, at_x), (y, at_y) = kept
+        for i in np.flatnonzero(out[0]).tolist():
+            lengths[i] = lcs_length(x[at_x[i] : at_x[i + 1]].tolist(), y[at_y[i] : at_y[i + 1]].tolist())
+    return [*out, lengths]
+
+
+def overlap_counts(prediction: Column, reference: Column, max_n: int, stem: bool = False, subsequence: bool = False) -> Column:
+    """Struct of ``m1``, ``p1``, ``r1``, … (matches, n-grams of the prediction and of the reference) and ``lcs``.
+
+    Takes two arrays of tokens. A pair is a row, so nothing is shuffled; the n-grams of a batch are counted together.
     """
-    placed = pairs.select(key, prediction, reference).repartition(key)
-    tokens = placed.select(
-        key, tokenizer(F.col(prediction)).alias("_p"), tokenizer(F.col(reference)).alias("_r")
-    )
-    counts = (
-        corpus.explode_ngrams(tokens, {"_p": 1, "_r": 0}, max_n, [key])
-        .groupBy(key, "n", "gram")
-        .agg(F.sum("side").alias("p"), F.count("*").alias("_all"))
-        .withColumn("r", F.col("_all") - F.col("p"))
-    )
-    return counts.groupBy(key, "n").agg(
-        F.sum(F.least("p", "r")).alias("matches"),
-        F.sum("p").alias("n_prediction"),
-        F.sum("r").alias("n_reference"),
-    )
+    names = [f"{kind}{n}" for n in range(1, max_n + 1) for kind in "mpr"] + ["lcs"]
+
+    def run(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in pairs:
+            sizes = sum(_sides(side)[1] for side in (left, right))
+            parts, start, used = [], 0, 0
+            for i, size in enumerate([*sizes.tolist(), TOKENS_AT_ONCE + 1]):
+                if i > start and used + size > TOKENS_AT_ONCE:
+                    found = count_overlap(left.slice(start, i - start), right.slice(start, i - start), max_n, stem, subsequence)
+                    parts.append(pa.StructArray.from_arrays([pa.array(c) for c in found], names=names))
+                    start, used = i, 0
+                used += size
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(n, pa.int64()) for n in names]))
+
+    # Not repeatable, as far as the optimizer is told: or every field that is read would count anew.
+    return F.arrow_udf(run, ", ".join(f"{n} bigint" for n in names)).asNondeterministic()(prediction, reference)
 
 
 def _f_measure(matches: Column, n_prediction: Column, n_reference: Column) -> Column:
@@ -48,47 +114,36 @@ def _scorable(pairs: DataFrame, reference: str) -> DataFrame:
     return pairs.where(F.col(reference) != "")
 
 
-def rouge_n(pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
-    """ROUGE-1 and ROUGE-2 F of every pair with a reference, without stemming."""
-    scored = _scorable(pairs, reference)
-    cells = gram_matches(scored, key, prediction, reference, 2, tx.rouge_tokens)
-    f = _f_measure(F.col("matches"), F.col("n_prediction"), F.col("n_reference"))
-    found = cells.groupBy(key).agg(
-        *[F.max(F.when(F.col("n") == n, f)).alias(f"rouge{n}") for n in (1, 2)]
-    )
-    # Pairs without a single token on either side have no cell and score 0.
-    return scored.select(key).join(found, key, "left").fillna(0.0, ["rouge1", "rouge2"])
-
-
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence, one bit per token of ``a`` in an integer (any length)."""
-    places: dict[str, int] = {}
-    for i, token in enumerate(a):
-        places[token] = places.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
-        hit = row & places.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def rouge_l(pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
-    """ROUGE-L F of every pair with a reference. Spark has no subsequence function, so the length of
-    the common subsequence comes from an Arrow batch function over whole token arrays; no shuffle."""
-
-    @F.pandas_udf("int")
-    def common(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")
+def rouge(
+    pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", stem: bool = True
+) -> DataFrame:
+    """ROUGE-1, ROUGE-2 and ROUGE-L F of every pair with a reference, in one pass over the pairs.
 
+    Words are lower-case runs of ASCII letters and digits; ``stem`` compares the stems of those of over three letters.
+    Pairs without a common word score 0, as do null predictions.
+    """
     tokens = _scorable(pairs, reference).select(
         key, tx.rouge_tokens(F.col(prediction)).alias("_p"), tx.rouge_tokens(F.col(reference)).alias("_r")
     )
-    return tokens.withColumn("_m", common("_p", "_r")).select(
-        key, _f_measure(F.col("_m"), F.size("_p"), F.size("_r")).alias("rougeL")
+    counted = tokens.select(key, overlap_counts(F.col("_p"), F.col("_r"), 2, stem, subsequence=True).alias("_c"))
+    c = F.col("_c")
+    return counted.select(
+        key,
+        *[_f_measure(c[f"m{n}"], c[f"p{n}"], c[f"r{n}"]).alias(f"rouge{n}") for n in (1, 2)],
+        _f_measure(c["lcs"], c["p1"], c["r1"]).alias("rougeL"),
     )
 
 
+def rouge_n(pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", stem: bool = True) -> DataFrame:
+    """ROUGE-1 and ROUGE-2 F of every pair with a reference."""
+    return rouge(pairs, key, prediction, reference, stem).select(key, "rouge1", "rouge2")
+
+
+def rouge_l(pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", stem: bool = True) -> DataFrame:
+    """ROUGE-L F of every pair with a reference."""
+    return rouge(pairs, key, prediction, reference, stem).select(key, "rougeL")
+
+
 def _bleu(matches: list[Column], possible: list[Column], candidate: Column, reference: Column) -> Column:
     """Geometric mean of the precisions times the brevity penalty; 0 when a precision is 0."""
     precisions = [F.coalesce(F.try_divide(m, p), F.lit(0.0)) for m, p in zip(matches, possible)]
@@ -101,15 +156,16 @@ def _bleu(matches: list[Column], possible: list[Column], candidate: Column, refe
 
 def corpus_bleu(pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """BLEU-4 with counts pooled over all pairs: one row with the precisions, lengths and score."""
-    cells = gram_matches(pairs, key, prediction, reference, 4, tx.bleu_tokens)
+    tokens = pairs.select(tx.bleu_tokens(F.col(prediction)).alias("_p"), tx.bleu_tokens(F.col(reference)).alias("_r"))
+    counted = tokens.select(overlap_counts(F.col("_p"), F.col("_r"), 4).alias("_c")).select("_c.*")
 
-    def pooled(column: str, n: int) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("n") == n, F.col(column))), F.lit(0))
+    def pooled(column: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
 
-    totals = cells.agg(
-        *[pooled("matches", n).alias(f"m{n}") for n in range(1, 5)],
-        *[pooled("n_prediction", n).alias(f"t{n}") for n in range(1, 5)],
-        pooled("n_reference", 1).alias("reference_length"),
+    totals = counted.agg(
+        *[pooled(f"m{n}").alias(f"m{n}") for n in range(1, 5)],
+        *[pooled(f"p{n}").alias(f"t{n}") for n in range(1, 5)],
+        pooled("r1").alias("reference_length"),
     )
     score = _bleu(
         [F.col(f"m{n}") for n in range(1, 5)],
@@ -204,10 +260,9 @@ def self_bleu(texts: DataFrame, key: str, text: str = "text", **options) -> Data
 
 def generation_quality(pairs: DataFrame, key: str, prediction: str = "prediction", reference: str = "reference", **options) -> DataFrame:
     """One row: mean ROUGE, BLEU, length-ratio mean and spread, distinct-n and self-BLEU diversity."""
-    n = rouge_n(pairs, key, prediction, reference).agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2"))
-    longest = rouge_l(pairs, key, prediction, reference).agg(F.avg("rougeL").alias("rougeL"))
+    n = rouge(pairs, key, prediction, reference).agg(*[F.avg(c).alias(c) for c in ("rouge1", "rouge2", "rougeL")])
     bleu = corpus_bleu(pairs, key, prediction, reference).select("bleu")
     ratios = pairs.select(ft.length_ratio(F.col(prediction), F.col(reference)).alias("x")).where(finite(F.col("x")))
     lengths = ratios.agg(F.avg("x").alias("avg_length_ratio"), F.stddev_pop("x").alias("std_length_ratio"))
     grams = corpus.ngram_row(corpus.distinct_ngrams(pairs, prediction, lower=False))
-    return corpus.side_by_side(n, longest, bleu, lengths, grams, self_bleu(pairs, key, prediction, **options))
+    return corpus.side_by_side(n, bleu, lengths, grams, self_bleu(pairs, key, prediction, **options))

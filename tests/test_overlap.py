@@ -3,11 +3,14 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import stemming
 from corpusmill.functions import text as tx
 from corpusmill.operators import compression, corpus, overlap
 
@@ -41,18 +44,83 @@ def lcs(a, b):
     return table[-1][-1]
 
 
-def test_rouge(pairs):
-    got = {r.id: r for r in overlap.rouge_n(pairs, "id").collect()}
-    longest = {r.id: r.rougeL for r in overlap.rouge_l(pairs, "id").collect()}
-    scored = [p for p in PAIRS if p[2] != ""]
-    assert set(got) == set(longest) == {p[0] for p in scored}
+INFLECTED = [
+    (100, "He was hoping for better tied ponies", "Hopes of the best ties and a pony"),
+    (101, "generalizations relate", "general relational"),
+    (102, None, "something"),
+    (103, "skies were dying", "the sky dies"),
+    (104, "ran RAN running runs", "runner run Running"),
+]
+
+
+@pytest.mark.parametrize("stem", [False, True])
+def test_rouge(spark, stem):
+    rows = PAIRS + INFLECTED
+    pairs = spark.createDataFrame(rows, "id int, prediction string, reference string")
+    got = {r.id: r for r in overlap.rouge(pairs, "id", stem=stem).collect()}
+    scored = [p for p in rows if p[2] != ""]
+    assert set(got) == {p[0] for p in scored}
     for i, pred, ref in scored:
-        a, b = (re.findall("[a-z0-9]+", t.lower()) for t in (pred, ref))
+        a, b = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (pred, ref))
+        if stem:
+            a, b = ([stemming.stem(w) if len(w) > 3 else w for w in t] for t in (a, b))
         for n in (1, 2):
             x, y = grams(a, n), grams(b, n)
             expected = f1(sum((x & y).values()), sum(x.values()), sum(y.values()))
             assert got[i][f"rouge{n}"] == pytest.approx(expected)
-        assert longest[i] == pytest.approx(f1(lcs(a, b), len(a), len(b)))
+        assert got[i].rougeL == pytest.approx(f1(lcs(a, b), len(a), len(b)))
+    assert (got[103].rouge1 > 0.6) == stem
+    assert [r.id for r in overlap.rouge_n(pairs, "id", stem=stem).orderBy("id").collect()] == sorted(got)
+    assert overlap.rouge_l(pairs.limit(0), "id").count() == 0
+
+
+def test_long_texts_are_compared_in_full_and_fast(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(vocabulary[: rng.choice([40, 400, 3000])]) for _ in range(2000)] for _ in range(40)]
+    rows = [(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(zip(texts, texts[1:]))]
+    pairs = spark.createDataFrame(rows, "id int, prediction string, reference string")
+    got = {r.id: r.rougeL for r in overlap.rouge_l(pairs, "id", stem=False).collect()}
+    start = time.perf_counter()
+    plain = lcs(texts[0], texts[1])
+    table = time.perf_counter() - start
+    start = time.perf_counter()
+    for a, b in zip(texts, texts[1:]):
+        overlap.lcs_length(a, b)
+    assert (time.perf_counter() - start) / len(rows) < table / 10
+    assert got[0] == pytest.approx(f1(plain, 2000, 2000))
+    assert all(got[i] == pytest.approx(overlap.lcs_length(a, b) / 2000) for i, (a, b) in enumerate(zip(texts, texts[1:])))
+
+
+def test_batches_are_cut_by_tokens(monkeypatch):
+    rng = random.Random(5)
+    left, right = ([[rng.choice(VOCAB) for _ in range(rng.randrange(0, 9))] for _ in range(50)] for _ in range(2))
+    found = overlap.count_overlap(pa.array(left, pa.list_(pa.string())), pa.array([*right[:-1], None], pa.list_(pa.string())), 4, False, True)
+    for i, (a, b) in enumerate(zip(left, [*right[:-1], []])):
+        expected = []
+        for n in range(1, 5):
+            x, y = grams(a, n), grams(b, n)
+            expected += [sum((x & y).values()), sum(x.values()), sum(y.values())]
+        assert [c[i] for c in found] == [*expected, lcs(a, b)]
+
+
+STEMS = """caresses:caress ponies:poni ties:tie died:die cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor
+ sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file
+ happy:happi sky:sky skies:sky dying:die news:news enjoy:enjoy relational:relat conditional:condit rational:ration digitizer:digit
+ differentli:differ analogousli:analog operator:oper feudalism:feudal decisiveness:decis hopefulness:hope sensitiviti:sensit
+ triplicate:triplic formative:form formalize:formal electrical:electr goodness:good revival:reviv allowance:allow airliner:airlin
+ adjustable:adjust irritant:irrit replacement:replac adoption:adopt communism:commun angulariti:angular effective:effect
+ bowdlerize:bowdler probate:probat rate:rate cease:ceas controll:control roll:roll is:is a:a by:by theologically:theolog owed:owe
+ spied:spi generally:gener proceed:proceed innings:inning 1990s:1990 x:x yyyy:yyyi"""
+
+
+def test_stems(spark):
+    listed = dict(pair.split(":") for pair in STEMS.split())
+    assert {w: stemming.stem(w) for w in listed} == listed
+    rows = spark.createDataFrame([(list(listed),), ([],), (None,)], "words array<string>")
+    found = [r[0] for r in rows.select(stemming.stemmed(F.col("words"))).collect()]
+    assert found[1:] == [[], None]
+    assert found[0] == [s if len(w) > 3 else w for w, s in listed.items()]
 
 
 def bleu(pairs, tokenise):
