@@ -105,6 +105,49 @@ def sents(t: str) -> str:
     )
 
 
+#: Row ``learned`` (ab, st): abbreviations and sentence starters, counted on the column ``text`` of a table.
+_CORE = "regexp_replace({0}, '^[^\\p{{L}}\\p{{N}}]+', '')"
+_OWN = "CASE WHEN {0} <= 0 OR {1} <= 0 THEN 0e0 ELSE {0}*ln({2}) + {1}*ln(1-({2})) END"
+
+
+def learned(source: str) -> str:
+    """CTEs ending in ``learned`` over the texts of ``source`` (text)."""
+    near = f"SELECT w[i] AS word, CASE WHEN i > 1 THEN w[i-1] ELSE '' END AS before FROM (SELECT w, unnest(range(1, len(w)+1)) AS i FROM (SELECT {words("coalesce(text, '')")} AS w FROM ({source}) q) a) b"
+    gain = "2*((c*ln(0.99e0) + m*ln(1-0.99e0)) - (c*ln(p) + m*ln(1-p)))"
+    ends = "ends_with(core, '.') AND NOT ends_with(core, '..')"
+    alone = "(ab*ln(ab/a) + CASE WHEN ab < a THEN (a-ab)*ln(1-ab/a) ELSE 0e0 END)"
+    apart = "CASE WHEN n > a AND b > ab AND b-ab < n-a THEN (b-ab)*ln((b-ab)/(n-a)) + (n-a-b+ab)*ln(1-(b-ab)/(n-a)) ELSE 0e0 END"
+    rate = "CASE WHEN b < n THEN {0}*ln(b/n) + ({1})*ln(1-b/n) END"
+    return rf"""near AS MATERIALIZED ({near}),
+ cores AS MATERIALIZED (SELECT regexp_replace({_CORE.format('word')}, '[^\p{{L}}\p{{N}}.]+$', '') AS core FROM near),
+ types AS (SELECT lower(CASE WHEN {ends} THEN left(core, len(core)-1) ELSE core END) AS word, {ends} AS e FROM cores),
+ ended AS (SELECT word, count(*) FILTER (e) AS with_period, count(*) FILTER (NOT e) AS without FROM types GROUP BY word),
+ sized AS (SELECT word, with_period, without, with_period::DOUBLE AS c, without::DOUBLE AS m, (SELECT avg(e::INT) FROM types) AS p,
+  len(word)-len(replace(word,'.','')) AS d FROM ended WHERE with_period > 0 AND regexp_matches(word, '^\p{{L}}([\p{{L}}.]*\p{{L}})?$')),
+ abbreviations AS MATERIALIZED (SELECT word, with_period, without, {gain}*exp(-(len(word)-d+1))*(d+1)*pow(len(word)-d+1, -m) AS score FROM sized),
+ ab AS (SELECT coalesce(list(word), []) AS ab FROM abbreviations WHERE score >= 0.3),
+ follows AS (SELECT lower(regexp_extract(word, '^\p{{L}}+')) AS word, regexp_matches(before, '[.!?]$')
+   AND NOT (ends_with(before, '.') AND list_contains(ab, left(lower({_CORE.format('before')}), len({_CORE.format('before')})-1))) AS e FROM near, ab),
+ starting AS (SELECT word, count(*) FILTER (e) AS after_end, count(*) AS times FROM follows GROUP BY word),
+ counted AS (SELECT word, after_end, times, after_end::DOUBLE AS ab, times::DOUBLE AS b, (SELECT sum(e::INT)::DOUBLE FROM follows) AS a, (SELECT count(*)::DOUBLE FROM follows) AS n FROM starting),
+ starters AS MATERIALIZED (SELECT word, after_end, times, CASE WHEN ab*n > a*b THEN
+  2*({alone} + {apart} - ({rate.format('ab', 'a-ab')}) - ({rate.format('(b-ab)', 'n-a-b+ab')})) ELSE 0e0 END AS score FROM counted WHERE word <> '' AND a > 0),
+ learned AS (SELECT ab, (SELECT coalesce(list(word), []) FROM starters WHERE score >= 30) AS st FROM ab)"""
+
+
+def learned_sents(t: str) -> str:
+    """Sentences of a text under the columns ``ab`` and ``st``: pieces of the plain rule put together again."""
+    last = f"regexp_extract(a[len(a)], '[^{WS}]+$')"
+    core = _CORE.format(last)
+    capital = r"regexp_matches(x[1], '^\p{Lu}')"
+    short = rf"(list_contains(ab, left(lower({core}), len({core})-1)) OR (regexp_matches({core}, '^\p{{L}}\.$') AND {capital}))"
+    starter = rf"({capital} AND list_contains(st, lower(regexp_extract(x[1], '^\p{{L}}+'))))"
+    joins = rf"""((ends_with({core}, '.') AND {short} AND NOT {starter}) OR (regexp_matches({core}, '^\p{{Nd}}+\.$') AND regexp_matches(x[1], '^\p{{Ll}}'))
+ OR (ends_with({last}, '...') AND NOT {capital}))"""
+    return f"""CASE WHEN len({sents(t)}) < 2 THEN {sents(t)} ELSE list_reduce(list_transform({sents(t)}, lambda s: [s]),
+ lambda a, x: CASE WHEN {joins} THEN a[:-2] || [a[len(a)] || ' ' || x[1]] ELSE a || x END) END"""
+
+
 def toks(t: str) -> str:
     return rf"regexp_extract_all({t}, '[\p{{L}}\p{{N}}]+|[^{WS}\p{{L}}\p{{N}}]')"
 
@@ -203,8 +246,13 @@ def mean5(*parts: str) -> str:
     return "(" + " + ".join(f"({p})" for p in parts) + f")/{len(parts)}e0"
 
 
-def scored_sql(source: str) -> str:
-    """CTEs ending in ``scored`` (idx, four components, score) over ``source`` (idx, instruction, response)."""
+def scored_sql(source: str, learn: bool = False) -> str:
+    """CTEs ending in ``scored`` (idx, four components, score) over ``source`` (idx, instruction, response).
+
+    With ``learn`` a row ``learned`` says where sentences end.
+    """
+    of_ins = learned_sents("ins") if learn else sents("ins")
+    of_res = f"list_transform({learned_sents('res')}, lambda s: lower(s))" if learn else sents("res_l")
     directive = "|".join(f"({p})" for p in fixed.INSTRUCTION_PATTERNS)
     ease = flesch("len(iw)", "len(isn)", "isy")
     clarity = mean5(
@@ -242,10 +290,10 @@ def scored_sql(source: str) -> str:
     w = fixed.DIMENSION_WEIGHTS
     total = " + ".join(f"{c}*{w[c]}e0" for c in w)
     return f"""src AS ({source}),
- t0 AS (SELECT idx, coalesce(instruction,'') AS ins, coalesce(response,'') AS res FROM src),
+ t0 AS (SELECT idx, coalesce(instruction,'') AS ins, coalesce(response,'') AS res{', ab, st' if learn else ''} FROM src{', learned' if learn else ''}),
  t1 AS (SELECT *, lower(ins) AS ins_l, lower(res) AS res_l, lower(ins||' '||res) AS both_l FROM t0),
- t2 AS MATERIALIZED (SELECT *, {words('ins')} AS iw, {sents('ins')} AS isn, {syll('ins')} AS isy, len({words('res')}) AS rn,
-  {sents('res_l')} AS rls, list_transform({sents('res_l')}, lambda s: len({words('s')})) AS rl,
+ t2 AS MATERIALIZED (SELECT *, {words('ins')} AS iw, {of_ins} AS isn, {syll('ins')} AS isy, len({words('res')}) AS rn,
+  {of_res} AS rls, list_transform({of_res}, lambda s: len({words('s')})) AS rl,
   {content("list_filter(" + toks('res_l') + r", lambda w: regexp_full_match(w,'[\p{L}\p{N}]{3,}'))")} AS rc,
   {words('both_l')} AS bw, {toks('both_l')} AS bt FROM t1),
  t3 AS MATERIALIZED (SELECT *, {grams('bw', 2, '_')} AS g2, {grams('bw', 3, '_')} AS g3 FROM t2),

@@ -11,7 +11,7 @@ from corpusmill.functions import features as ft
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
 from corpusmill.functions.stemming import stemmed
-from corpusmill.operators import corpus, generation, grading, overlap, stats
+from corpusmill.operators import corpus, generation, grading, overlap, sentences, stats
 from corpusmill.plans import jobs
 
 
@@ -59,12 +59,16 @@ def vocabulary_entropy(spark, sf):
 
 
 _SET = f"list_distinct({b.content(b.alnum('lower(x)'))})"
-PROXY_ROWS = f"""SELECT doc_id, {b.flesch('len(w)', 'len(s)', 'y')} AS ease, CASE WHEN len(s)>1 THEN {b.len_std('l')} END AS variation,
+def _proxy_rows(sents: str, source: str = "documents") -> str:
+    return f"""SELECT doc_id, {b.flesch('len(w)', 'len(s)', 'y')} AS ease, CASE WHEN len(s)>1 THEN {b.len_std('l')} END AS variation,
  CASE WHEN len(s)>1 THEN list_sum(p)/len(p) END AS coherence, {b.grammar('text', 'len(w)', 's', 'w')} AS grammar FROM (
  SELECT doc_id, text, w, y, s, list_transform(s, lambda x: len({b.words('x')})) AS l,
   list_transform(range(1, len(k)), lambda i: {b.jac('k[i]', 'k[i+1]')}) AS p FROM (
  SELECT *, list_transform(s, lambda x: {_SET}) AS k FROM (
- SELECT doc_id, text, {b.words('lower(text)')} AS w, {b.syll('text')} AS y, {b.sents('text')} AS s FROM documents) a) c) d"""
+ SELECT doc_id, text, {b.words('lower(text)')} AS w, {b.syll('text')} AS y, {sents} AS s FROM {source}) a) c) d"""
+
+
+PROXY_ROWS = _proxy_rows(b.sents("text"))
 PROXIES = "coalesce(avg(ease),0) AS avg_readability, coalesce(avg(variation),0) AS sentence_variation, coalesce(avg(coherence),0) AS coherence_proxy"
 PROXY_NAMES = ("avg_readability", "sentence_variation", "coherence_proxy", "grammar_score")
 
@@ -88,6 +92,47 @@ def corpus_grammar_sample(spark, sf):
     return corpus.quality_proxies(b.documents(spark, sf), key="doc_id", grammar_sample=100)
 
 
+LEARNED = b.learned("SELECT text FROM documents")
+
+
+@query("sentence_abbreviations", f"WITH {LEARNED} SELECT word, with_period, without, {r6('score')} AS score FROM abbreviations WHERE score >= 0.3")
+def sentence_abbreviations(spark, sf):
+    """Abbreviations learned from the documents."""
+    return sentences.abbreviation_scores(b.documents(spark, sf)).where(F.col("score") >= sentences.ABBREVIATION)
+
+
+@query("sentence_starters", f"WITH {LEARNED} SELECT word, after_end, times, {r6('score')} AS score FROM starters WHERE score >= 30")
+def sentence_starters(spark, sf):
+    """Words that begin sentences, learned from the documents."""
+    docs = b.documents(spark, sf)
+    scores = sentences.starter_scores(docs, sentences.learn(docs).abbreviations)
+    return scores.where(F.col("score") >= sentences.STARTER)
+
+
+@query(
+    "learned_sentences",
+    f"""WITH {LEARNED} SELECT doc_id, len(s) AS sentences, md5(array_to_string(list_transform(s, lambda z: regexp_replace(z, '[{b.WS}]+', ' ', 'g')), '|')) AS sentences_md5
+ FROM (SELECT doc_id, {b.learned_sents('text')} AS s FROM documents, learned) t""",
+)
+def learned_sentences(spark, sf):
+    """Every document cut where sentences end, as learned from all documents."""
+    docs = b.documents(spark, sf)
+    cut = docs.select("doc_id", sentences.learn(docs).sentences(F.col("text")).alias("s"))
+    same = F.transform("s", lambda s: F.regexp_replace(s, f"{tx.SPACE}+", " "))
+    return cut.select("doc_id", F.size("s").alias("sentences"), F.md5(F.array_join(same, "|")).alias("sentences_md5"))
+
+
+@query(
+    "learned_quality_proxies",
+    f"""WITH {LEARNED}, p AS ({_proxy_rows(b.learned_sents('text'), 'documents, learned')})
+ SELECT {', '.join(f'{r6(n)} AS {n}' for n in PROXY_NAMES)} FROM (SELECT {PROXIES}, coalesce(avg(grammar),0) AS grammar_score FROM p) t""",
+)
+def learned_quality_proxies(spark, sf):
+    """The corpus proxies on learned sentences."""
+    docs = b.documents(spark, sf)
+    return corpus.quality_proxies(docs, ends=sentences.learn(docs))
+
+
 # --- losses ----------------------------------------------------------------------------------------
 LOSS = "SELECT doc_id, CASE WHEN n_chars % 97 = 0 THEN 'inf'::DOUBLE WHEN n_chars % 89 = 0 THEN 'nan'::DOUBLE ELSE (n_chars % 700)/100e0 END AS loss, n_chars // 4 AS n_tokens, lang, source FROM documents"
 

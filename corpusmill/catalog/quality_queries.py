@@ -8,7 +8,7 @@ from corpusmill.catalog import base as b
 from corpusmill.catalog.base import query, r6
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
-from corpusmill.operators import quality, ranking, stats
+from corpusmill.operators import quality, ranking, sentences, stats
 from corpusmill.session import keep
 
 CHAT_SCORED = b.scored_sql(b.CHAT_PAIRS)
@@ -48,6 +48,16 @@ def document_quality(spark, sf):
     return flat(quality.score_pairs(b.document_pairs(spark, sf)))
 
 
+@query(
+    "document_quality_learned",
+    f"WITH {b.learned('SELECT text FROM documents')}, {b.scored_sql(b.DOCUMENT_PAIRS, learn=True)} SELECT idx, {ROUNDED} FROM scored",
+)
+def document_quality_learned(spark, sf):
+    """The same with sentence ends learned from the documents."""
+    pairs = b.document_pairs(spark, sf)
+    return flat(quality.score_pairs(pairs, ends=sentences.learn(pairs, "response")))
+
+
 @query(
     "custom_weights",
     f"WITH {CHAT_SCORED} SELECT idx, {r6('clarity*0.1e0+response_quality*0.2e0+diversity*0.3e0+complexity*0.4e0')} AS score FROM scored",

@@ -189,13 +189,22 @@ def punctuation_ratio(text: Column) -> Column:
 
 
 def grammar_score(
-    text: Column, n_words: Column, n_sents: Column, lower_words: Column, plain: bool = False
+    text: Column,
+    n_words: Column,
+    n_sents: Column,
+    lower_words: Column,
+    plain: bool = False,
+    marked: Column | None = None,
 ) -> Column:
-    """Capitals, punctuation, sentence length near 17.5 words and varied vocabulary, at most 1."""
+    """Capitals, punctuation, sentence length near 17.5 words and varied vocabulary, at most 1.
+
+    ``marked`` is the text in which periods that end no sentence are marked, where sentence ends are learned.
+    """
+    starts = text if marked is None else marked
     mean_length = F.try_divide(n_words, n_sents)
     length_part = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean_length - 17.5) / 17.5)
     return F.least(
-        F.lit(0.3) * F.coalesce(capital_ratio(text, n_sents, plain), F.lit(0.0))
+        F.lit(0.3) * F.coalesce(capital_ratio(starts, n_sents, plain), F.lit(0.0))
         + F.lit(0.2) * F.least(punctuation_ratio(text) * 20, F.lit(1.0))
         + F.lit(0.3) * F.when(n_sents > 0, length_part).otherwise(F.lit(0.0))
         + F.lit(0.2) * tx.distinct_ratio(lower_words),

@@ -12,6 +12,7 @@ from corpusmill.functions import features as ft
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
 from corpusmill.operators.ranking import first_rows
+from corpusmill.operators.sentences import SentenceEnds
 from corpusmill.operators.stats import finite
 
 
@@ -85,19 +86,25 @@ def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality_proxies(
-    df: DataFrame, text: str = "text", key: str | None = None, grammar_sample: int | None = None
+    df: DataFrame,
+    text: str = "text",
+    key: str | None = None,
+    grammar_sample: int | None = None,
+    ends: SentenceEnds | None = None,
 ) -> DataFrame:
     """One row of means: readability, sentence-length variation, coherence and grammar; 0 when empty.
 
-    Grammar covers the whole table unless ``grammar_sample`` asks for the first rows by ``key``.
+    Grammar covers the whole table unless ``grammar_sample`` asks for the first rows by ``key``. ``ends`` cuts
+    sentences as learned from a corpus.
     """
     base = df.select(F.col(text).alias("_t"), *([F.col(key).alias("_k")] if key else []))
     arrays = (
         base.withColumn("_p", tx.spaced(F.col("_t")))
+        .withColumn("_m", ends.marked(F.col("_p"), plain=True) if ends else F.col("_p"))
         .withColumns(
             {
                 "_words": tx.words(F.lower("_p"), plain=True),
-                "_sents": tx.sentences(F.col("_p"), plain=True),
+                "_sents": tx.sentences(F.col("_m"), plain=True),
                 "_y": tx.syllables(F.col("_p"), plain=True),
             }
         )
@@ -116,7 +123,7 @@ def quality_proxies(
         ft.flesch_reading_ease(n, s, F.col("_y")).alias("ease"),
         F.when(s > 1, ft.length_std(F.col("_moments"))).alias("variation"),
         ft.coherence(F.col("_sets")).alias("coherence"),
-        ft.grammar_score(F.col("_p"), n, s, F.col("_words"), plain=True).alias("grammar"),
+        ft.grammar_score(F.col("_p"), n, s, F.col("_words"), plain=True, marked=F.col("_m")).alias("grammar"),
     )
 
     def mean(name: str) -> Column:
@@ -130,18 +137,19 @@ def quality_proxies(
     )
     if grammar_sample is None:
         return result
-    sample = grammar_rows(first_rows(df, grammar_sample, key), text).agg(
+    sample = grammar_rows(first_rows(df, grammar_sample, key), text, ends=ends).agg(
         F.coalesce(F.avg("grammar"), F.lit(0.0)).alias("g")
     )
     return result.withColumn("grammar_score", sample.scalar())
 
 
-def grammar_rows(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def grammar_rows(df: DataFrame, text: str = "text", keep: Sequence[str] = (), ends: SentenceEnds | None = None) -> DataFrame:
     """The grammar score of every text as ``grammar``."""
-    arrays = df.select(*keep, tx.spaced(F.col(text)).alias("_p")).withColumns(
-        {"_words": tx.words(F.lower("_p"), plain=True), "_s": F.size(tx.sentences(F.col("_p"), plain=True))}
+    texts = df.select(*keep, tx.spaced(F.col(text)).alias("_p"))
+    arrays = texts.withColumn("_m", ends.marked(F.col("_p"), plain=True) if ends else F.col("_p")).withColumns(
+        {"_words": tx.words(F.lower("_p"), plain=True), "_s": F.size(tx.sentences(F.col("_m"), plain=True))}
     )
-    score = ft.grammar_score(F.col("_p"), F.size("_words"), F.col("_s"), F.col("_words"), plain=True)
+    score = ft.grammar_score(F.col("_p"), F.size("_words"), F.col("_s"), F.col("_words"), plain=True, marked=F.col("_m"))
     return arrays.select(*keep, score.alias("grammar"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import features as ft
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
+from corpusmill.operators.sentences import SentenceEnds
 
 COMPONENTS = ["clarity", "response_quality", "diversity", "complexity"]
 
@@ -25,7 +26,7 @@ def _mean(*parts: Column) -> Column:
     return total / len(parts)
 
 
-def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFrame:
+def _prepared(df: DataFrame, instruction: str, response: str, counter, ends: SentenceEnds | None = None) -> DataFrame:
     """Add the shared arrays as ``_``-columns, in a chain of projections so that none is recomputed."""
     texts = df.withColumns(
         {
@@ -42,6 +43,7 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFr
         }
     ).withColumns(
         {
+            "_ins_m": ends.marked(F.col("_ins_s"), plain=True) if ends else F.col("_ins_s"),
             "_both": F.concat("_ins_l", F.lit(" "), "_res_l"),
             "_both_s": F.concat(F.lower("_ins_s"), F.lit(" "), "_res_s"),
         }
@@ -49,8 +51,10 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter) -> DataFr
     arrays = cleaned.withColumns(
         {
             "_ins_words": tx.word_count(F.col("_ins_s"), plain=True),
-            "_ins_sents": F.size(tx.sentences(F.col("_ins_s"), plain=True)),
-            "_res_sents": tx.sentences(F.col("_res_s"), plain=True),
+            "_ins_sents": F.size(tx.sentences(F.col("_ins_m"), plain=True)),
+            "_res_sents": F.transform(ends.sentences(tx.spaced(F.col("_res")), plain=True), F.lower)
+            if ends
+            else tx.sentences(F.col("_res_s"), plain=True),
             "_content": ft.content_tokens(F.col("_res_s")),
             "_both_words": tx.words(F.col("_both_s"), plain=True),
             "_both_tokens": counter(F.col("_both")) if counter else tx.tokens(F.col("_both_s"), plain=True),
@@ -85,7 +89,7 @@ def clarity() -> Column:
         .otherwise(0.7 + (ease - 30) / 200)
     )
     vague = tx.contains_count("_ins_l", fixed.VAGUE_WORDS)
-    capital = ft.capital_ratio(F.col("_ins_s"), sents, plain=True)
+    capital = ft.capital_ratio(F.col("_ins_m"), sents, plain=True)
     score = _mean(
         ft.instruction_length_score(n),
         F.when(directive, 1.0).otherwise(0.6),
@@ -176,14 +180,15 @@ def score_components(
     response: str = "response",
     only: list[str] | None = None,
     counter: Callable[[Column], Column] | None = None,
+    ends: SentenceEnds | None = None,
 ) -> DataFrame:
     """Add one column per quality dimension.
 
     ``counter`` turns a text column into a token array (``text.tokens`` by default); pass a
-    ``pandas_udf`` to plug in a tokenizer.
+    ``pandas_udf`` to plug in a tokenizer. ``ends`` cuts sentences as learned from a corpus.
     """
     wanted = only or COMPONENTS
-    scored = _prepared(df, instruction, response, counter).withColumns(
+    scored = _prepared(df, instruction, response, counter, ends).withColumns(
         {name: _SCORERS[name]() for name in wanted}
     )
     return scored.select(*df.columns, *wanted)
@@ -202,9 +207,10 @@ def score_pairs(
     response: str = "response",
     weights: Mapping[str, float] = fixed.DIMENSION_WEIGHTS,
     counter: Callable[[Column], Column] | None = None,
+    ends: SentenceEnds | None = None,
 ) -> DataFrame:
-    """Add ``score`` and the struct ``components`` to every pair."""
-    scored = score_components(df, instruction, response, counter=counter)
+    """Add ``score`` and the struct ``components`` to every pair; ``ends`` cuts sentences as learned from a corpus."""
+    scored = score_components(df, instruction, response, counter=counter, ends=ends)
     return scored.withColumn("score", weighted_total(weights)).select(
         *df.columns, "score", F.struct(*COMPONENTS).alias("components")
     )
