@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.functions import fixed
+from corpusmill.functions import fixed, hyphenation
 
 
 def _vowels(part: str) -> str:
@@ -74,3 +74,17 @@ def subsequence(table: str) -> str:
  lrun AS (SELECT id, f, list_reduce([f] || ms, lambda v, m: list_reduce([[0::BIGINT]] || list_transform(range(1, len(v) + 1), lambda k: [v[k], m[k]]),
    lambda s, e: [(e[1] + {hit} + s[1]) >> 60] || s[2:] || [((e[1] + {hit} + s[1]) & {FULL}) | (e[1] - {hit})])[2:]) AS v FROM lsteps JOIN lfull USING (id)),
  lcs AS (SELECT id, list_sum(list_transform(range(1, len(f) + 1), lambda k: bit_count(f[k]) - bit_count(v[k] & f[k])))::BIGINT AS lcs FROM lrun)"""
+
+
+def syllables(patterns: list[str], source: str) -> str:
+    """CTEs ending in ``syllables`` (w, n) for the words of ``source`` (text): patterns joined on every part of a word."""
+    rows = ", ".join(f"('{letters}', {levels})" for letters, levels in map(hyphenation.parsed, patterns))
+    longest = max(len(hyphenation.parsed(p)[0]) for p in patterns)
+    return f"""pats(letters, levels) AS MATERIALIZED (VALUES {rows}),
+ hwords AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM ({source}) q) a),
+ starts AS (SELECT w, unnest(range(1, len(w) + 3)) AS i FROM hwords),
+ subs AS (SELECT w, i, unnest(list_distinct([substr('.' || w || '.', i, n) FOR n IN range(1, {longest + 1})])) AS s FROM starts),
+ hits AS (SELECT w, i, unnest(levels) AS level, unnest(range(len(levels))) AS k FROM subs JOIN pats ON s = letters),
+ places AS (SELECT w, i + k - 2 AS spot, max(level) AS level FROM hits GROUP BY ALL),
+ syllables AS MATERIALIZED (SELECT hwords.w, 1 + count(level) AS n FROM hwords LEFT JOIN places
+  ON places.w = hwords.w AND level % 2 = 1 AND spot BETWEEN 1 AND len(hwords.w) - 1 GROUP BY hwords.w)"""

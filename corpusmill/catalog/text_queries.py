@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.catalog import base as b
+from corpusmill.catalog import stem_sql
 from corpusmill.catalog.base import query, r6
 from corpusmill.functions import features as ft
-from corpusmill.functions import fixed
+from corpusmill.functions import fixed, hyphenation
 from corpusmill.functions import text as tx
 from corpusmill.operators import corpus, formats, ranking
 
@@ -304,6 +305,32 @@ def readability(spark, sf):
     )
 
 
+ENGLISH = hyphenation.english_patterns()
+
+
+@query(
+    "pattern_readability",
+    f"""WITH {stem_sql.syllables(ENGLISH, "SELECT text FROM documents")},
+ sums AS (SELECT doc_id, sum(n)::BIGINT AS y FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM documents) a JOIN syllables USING (w) GROUP BY doc_id)
+ SELECT doc_id, coalesce(y, 0) AS syllables, {r6(b.flesch('n', 's', 'y'))} AS flesch_reading_ease, {r6(b.kincaid('n', 's', 'y'))} AS flesch_kincaid_grade FROM (
+ SELECT doc_id, len({b.words('text')}) AS n, len({b.sents('text')}) AS s, coalesce(y, 0) AS y FROM documents LEFT JOIN sums USING (doc_id)) t""",
+)
+def pattern_readability(spark, sf):
+    """Both grades on syllables by hyphenation patterns."""
+    t = F.col("text")
+    counted = hyphenation.syllables(t, hyphenation.Patterns(ENGLISH))
+    rows = b.documents(spark, sf).select(
+        "doc_id", tx.word_count(t).alias("n"), F.size(tx.sentences(t)).alias("s"), counted.alias("syllables")
+    )
+    parts = (F.col("n"), F.col("s"), F.col("syllables"))
+    return rows.select(
+        "doc_id",
+        "syllables",
+        ft.flesch_reading_ease(*parts).alias("flesch_reading_ease"),
+        ft.flesch_kincaid_grade(*parts).alias("flesch_kincaid_grade"),
+    )
+
+
 @query(
     "sentence_style",
     f"""SELECT doc_id, {r6(f"coalesce({b.caps('s')}::DOUBLE/nullif(len(s),0),0)")} AS capital_ratio, {r6(b.len_std('l'))} AS length_std,

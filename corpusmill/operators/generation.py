@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import features as ft
 from corpusmill.functions import text as tx
+from corpusmill.functions.hyphenation import Patterns, syllables
+from corpusmill.operators.sentences import SentenceEnds
 from corpusmill.operators import stats
 
 OUTPUT_METRICS = [
@@ -42,18 +44,26 @@ def prompt_grid(prompts: DataFrame, n: int, low: float = 0.7, high: float = 1.0)
 
 
 def output_metrics(
-    df: DataFrame, keep: Sequence[str], text: str = "generated", elements: str | None = "expected_elements"
+    df: DataFrame,
+    keep: Sequence[str],
+    text: str = "generated",
+    elements: str | None = "expected_elements",
+    patterns: Patterns | None = None,
+    ends: SentenceEnds | None = None,
 ) -> DataFrame:
-    """All row metrics of an output. Tokens and sentences are columns of an earlier projection."""
+    """All row metrics of an output. Tokens and sentences are columns of an earlier projection.
+
+    Syllables are vowel groups unless hyphenation ``patterns`` are given; ``ends`` cuts sentences as learned.
+    """
     t = F.col(text)
     expected = F.col(elements) if elements else F.lit(None).cast("array<string>")
     base = df.select(*dict.fromkeys([*keep, text]), expected.alias("_expected"), tx.spaced(t).alias("_p"))
     arrays = base.withColumns(
         {
             "_n": tx.word_count(F.col("_p"), plain=True),
-            "_sents": tx.sentences(t),
+            "_sents": ends.sentences(t) if ends else tx.sentences(t),
             "_tokens": tx.tokens(F.lower("_p"), plain=True),
-            "_syllables": tx.syllables(F.col("_p"), plain=True),
+            "_syllables": syllables(t, patterns) if patterns else tx.syllables(F.col("_p"), plain=True),
         }
     )
     n, sents, toks = F.col("_n"), F.col("_sents"), F.col("_tokens")
