@@ -6,7 +6,7 @@ multisets together is the sum of theirs, so paragraphs can be put in (``added``)
 the rest of the text. As the entries are small and spread evenly around their mean, the fingerprints also tell how
 much two texts have in common (``likeness``).
 
-A fingerprint is a struct of ``total`` (the weights of all paragraphs) and ``lanes``, longs of two lanes of 31 bits.
+A fingerprint is a struct of ``total`` (the weights of all paragraphs) and ``lanes``, integers of 31 bits.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import ranking
+from corpusmill.session import keep
 
-#: Longs in a fingerprint; each holds two lanes of 31 bits. A multiple of 32: one digest of 256 bits fills 32 of them.
-LONGS = 128
+#: Lanes of a fingerprint: one for each hexadecimal digit of two SHA-256 digests.
+LANES = 128
+#: The largest entry, before the weight.
+ENTRY = 15
 #: A line of more code points than this is cut into its sentences.
 LONG_LINE = 160
-#: Entries are four bits wide; the mask takes one for each of the two lanes of a long.
-ENTRY, ENTRIES = 15, 15 << 32 | 15
-LANE, LANES = (1 << 31) - 1, ((1 << 31) - 1) << 32 | (1 << 31) - 1
+MODULUS = 1 << 31
 
 
 def paragraphs(text: Column, long_line: int = LONG_LINE) -> Column:
@@ -39,97 +40,79 @@ def paragraphs(text: Column, long_line: int = LONG_LINE) -> Column:
     return F.flatten(cut)
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", long_line: int = LONG_LINE) -> DataFrame:
+    """(keys, ``fingerprint``) of the text of every combination of ``keys``; a null text is empty.
 
+    Rows of the same keys must have the same text, which counts once. A paragraph weighs the root of its length, at least one. Paragraphs become rows that are summed where they are, so
+    that one row for each text and task is exchanged, or none if the texts come partitioned by the keys.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*keys, F.posexplode(paragraphs(text, long_line)).alias("_at", "_p"))
+    weight = F.greatest(F.lit(1), F.floor(F.sqrt(F.length("_p")))).cast("bigint")
+    rows = rows.select(*keys, "_at", weight.alias("_weight"), F.sha2("_p", 256).alias("_a"))
+    rows = rows.select("*", F.sha2("_a", 256).alias("_b"))
+    words = [
+        F.conv(F.substring(digest, at, 16), 16, -10).cast("bigint").alias(f"_{digest}{at}")
+        for digest in ("_a", "_b")
+        for at in (1, 17, 33, 49)
+    ]
+    rows = rows.select(*keys, "_at", "_weight", *words)
+    entries = [
+        F.shiftright(f"_{digest}{at}", 60 - 4 * k).bitwiseAND(ENTRY) * F.col("_weight")
+        for digest in ("_a", "_b")
+        for at in (1, 17, 33, 49)
+        for k in range(16)
+    ]
+    summed = rows.groupBy(*keys).agg(
+        F.count_if(F.col("_at") == 0).alias("_rows"),
+        F.sum("_weight").alias("_total"),
+        *[F.sum(e).alias(f"_{i}") for i, e in enumerate(entries)],
+    )
 
-def _words(paragraph: Column, longs: int) -> Column:
-    """SHA-256 of the paragraph, stretched to ``longs`` / 8 words of 64 bits."""
-
-    def stretched(first: Column) -> Column:
-        return F.flatten(F.transform(F.array(*[F.sha2(F.concat(first, F.lit(str(k))), 256) for k in range(longs // 32)]), cut))
-
-    def cut(digest: Column) -> Column:
-        quarters = [F.substring(digest, at, 16) for at in (1, 17, 33, 49)]
-        return F.array(*[F.conv(q, 16, -10).cast("bigint") for q in quarters])
-
-    return _let(F.sha2(paragraph, 256), stretched)
+    def once(column: str) -> Column:
+        return _modulo(F.expr(f"{column} div _rows"))
 
+    lanes = F.array(*[once(f"_{i}") for i in range(LANES)])
+    return summed.select(*keys, F.struct(once("_total").alias("total"), lanes.alias("lanes")).alias("fingerprint"))
 
-def fingerprint(text: Column, longs: int = LONGS, long_line: int = LONG_LINE) -> Column:
-    """The fingerprint of a text (null: of the empty text). A paragraph weighs the root of its length, at least one."""
-    entries = F.transform(
-        paragraphs(F.coalesce(text.cast("string"), F.lit("")), long_line),
-        lambda p: F.struct(
-            F.greatest(F.lit(1), F.floor(F.sqrt(F.length(p)))).cast("bigint").alias("weight"),
-            _words(p, longs).alias("words"),
-        ),
-    )
 
-    def summed(parts: Column) -> Column:
-        lanes = F.transform(
-            F.sequence(F.lit(0), F.lit(longs - 1)),
-            lambda t: F.aggregate(
-                parts,
-                F.lit(0).cast("bigint"),
-                lambda acc, p: (
-                    acc
-                    + _shifted(F.get(p["words"], F.shiftright(t, 3)), F.shiftleft(t.bitwiseAND(7), 2)).bitwiseAND(ENTRIES)
-                    * p["weight"]
-                ).bitwiseAND(LANES),
-            ),
-        )
-        total = F.aggregate(
-            parts, F.lit(0).cast("bigint"), lambda acc, p: (acc + p["weight"]).bitwiseAND(LANE)
-        )
-        return F.struct(total.alias("total"), lanes.alias("lanes"))
+def _modulo(x: Column) -> Column:
+    return x.bitwiseAND(MODULUS - 1).cast("int")
 
-    return _let(entries, summed)
 
+def _combined(left: Column, right: Column, sign: int) -> Column:
+    def one(x: Column, y: Column) -> Column:
+        return _modulo(x.cast("bigint") + y.cast("bigint") * sign)
 
-def _shifted(word: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", word, bits)
+    lanes = F.zip_with(left["lanes"], right["lanes"], one)
+    return F.struct(one(left["total"], right["total"]).alias("total"), lanes.alias("lanes"))
 
 
 def added(left: Column, right: Column) -> Column:
     """The fingerprint of the paragraphs of both."""
-    lanes = F.zip_with(left["lanes"], right["lanes"], lambda x, y: (x + y).bitwiseAND(LANES))
-    return F.struct((left["total"] + right["total"]).bitwiseAND(LANE).alias("total"), lanes.alias("lanes"))
+    return _combined(left, right, 1)
 
 
 def removed(left: Column, right: Column) -> Column:
     """The fingerprint of ``left`` without the paragraphs of ``right``, which must be among its own."""
-    lanes = F.zip_with(left["lanes"], right["lanes"], _less)
-    return F.struct((left["total"] - right["total"]).bitwiseAND(LANE).alias("total"), lanes.alias("lanes"))
-
-
-def _less(x: Column, y: Column) -> Column:
-    low = (x.bitwiseAND(LANE) - y.bitwiseAND(LANE)).bitwiseAND(LANE)
-    high = (F.shiftright(x, 32) - F.shiftright(y, 32)).bitwiseAND(LANE)
-    return F.shiftleft(high, 32).bitwiseOR(low)
+    return _combined(left, right, -1)
 
 
 def _dot(left: Column, right: Column) -> Column:
     """The inner product of two fingerprints, entries taken from their mean."""
 
     def centred(lane: Column, total: Column) -> Column:
-        return (lane * 2 - total * ENTRY).cast("double")
+        return lane.cast("double") * 2 - total.cast("double") * ENTRY
 
-    products = F.zip_with(
-        left["lanes"],
-        right["lanes"],
-        lambda x, y: centred(x.bitwiseAND(LANE), left["total"]) * centred(y.bitwiseAND(LANE), right["total"])
-        + centred(F.shiftright(x, 32), left["total"]) * centred(F.shiftright(y, 32), right["total"]),
-    )
+    products = F.zip_with(left["lanes"], right["lanes"], lambda x, y: centred(x, left["total"]) * centred(y, right["total"]))
     return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
 
 
 def likeness(left: Column, right: Column) -> Column:
     """0 to 1: the share of their paragraphs that two texts have in common, weighted by length, estimated.
 
-    1 for equal fingerprints. The standard error is about 1 / sqrt(2 x ``LONGS``), 0.06. A paragraph that one text
-    repeats counts with the square of its number.
+    1 for equal fingerprints. The standard error is about 1 / sqrt(``LANES``), 0.09. A paragraph that one text repeats
+    counts with the square of its number.
     """
     both = _dot(left, left) + _dot(right, right)
     found = F.try_divide(2 * _dot(left, right), both)
@@ -138,17 +121,17 @@ def likeness(left: Column, right: Column) -> Column:
 
 def as_hex(fingerprint: Column) -> Column:
     """The total and the lanes, eight lowercase hexadecimal digits each."""
-    digits = F.transform(fingerprint["lanes"], lambda x: F.lpad(F.hex(x), 16, "0"))
-    return F.lower(F.concat(F.lpad(F.hex(fingerprint["total"]), 8, "0"), F.array_join(digits, "")))
+    digits = F.transform(F.concat(F.array(fingerprint["total"]), fingerprint["lanes"]), lambda x: F.lpad(F.hex(x), 8, "0"))
+    return F.lower(F.array_join(digits, ""))
 
 
 def edited_halves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``text``, ``n_chars``, ``edited``, ``found``, ``next``) of every document; the last two are fingerprints.
+    """(id, ``n_chars``, ``edited_sha256``, ``found``, ``edited``, ``next``) of every document; three fingerprints.
 
-    ``edited`` is the text with its last floor(n_chars / 2) code points replaced by as many first ones of the next
-    document by id (after the last the first), ``next`` the fingerprint of that document. Null ids come first, equal
-    ids by the SHA-256 of their texts; a null text is empty. Repeated rows (same id and text) are one document and one
-    row. Other columns are not read. An empty table gives no rows.
+    ``edited`` is that of the text with its last floor(n_chars / 2) code points replaced by as many first ones of the
+    next document by id (after the last the first), ``next`` that of the next document. Null ids come first, equal ids
+    by the SHA-256 of their texts; a null text is empty. Repeated rows (same id and text) are one document and one row.
+    Other columns are not read. An empty table gives no rows.
 
     The order is found on (id, digest) alone. Texts are exchanged once, and of the next text only the part that is
     used moves a second time, to rows that stay where they are.
@@ -162,26 +145,28 @@ def edited_halves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         text.alias("text"),
     )
     own = ["known", "id", "key"]
-    names = rows.groupBy(*own).agg(F.any_value(F.length("text")).alias("n"))
-    ranked = ranking.running_totals(names, [F.col(c).asc() for c in own])
+    sized = rows.withColumn("n", F.length("text"))
+    found = keep(fingerprints(sized, [*own, "n"]).withColumnRenamed("fingerprint", "found"), "fingerprints")
+    ranked = ranking.running_totals(found.select(*own, "n"), [F.col(c).asc() for c in own])
     before = ranked.select(
         F.pmod(F.col("_before") + 1, "_total").alias("_before"),
         *[F.col(c).alias(f"{c}_b") for c in own],
         F.floor(F.col("n") / 2).cast("int").alias("asked"),
     )
-    asked = ranked.select("_before", *own).join(before, "_before").drop("_before")
+    asked = keep(ranked.select("_before", *own).join(before, "_before").drop("_before"), "neighbours")
+    back = [F.col(f"{c}_b").alias(c) for c in own]
     texts = rows.groupBy(*own).agg(F.any_value("text").alias("text"))
-    heads = texts.join(asked, own).select(
-        *[F.col(f"{c}_b").alias(c) for c in own],
-        F.substring("text", F.lit(1), F.col("asked")).alias("head"),
-        fingerprint(F.col("text")).alias("next"),
-    )
-    kept = F.length("text") - F.floor(F.length("text") / 2)
-    return texts.join(heads, own).select(
-        F.when(F.col("known"), F.col("id")).alias(id_col),
-        "text",
+    heads = texts.join(asked, own).select(*back, F.substring("text", F.lit(1), F.col("asked")).alias("head"))
+    half = F.floor(F.length("text") / 2)
+    changed = texts.join(heads, own).select(
+        *own,
         F.length("text").cast("bigint").alias("n_chars"),
-        F.concat(F.substring("text", F.lit(1), kept.cast("int")), "head").alias("edited"),
-        fingerprint(F.col("text")).alias("found"),
-        "next",
+        F.concat(F.substring("text", F.lit(1), (F.length("text") - half).cast("int")), "head").alias("edited"),
+    )
+    named = changed.select(*own, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited")
+    edited = fingerprints(named, [*own, "n_chars", "edited_sha256"], "edited").withColumnRenamed("fingerprint", "edited")
+    found = found.drop("n")
+    after = found.join(asked, own).select(*back, F.col("found").alias("next"))
+    return edited.join(found, own).join(after, own).select(
+        F.when(F.col("known"), F.col("id")).alias(id_col), "n_chars", "edited_sha256", "found", "edited", "next"
     )

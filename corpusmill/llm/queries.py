@@ -375,9 +375,7 @@ LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaire
 def op13_multiset_hash(spark, sf_dir):
     """Every document and its edited text as sums of the hashes of their paragraphs, and what they have in common."""
     found = multiset_hash.edited_halves(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    edited = multiset_hash.fingerprint(F.col("edited"))
-    both = found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "found", edited.alias("edited"), "next")
-    return both.select(
+    return found.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -388,7 +386,7 @@ def op13_multiset_hash(spark, sf_dir):
     )
 
 
-_LONGS, _M = multiset_hash.LONGS, multiset_hash.LANE
+_LANES, _MODULUS = multiset_hash.LANES, multiset_hash.MODULUS
 _LINES = rf"""flatten(list_transform(string_split({{0}}, chr(10)), lambda z: CASE WHEN length(z) <= {multiset_hash.LONG_LINE} THEN [z]
   ELSE string_split(regexp_replace(z, '([.!?]) ', '\1 ' || chr(10), 'g'), chr(10)) END))"""
 _HEX8 = "lpad(lower(to_hex({0})), 8, '0')"
@@ -414,20 +412,14 @@ e AS MATERIALIZED (SELECT *, left(text, n - h) || left(nxt, h) AS edited FROM n)
 every AS (SELECT text FROM e UNION SELECT edited FROM e),
 cut AS (SELECT text, unnest({_LINES.format("text")}) AS p FROM every),
 named AS (SELECT DISTINCT p, sha256(p) AS first FROM cut),
-worded AS (
-  SELECT p, greatest(1, floor(sqrt(length(p))))::BIGINT AS weight,
-    flatten([[('0x' || substr(sha256(first || k), q, 16))::UBIGINT FOR q IN [1, 17, 33, 49]] FOR k IN range({_LONGS // 32})]) AS words
-  FROM named),
 spread AS MATERIALIZED (
-  SELECT p, weight,
-    [((words[1 + t // 8] >> (4 * (t % 8)) & {multiset_hash.ENTRIES}::UBIGINT)::BIGINT * weight) FOR t IN range({_LONGS})] AS entries
-  FROM worded),
+  SELECT p, weight, list_transform(string_split(first || sha256(first), ''), lambda x: (strpos('0123456789abcdef', x) - 1) * weight) AS entries
+  FROM (SELECT *, greatest(1, floor(sqrt(length(p))))::BIGINT AS weight FROM named)),
 sums AS (
-  SELECT text, t, sum(weight)::BIGINT AS total, sum(entry)::HUGEINT AS s
-  FROM (SELECT text, weight, unnest(entries) AS entry, unnest(range({_LONGS})) AS t FROM cut JOIN spread USING (p)) GROUP BY text, t),
+  SELECT text, t, sum(weight)::BIGINT % {_MODULUS} AS total, sum(entry)::BIGINT % {_MODULUS} AS s
+  FROM (SELECT text, weight, unnest(entries) AS entry, unnest(range({_LANES})) AS t FROM cut JOIN spread USING (p)) GROUP BY text, t),
 prints AS MATERIALIZED (
-  SELECT text, {{'total': any_value(total) & {_M}, 'lanes': flatten(list([(s >> 32)::BIGINT & {_M}, s::BIGINT & {_M}] ORDER BY t)),
-    'even': list_transform(flatten(list([(s >> 32)::BIGINT & {_M}, s::BIGINT & {_M}] ORDER BY t)), lambda x: 2 * x - {multiset_hash.ENTRY} * (any_value(total) & {_M}))}} AS f
+  SELECT text, {{'total': any_value(total), 'lanes': list(s ORDER BY t), 'even': list(2 * s - {multiset_hash.ENTRY} * total ORDER BY t)}} AS f
   FROM sums GROUP BY text)
 SELECT e.doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
   {_HEX8.format("a.f.total")} || array_to_string(list_transform(a.f.lanes, lambda x: {_HEX8.format("x")}), '') AS fingerprint,

@@ -60,6 +60,9 @@ def test_collocations_equal_brute_force(spark):
     assert found == brute_collocations(rows, 7, 25)
     assert len({r[0] for r in found}) >= 4
     assert collocations.collocations(docs, least=10**6).count() == 0
+    for n in range(1, 5):
+        few = spark.createDataFrame([(" ".join("abcd"[:n]), "en")], "text string, lang string")
+        assert sorted(tuple(r) for r in collocations.collocations(few, least=1).collect()) == brute_collocations([(" ".join("abcd"[:n]), "en")], 1, 2000)
     assert collocations.collocations(docs.limit(0), least=1).count() == 0
 
 
@@ -176,19 +179,16 @@ def test_search_keeps_to_its_goals():
 
 # --- fingerprints ---------------------------------------------------------------------------------------
 def brute_fingerprint(text):
-    total, lanes = 0, [0] * (2 * multiset_hash.LONGS)
+    total, lanes = 0, [0] * multiset_hash.LANES
     for line in text.split("\n"):
         parts = [line] if len(line) <= multiset_hash.LONG_LINE else re.sub(r"([.!?]) ", "\\1 \n", line).split("\n")
         for p in parts:
             weight = max(1, int(len(p) ** 0.5))
             first = hashlib.sha256(p.encode()).hexdigest()
-            digest = "".join(hashlib.sha256(f"{first}{k}".encode()).hexdigest() for k in range(multiset_hash.LONGS // 32))
             total += weight
-            for t in range(multiset_hash.LONGS):
-                word = digest[16 * (t // 8) : 16 * (t // 8) + 16]
-                lanes[2 * t] += weight * int(word[7 - t % 8], 16)
-                lanes[2 * t + 1] += weight * int(word[15 - t % 8], 16)
-    return f"{total:08x}" + "".join(f"{x % 2**31:08x}" for x in lanes)
+            for t, digit in enumerate(first + hashlib.sha256(first.encode()).hexdigest()):
+                lanes[t] += weight * int(digit, 16)
+    return "".join(f"{x % 2**31:08x}" for x in (total, *lanes))
 
 
 def prose(rng, lines):
@@ -201,44 +201,49 @@ def test_fingerprints_equal_brute_force(spark):
     rows = [(i * 3 - 5, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "no id", "c", 1), (None, None, "c", 1), (4, "second", "c", 1), (1, texts[2], "c", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, next string, n_chars int")
     found = multiset_hash.edited_halves(docs)
-    found = found.select("doc_id", "text", "n_chars", "edited", multiset_hash.as_hex(F.col("found")), multiset_hash.as_hex(F.col("next"))).collect()
+    hexed = [multiset_hash.as_hex(F.col(c)).alias(c) for c in ("found", "edited", "next")]
+    found = found.select("doc_id", "n_chars", "edited_sha256", *hexed).collect()
     order = sorted({(r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest(), r[1] or "") for r in rows})
     wanted = []
     for k, (known, doc, _, text) in enumerate(order):
         after, half = order[(k + 1) % len(order)][3], len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        wanted.append((doc if known else None, text, len(text), edited, brute_fingerprint(text), brute_fingerprint(after)))
+        prints = [brute_fingerprint(t) for t in (text, edited, after)]
+        wanted.append((doc if known else None, len(text), hashlib.sha256(edited.encode()).hexdigest(), *prints))
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
     assert multiset_hash.edited_halves(docs.limit(0)).count() == 0
     one = multiset_hash.edited_halves(docs.where("doc_id = 7")).first()
-    assert one.found == one.next and one.edited == one.text[: len(one.text) - len(one.text) // 2] + one.text[: len(one.text) // 2]
+    assert one.found == one.next and one.n_chars == len(texts[4])
 
 
 def test_fingerprints_add_remove_and_compare(spark):
     rng = random.Random(7)
-    pairs = []
-    for _ in range(60):
+    texts = []
+    for i in range(60):
         lines = [f"Paragraph {rng.randrange(10**9)} " + "word " * rng.randrange(5, 25) for _ in range(40)]
         share = rng.randrange(41)
         other = lines[:share] + [f"Else {rng.randrange(10**9)} " + "word " * rng.randrange(5, 25) for _ in range(40 - share)]
         rng.shuffle(other)
-        pairs.append(("\n".join(lines), "\n".join(other), "\n".join(reversed(lines)), share / 40))
-    table = spark.createDataFrame(pairs, "a string, b string, turned string, share double")
-    made = table.select("share", *[multiset_hash.fingerprint(F.col(c)).alias(c) for c in ("a", "b", "turned")])
-    both = made.select(
+        every = {"a": lines, "b": other, "turned": lines[::-1], "joined": [*lines, *other]}
+        texts += [(i, share / 40, name, "\n".join(t)) for name, t in every.items()]
+    made = multiset_hash.fingerprints(spark.createDataFrame(texts, "id int, share double, name string, text string"), ["id", "share", "name"])
+    table = made.groupBy("id", "share").pivot("name", ["a", "b", "turned", "joined"]).agg(F.first("fingerprint"))
+    a, b, joined = F.col("a"), F.col("b"), F.col("joined")
+    found = table.select(
         "share",
-        (F.col("a") == F.col("turned")).alias("same"),
-        multiset_hash.likeness(F.col("a"), F.col("b")).alias("near"),
-        (multiset_hash.removed(multiset_hash.added(F.col("a"), F.col("b")), F.col("b")) == F.col("a")).alias("back"),
+        multiset_hash.likeness(a, b).alias("near"),
+        (a == F.col("turned")).alias("same"),
+        (multiset_hash.added(a, b) == joined).alias("sum"),
+        (multiset_hash.removed(joined, b) == a).alias("back"),
     ).collect()
-    assert all(r.same and r.back and abs(r.near - r.share) < 0.25 for r in both)
-    assert sum(abs(r.near - r.share) for r in both) / len(both) < 0.08
-    joined = table.select(
-        (multiset_hash.added(multiset_hash.fingerprint(F.col("a")), multiset_hash.fingerprint(F.col("b"))) == multiset_hash.fingerprint(F.concat("a", F.lit("\n"), "b"))).alias("same")
-    )
-    assert joined.where("same").count() == len(pairs)
-    empty = spark.sql("SELECT '' AS a, cast(null AS string) AS b")
-    assert empty.select(multiset_hash.likeness(multiset_hash.fingerprint(F.col("a")), multiset_hash.fingerprint(F.col("b")))).first()[0] == 1.0
+    assert len(found) == 60 and all(r.same and r.sum and r.back and abs(r.near - r.share) < 0.35 for r in found)
+    assert sum(abs(r.near - r.share) for r in found) / len(found) < 0.1
+    empty = multiset_hash.fingerprints(spark.createDataFrame([(1, ""), (2, None), (3, "x")], "k int, text string"), ["k"])
+    prints = {r.k: r.fingerprint for r in empty.collect()}
+    assert prints[1] == prints[2] != prints[3]
+    pair = spark.createDataFrame([(prints[1], prints[2], prints[3])], "a struct<total:int,lanes:array<int>>, b struct<total:int,lanes:array<int>>, c struct<total:int,lanes:array<int>>")
+    near = pair.select(multiset_hash.likeness(a, b), multiset_hash.likeness(a, F.col("c"))).first()
+    assert near[0] == 1.0 and near[1] < 0.4
 
 
 def test_fingerprints_stay_in_the_jvm(spark, sf):
