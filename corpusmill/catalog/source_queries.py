@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
@@ -126,6 +127,9 @@ def document_stream(spark, sf):
     return tables.scan_stream(spark, sf, schemas.DOCUMENTS, pathGlobFilter="documents.parquet")
 
 
+SCORES = "idx bigint, " + ", ".join(f"{c} double" for c in [*PARTS, "score"])
+
+
 def _score_batch(df):
     pairs = df.select(
         F.col("doc_id").alias("idx"),
@@ -140,7 +144,7 @@ def stream_scan(spark, sf):
     """The documents read as a bounded file stream."""
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "progress")
     scoring.run_available(document_stream(spark, sf), lambda df: df.drop("text"), out, check)
-    return spark.read.parquet(out).drop("batch")
+    return scoring.read_committed(spark, out, document_stream(spark, sf).drop("text").schema)
 
 
 @query("stream_scores", f"WITH {DOC_SCORED} SELECT idx, {ROUNDED} FROM scored")
@@ -148,7 +152,7 @@ def stream_scores(spark, sf):
     """Micro-batch scoring gives the batch scores."""
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "progress")
     scoring.run_available(document_stream(spark, sf), _score_batch, out, check)
-    return spark.read.parquet(out).drop("batch")
+    return scoring.read_committed(spark, out, SCORES)
 
 
 @query("resumed_stream_scores", f"WITH {DOC_SCORED} SELECT idx, {ROUNDED} FROM scored")
@@ -157,15 +161,43 @@ def resumed_stream_scores(spark, sf):
     out, check = scratch_path(spark, "stream"), scratch_path(spark, "progress")
     for _ in range(2):
         scoring.run_available(document_stream(spark, sf), _score_batch, out, check)
-    return spark.read.parquet(out).drop("batch").drop("batch")
+    return scoring.read_committed(spark, out, SCORES)
+
+
+class Interrupted(RuntimeError):
+    """The failure that ``recovered_stream_scores`` recovers from."""
+
+
+@query("recovered_stream_scores", f"WITH {DOC_SCORED} SELECT idx, {ROUNDED} FROM scored")
+def recovered_stream_scores(spark, sf):
+    """Eight files in four batches; the first run fails in the second one, after some of its rows are written."""
+    source, out, check = (scratch_path(spark, name) for name in ("arrived", "stream", "progress"))
+    b.table(spark, sf, "documents").repartition(8, "doc_id").write.parquet(source)
+
+    def failing(df):
+        scored = _score_batch(df)
+        if scoring.committed(spark, out):
+            scored.write.mode("overwrite").parquet(f"{out}/batch=1")
+            raise Interrupted("after a batch was written and before it was committed")
+        return scored
+
+    for transform in (failing, _score_batch):
+        stream = tables.scan_stream(spark, source, schemas.DOCUMENTS, files_per_trigger=2)
+        try:
+            scoring.run_available(stream, transform, out, check)
+        except StreamingQueryException as error:
+            if Interrupted.__name__ not in str(error):
+                raise
+    return scoring.read_committed(spark, out, SCORES)
 
 
-@query("stream_take")
+@query("stream_take", "SELECT doc_id, lang FROM documents LIMIT 100")
 def stream_take(spark, sf):
-    """The first rows to arrive from a stream (which ones depends on the files, so without a SQL twin)."""
+    """The first rows to arrive from a stream: of the one file, in the order in which it holds them."""
     out, check = scratch_path(spark, "taken"), scratch_path(spark, "progress")
-    scoring.take_from_stream(document_stream(spark, sf).select("doc_id", "lang"), 100, out, check)
-    return spark.read.parquet(out).select("doc_id", "lang")
+    rows = document_stream(spark, sf).select("doc_id", "lang")
+    scoring.take_from_stream(rows, 100, out, check)
+    return scoring.read_committed(spark, out, rows.schema)
 
 
 # --- Python batches --------------------------------------------------------------------------------

@@ -1,8 +1,10 @@
 """Files in and out, the score store, streams and whole jobs."""
 
 import json
+import os
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
@@ -64,27 +66,91 @@ def test_store_scores_once(spark, tmp_path):
     assert score_store.stored_scores(spark, path).count() == 1
 
 
+def files_of(spark, path, parts):
+    """One file of ten rows per part, in the order in which they arrive."""
+    for k in range(parts):
+        spark.range(10 * k, 10 * k + 10, numPartitions=1).write.mode("append").parquet(path)
+        for name in os.listdir(path):
+            if os.path.getmtime(f"{path}/{name}") > 10**9:
+                os.utime(f"{path}/{name}", (10**8 + k, 10**8 + k))
+
+
+def doubled(df):
+    return df.withColumn("x", F.col("id") * 2)
+
+
 def test_stream_resumes_without_duplicates(spark, tmp_path):
     src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    spark.range(5).write.parquet(src)
+    files_of(spark, src, 3)
+
+    def run():
+        scoring.run_available(tables.scan_stream(spark, src, "id bigint", files_per_trigger=1), doubled, out, check)
+        return sorted(r.id for r in scoring.read_committed(spark, out, "id bigint, x bigint").collect())
+
+    assert scoring.read_committed(spark, out, "id bigint, x bigint").count() == 0
+    assert run() == list(range(30))
+    assert run() == list(range(30))
+    spark.range(30, 38).write.mode("append").parquet(src)
+    assert run() == list(range(38))
+    assert len(scoring.committed(spark, out)) >= 4 and sum(scoring.committed(spark, out).values()) == 38
+
+
+@pytest.mark.parametrize("where", ["before the write", "half written", "before the commit", "after the commit"])
+def test_stream_recovers_from_a_failure(spark, tmp_path, monkeypatch, where):
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    files_of(spark, src, 4)
+    write, commit = scoring._write, scoring.commit
+
+    def failing_write(batch, output, number):
+        if number == 2 and where == "before the write":
+            raise OSError("lost")
+        if number == 2 and where == "half written":
+            batch.limit(3).write.mode("overwrite").parquet(f"{output}/batch={number}")
+            raise OSError("lost")
+        return write(batch, output, number)
+
+    def failing_commit(spark, output, number, rows):
+        if number == 2 and where == "before the commit":
+            raise OSError("lost")
+        commit(spark, output, number, rows)
+        if number == 2 and where == "after the commit":
+            raise OSError("lost")
 
     def run():
-        stream = tables.scan_stream(spark, src, "id bigint", files_per_trigger=1)
-        scoring.run_available(stream, lambda df: df.withColumn("x", F.col("id") * 2), out, check)
-        return spark.read.parquet(out).count()
+        scoring.run_available(tables.scan_stream(spark, src, "id bigint", files_per_trigger=1), doubled, out, check)
 
-    assert run() == 5
-    assert run() == 5
-    spark.range(5, 8).write.mode("append").parquet(src)
-    assert run() == 8
+    monkeypatch.setattr(scoring, "_write", failing_write)
+    monkeypatch.setattr(scoring, "commit", failing_commit)
+    with pytest.raises(StreamingQueryException, match="lost"):
+        run()
+    seen = sorted(r.id for r in scoring.read_committed(spark, out, "id bigint, x bigint").collect())
+    assert seen == list(range(30 if where == "after the commit" else 20))
+    monkeypatch.undo()
+    run()
+    rows = scoring.read_committed(spark, out, "id bigint, x bigint").collect()
+    assert sorted(map(tuple, rows)) == [(i, 2 * i) for i in range(40)]
 
 
-def test_stream_take(spark, tmp_path):
+def test_stream_take_leaves_the_rest_unread(spark, tmp_path):
     src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    spark.range(40).repartition(4).write.parquet(src)
-    stream = tables.scan_stream(spark, src, "id bigint", files_per_trigger=1)
-    scoring.take_from_stream(stream, 25, out, check)
-    assert spark.read.parquet(out).select("id").distinct().count() == 25
+    files_of(spark, src, 50)
+
+    def take(n):
+        return scoring.take_from_stream(tables.scan_stream(spark, src, "id bigint", files_per_trigger=1), n, out, check)
+
+    query = take(25)
+    assert sorted(r.id for r in scoring.read_committed(spark, out, "id bigint").collect()) == list(range(25))
+    assert sum(p.numInputRows for p in query.recentProgress) <= 3 * 20  # a batch is read again where it is cut
+    assert len(scoring.committed(spark, out)) == 3
+    assert take(25) is None
+    assert len(os.listdir(f"{check}/offsets")) - 1 <= 2 * 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 20, 21, 40, 41])
+def test_first_rows_of_a_batch(spark, tmp_path, n):
+    batch = spark.range(0, 40, 1, 4)
+    kept = scoring.first_of(batch, n, str(tmp_path / "out"), 0)
+    assert sorted(r.id for r in kept.collect()) == list(range(min(n, 40)))
 
 
 def test_score_and_tier_job(spark, sf, tmp_path):
