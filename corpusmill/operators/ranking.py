@@ -19,6 +19,8 @@ from corpusmill.session import keep
 
 _POSITION_BITS = 33  # monotonically_increasing_id: partition above, row position below
 PRUNE_CELLS = 4096
+CELLS_PER_OCTAVE = 64
+_OCTAVES = 1 << 20  # more than all cells between the smallest and the largest value
 BROADCAST_ROWS = 100_000
 _HASH_SHIFT = 20  # 32-bit hash -> 4096 cells
 
@@ -194,52 +196,57 @@ def tier_report(members: DataFrame, components: Sequence[str], score: str = "sco
     return report.join(middle, "tier")
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    approximate: bool = False,
-    groups: int | None = None,
+def value_cell(value: Column) -> Column:
+    """A cell that does not depend on the data and never falls as the value rises: ``CELLS_PER_OCTAVE`` of equal width
+    between powers of two, the same below zero. NaN comes last."""
+    size = F.abs(value)
+    octave = F.floor(F.log2(F.when(size > 0, size)))
+    # Continuous where octaves meet, so that a rounded logarithm does no harm.
+    place = F.floor((octave + size / F.pow(F.lit(2.0), octave) - 1) * CELLS_PER_OCTAVE)
+    infinite = F.when(size == float("inf"), 2 * _OCTAVES).otherwise(_OCTAVES + place).cast("bigint")
+    return F.when(F.isnan(value), 3 * _OCTAVES).when(value == 0, 0).when(value < 0, -infinite).otherwise(infinite).cast("bigint")
+
+
+def cell_counts(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, ``_slot``, ``_rows``, ``_lo``, ``_hi``, ``_mean``, ``_m2``) of the values ``_v``: one pass, which combines
+    before the shuffle to a few hundred rows for each group and task. Written, as it is read more than once."""
+    rows = long.withColumn("_v", F.col("_v").cast("double")).where(F.col("_v").isNotNull())
+    return keep(
+        rows.groupBy(*by, value_cell(F.col("_v")).alias("_slot")).agg(
+            F.count("*").alias("_rows"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.avg("_v").alias("_mean"),
+            (F.var_pop("_v") * F.count("*")).alias("_m2"),
+        ),
+        "cells",
+    )
+
+
+def quantiles_in_cells(
+    long: DataFrame, cells: DataFrame, probs: Sequence[float], by: Sequence[str], groups: int | None = None
 ) -> DataFrame:
-    """Linear-interpolation quantiles per group as columns ``q0, q1, …``; NULLs are left out.
+    """(by, ``q0``, ``q1``, …) of the values ``_v`` by their counted cells.
 
-    Exact by default: rows are counted in equal-width cells per group, and only the cells that hold a
-    wanted position are looked at closer, their equal values counted first, so that a hot value is one
-    row. ``approximate`` uses ``approx_percentile``, one aggregation with bounded memory.
+    A second pass looks only at the cells that hold a wanted position, those of all groups together; their equal values
+    are counted before they are ranked, so that a hot value is one row. ``groups`` bounds the number of groups.
     """
-    by = list(by)
-    present = df.where(F.col(value).isNotNull())
-    if approximate:
-        found = present.groupBy(*by).agg(F.percentile_approx(value, list(probs), 100_000).alias("_q"))
-        return found.select(*by, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
-    group, groups = (by, groups) if by else (["_all"], 1)
+    group = list(by)
     n_wanted = None if groups is None else 2 * len(probs) * groups
-    narrow = present.select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
-    limits = small_side(
-        narrow.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")),
-        groups,
-        "limits",
-    )
-    share = F.try_divide((F.col("_v") - F.col("_lo")).cast("double"), F.col("_hi") - F.col("_lo"))
-    placed = narrow.join(limits, group).withColumn(
-        "_slot", F.coalesce(F.floor(share * PRUNE_CELLS), F.lit(0)).cast("bigint")
-    )
-    counts = placed.groupBy(*group, "_slot").agg(F.count("*").alias("_rows"), F.max("_n").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     at = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
     positions = F.array(*[f(a).cast("bigint") for a in at for f in (F.floor, F.ceil)])
     # At most two cells per group and quantile.
     wanted = (
-        counts.withColumn("_skip", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        cells.withColumn("_skip", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .withColumn("_n", F.sum("_rows").over(Window.partitionBy(*group)))
         .where(F.exists(positions, lambda x: (x >= F.col("_skip")) & (x < F.col("_skip") + F.col("_rows"))))
-        .select(*group, "_slot", "_skip")
-    )
-    counted = (
-        placed.join(small_side(wanted, n_wanted, "wanted"), [*group, "_slot"])
-        .groupBy(*group, "_slot", "_skip", "_n", "_v")
-        .agg(F.count("*").alias("_w"))
+        .select(*group, "_slot", "_skip", "_n")
     )
+    placed = long.withColumn("_v", F.col("_v").cast("double")).where(F.col("_v").isNotNull())
+    placed = placed.withColumn("_slot", value_cell(F.col("_v"))).join(small_side(wanted, n_wanted, "wanted"), [*group, "_slot"])
+    # Written before it is ranked: a range shuffle reads its input twice.
+    counted = keep(placed.groupBy(*group, "_slot", "_skip", "_n", "_v").agg(F.count("*").alias("_w")), "values")
     table = running_totals(counted, [F.col("_v").asc()], [*group, "_slot"], weight="_w", groups=n_wanted)
     first = F.col("_skip") + F.col("_before")
 
@@ -252,7 +259,7 @@ def quantiles(
         *[value_at(F.ceil(a)).alias(f"_hi{i}") for i, a in enumerate(at)],
     )
     return picked.select(
-        *by,
+        *group,
         *[
             (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (a - F.floor(a))).alias(f"q{i}")
             for i, a in enumerate(at)
@@ -260,6 +267,30 @@ def quantiles(
     )
 
 
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    approximate: bool = False,
+    groups: int | None = None,
+) -> DataFrame:
+    """Linear-interpolation quantiles per group as columns ``q0, q1, …``; NULLs are left out.
+
+    Exact by default, in two passes over ``df``: one counts the rows in cells, one ranks the values in the cells that
+    hold a wanted position. ``approximate`` uses ``approx_percentile``, one aggregation with bounded memory.
+    """
+    by = list(by)
+    if approximate:
+        present = df.where(F.col(value).isNotNull())
+        found = present.groupBy(*by).agg(F.percentile_approx(value, list(probs), 100_000).alias("_q"))
+        return found.select(*by, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+    group, groups = (by, groups) if by else (["_all"], 1)
+    long = df.select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).alias("_v"))
+    found = quantiles_in_cells(long, cell_counts(long, group), probs, group, groups)
+    return found if by else found.drop("_all")
+
+
 def _percent(i: int, n_bins: int) -> int:
     """The whole percent at which bin ``i`` starts, cut off after scaling the step and not the share."""
     return 100 if i == n_bins else int(i * (100 / n_bins))

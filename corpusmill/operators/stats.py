@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import fixed
-from corpusmill.operators.ranking import quantiles, running_totals
+from corpusmill.operators.ranking import cell_counts, quantiles, quantiles_in_cells, running_totals
 from corpusmill.session import keep
 
 
@@ -27,21 +27,36 @@ def summary(
     percentiles: Sequence[int] = (),
     approximate: bool = False,
 ) -> DataFrame:
-    """One row per column: count, mean, population std, min, max, median and percentiles ``p25`` …"""
+    """One row per column: count, mean, population std, min, max, median and percentiles ``p25`` …
+
+    Two passes over ``df`` for any number of columns: cells with their counts and moments, then the values in the
+    cells that hold a wanted position. One pass if ``approximate``.
+    """
+    probs, names = [0.5, *[p / 100 for p in percentiles]], ["median", *[f"p{p}" for p in percentiles]]
     long = melt(df, columns)
-    moments = long.groupBy("metric").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    probs = [0.5, *[p / 100 for p in percentiles]]
-    cuts = quantiles(long, "value", probs, by=["metric"], approximate=approximate, groups=len(columns))
-    names = ["median", *[f"p{p}" for p in percentiles]]
-    return moments.join(
-        cuts.select("metric", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)]), "metric"
-    )
+    if approximate:
+        row = long.groupBy("metric").agg(
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_pop("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.percentile_approx("value", probs, 100_000).alias("_q"),
+        )
+        return row.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).drop("_q")
+    long = long.withColumnRenamed("value", "_v")
+    cells = cell_counts(long, ["metric"])
+    n, mean = F.sum("_rows"), F.try_divide(F.sum(F.col("_mean") * F.col("_rows")), F.sum("_rows"))
+    whole = cells.groupBy("metric").agg(n.alias("n"), mean.alias("mean"), F.min("_lo").alias("min"), F.max("_hi").alias("max"))
+    # Spread inside the cells and of the cells around the mean: no difference of large squares.
+    apart = F.col("_m2") + F.col("_rows") * F.pow(F.col("_mean") - F.col("mean"), F.lit(2.0))
+    spread = cells.join(F.broadcast(whole), "metric").groupBy("metric").agg(F.sqrt(F.sum(apart) / F.first("n")).alias("std"))
+    every = cells.sparkSession.createDataFrame([(c,) for c in columns], "metric string")
+    moments = every.join(F.broadcast(whole), "metric", "left").join(F.broadcast(spread), "metric", "left")
+    cuts = quantiles_in_cells(long, cells, probs, ["metric"], groups=len(columns))
+    cuts = cuts.select("metric", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    order = ["metric", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", "max", *names]
+    return moments.join(F.broadcast(cuts), "metric", "left").select(*order)
 
 
 def edge_histogram(df: DataFrame, value: str, edges: Sequence[float] = fixed.LENGTH_EDGES) -> DataFrame:

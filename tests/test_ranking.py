@@ -65,6 +65,44 @@ def test_quantiles_are_numpys(scores):
     assert list(row) == pytest.approx(list(np.percentile(VALUES, [100 * p for p in probs])))
 
 
+def test_cells_rise_with_the_values(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.standard_normal(3000) * 10.0 ** rng.integers(-300, 300, 3000), 2.0 ** np.arange(-1000, 1000), [0.0, -0.0, 5e-324, 1.7e308, np.inf]])
+    values = np.concatenate([values, -values, np.nextafter(values, np.inf)])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", ranking.value_cell(F.col("v")).alias("c")).collect()
+    ordered = sorted((r.v, r.c) for r in rows)
+    assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:]))
+    assert spark.sql("SELECT double('nan') AS v").select(ranking.value_cell(F.col("v"))).first()[0] > ordered[-1][1]
+
+
+@pytest.mark.parametrize("columns", [1, 4])
+def test_summary_reads_its_input_twice(spark, columns):
+    rng = np.random.default_rng(columns)
+    table = [rng.standard_normal(900) * 100, rng.integers(0, 5, 900), np.exp(rng.standard_normal(900) * 9), np.full(900, 7.25)][:columns]
+    names = ["a", "b", "c", "d"][:columns]
+    rows = spark.createDataFrame([tuple(float(x) for x in r) for r in zip(*table)], ", ".join(f"{n} double" for n in names))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = {r.metric: r for r in stats.summary(rows.mapInArrow(counted, rows.schema), names, (25, 99)).collect()}
+    assert seen.value == 2 * 900
+    for name, values in zip(names, table):
+        r = found[name]
+        expected = (values.mean(), values.std(), values.min(), values.max(), *np.percentile(values, [50, 25, 99]))
+        assert r.n == 900 and (r.mean, r.std, r.min, r.max, r.median, r.p25, r.p99) == pytest.approx(expected)
+
+
+def test_summary_of_nothing(spark):
+    rows = spark.createDataFrame([(None, 1.0)], "a double, b double")
+    found = {r.metric: r for r in stats.summary(rows, ["a", "b"]).collect()}
+    assert (found["a"].n, found["a"].mean, found["a"].median) == (0, None, None)
+    assert (found["b"].n, found["b"].std, found["b"].median) == (1, 0.0, 1.0)
+
+
 def test_approximate_quantiles_are_close(scores):
     row = ranking.quantiles(scores, "score", [0.25, 0.75], approximate=True).first()
     assert list(row) == pytest.approx(list(np.percentile(VALUES, [25, 75])), abs=0.02)
