@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from corpusmill.functions import fixed
 from corpusmill.operators.ranking import cell_counts, quantiles, quantiles_in_cells, running_totals
@@ -46,10 +44,10 @@ def summary(
         return row.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).drop("_q")
     long = long.withColumnRenamed("value", "_v")
     cells = cell_counts(long, ["metric"])
-    n, mean = F.sum("_rows"), F.try_divide(F.sum(F.col("_mean") * F.col("_rows")), F.sum("_rows"))
+    n, mean = F.sum("_rows"), F.try_divide(F.sum("_sum"), F.sum("_rows"))
     whole = cells.groupBy("metric").agg(n.alias("n"), mean.alias("mean"), F.min("_lo").alias("min"), F.max("_hi").alias("max"))
     # Spread inside the cells and of the cells around the mean: no difference of large squares.
-    apart = F.col("_m2") + F.col("_rows") * F.pow(F.col("_mean") - F.col("mean"), F.lit(2.0))
+    apart = F.col("_m2") + F.col("_rows") * F.pow(F.col("_sum") / F.col("_rows") - F.col("mean"), F.lit(2.0))
     spread = cells.join(F.broadcast(whole), "metric").groupBy("metric").agg(F.sqrt(F.sum(apart) / F.first("n")).alias("std"))
     every = cells.sparkSession.createDataFrame([(c,) for c in columns], "metric string")
     moments = every.join(F.broadcast(whole), "metric", "left").join(F.broadcast(spread), "metric", "left")
@@ -152,80 +150,92 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
-def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with their count and average rank (ties share the mean of their ranks)."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    table = running_totals(counted, [F.col(value).asc()], weight="_n")
-    return table.select(
-        value, "_n", "_total", (F.col("_before") + (F.col("_n") + 1) / 2).alias("avg_rank")
-    )
-
+def average_ranks(long: DataFrame, groups: int) -> DataFrame:
+    """(``column``, ``value``, ``n``, ``from_mean``) of every distinct value of every column of (column, value).
 
-def _with_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Join the average rank of ``value``. Values held by over a thousandth of the rows are at most a
-    thousand and are broadcast; the rest, which no longer contain a hot key, join by shuffle."""
-    ranks = average_ranks(df, value).withColumnRenamed("avg_rank", name)
-    hot = F.col("_n") * 1000 > F.col("_total")
-    marked = df.join(F.broadcast(ranks.where(hot).select(value, name)), value, "left")
-    rest = marked.where(F.col(name).isNull()).drop(name)
-    return marked.where(F.col(name).isNotNull()).unionByName(
-        rest.join(ranks.where(~hot).select(value, name), value)
-    )
+    Equal values share the mean of their ranks, from which the mean rank of the column is taken off. One range shuffle
+    of the counted values ranks all columns; ``groups`` is their number.
+    """
+    counted = keep(long.groupBy("column", "value").agg(F.count("*").alias("n")), "values")
+    table = running_totals(counted, [F.col("value").asc()], ["column"], weight="n", groups=groups)
+    rank = F.col("_before") + (F.col("n") + 1) / 2 - (F.col("_total") + 1) / 2
+    return keep(table.select("column", "value", "n", rank.alias("from_mean")), "ranks")
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: ``n``, Pearson and Spearman coefficient, each with its two-sided p-value."""
+    """One row: ``n``, Pearson and Spearman coefficient, each with its two-sided p-value.
+
+    ``df`` is read once, for its complete pairs. Both columns are ranked together, and the ranks are joined to the
+    distinct pairs; as mean ranks are known, one sum over these gives the coefficient.
+    """
     complete = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    complete = complete.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    ranked = _with_rank(_with_rank(complete, "_x", "_rx"), "_y", "_ry")
-    row = ranked.agg(
-        F.count("*").alias("n"),
-        pearson(F.col("_x"), F.col("_y")).alias("pearson_r"),
-        pearson(F.col("_rx"), F.col("_ry")).alias("spearman_r"),
-    )
+    complete = keep(complete.where(F.col("_x").isNotNull() & F.col("_y").isNotNull()), "pairs")
+    sides = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in ("_x", "_y")]
+    ranks = average_ranks(complete.select(F.inline(F.array(*sides))), groups=2)
+    joined = complete.groupBy("_x", "_y").agg(F.count("*").alias("_n"))
+    for c in ("_x", "_y"):
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("from_mean").alias(f"{c}_d"))
+        joined = joined.join(own, c)
+    shared = joined.agg(F.sum(F.col("_n") * F.col("_x_d") * F.col("_y_d"))).scalar()
+    squares = F.col("n") * F.col("from_mean") * F.col("from_mean")
+    spread = [ranks.where(F.col("column") == c).agg(F.sqrt(F.sum(squares))).scalar() for c in ("_x", "_y")]
+    row = complete.agg(F.count("*").alias("n"), pearson(F.col("_x"), F.col("_y")).alias("pearson_r"))
+    row = row.withColumn("spearman_r", F.try_divide(shared, spread[0] * spread[1]))
     return row.select(
         "n",
         "pearson_r",
-        correlation_p_value("pearson_r", "n").alias("pearson_p"),
+        correlation_p_value(F.col("pearson_r"), F.col("n")).alias("pearson_p"),
         "spearman_r",
-        correlation_p_value("spearman_r", "n").alias("spearman_p"),
+        correlation_p_value(F.col("spearman_r"), F.col("n")).alias("spearman_p"),
     )
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (Lentz)."""
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    tiny, c, d = 1e-300, 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), 1e-300)
-    value = d
-    for m in range(1, 1000):
+#: Steps of the continued fraction; it needs about the root of the number of rows.
+FRACTION_STEPS = 2000
+
+
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function above zero: ten steps up, then Stirling's series."""
+    up = x + 10
+    series = 1 / (12 * up) - 1 / (360 * F.pow(up, F.lit(3.0))) + 1 / (1260 * F.pow(up, F.lit(5.0))) - 1 / (1680 * F.pow(up, F.lit(7.0)))
+    at_up = (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series
+    for k in range(10):
+        at_up = at_up - F.log(x + k)
+    return at_up
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function for x up to about (a + 1) / (a + b + 2): its continued fraction by products."""
+
+    def step(state: Column, k: Column) -> Column:
+        m = F.floor(k / 2).cast("double")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for step in (even, odd):
-            d = 1.0 / ((1.0 + step * d) or tiny)
-            c = (1.0 + step / c) or tiny
-            value *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
+        term = F.when(k % 2 == 0, even).otherwise(odd)
+        d, c = 1 / (1 + term * state["d"]), 1 + term / state["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (state["value"] * c * d).alias("value"))
+
+    one = F.lit(1.0)
+    first = F.struct(F.lit(1e300).alias("c"), one.alias("d"), one.alias("value"))  # so that the first c is one
+    value = F.aggregate(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), first, step)["value"]
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
     return front * value / a
 
 
-def _p_value(r: float, n: float) -> float | None:
-    if r is None or n is None or math.isnan(r) or n < 3:
-        return None
-    r = min(1.0, max(-1.0, r))
-    return _beta_tail((n - 2) / 2, 0.5, 1.0 - r * r)
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation: t with n - 2 degrees of freedom; NULL without r or for under three rows.
 
-
-@F.pandas_udf(DoubleType())
-def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a correlation: t with n - 2 degrees of freedom. Applied to result rows only."""
-    return pd.Series([_p_value(a, b) for a, b in zip(r, n)], dtype="float64")
+    Spark expressions over the result row: the incomplete beta function by its continued fraction, on the side where
+    that converges.
+    """
+    missing = r.isNull() | F.isnan(r.cast("double")) | (n < 3)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r.cast("double")))
+    a, square = (n.cast("double") - 2) / 2, r * r
+    outer = F.when((square < 1) & (n >= 3), 1 - square)
+    inner = F.when((square > 0) & (n >= 3), square)
+    near = outer <= (a + 1) / (a + 2.5)
+    p = F.when(near, _beta_fraction(a, F.lit(0.5), outer)).otherwise(1 - _beta_fraction(F.lit(0.5), a, inner))
+    return F.when(missing, None).when(square == 0, 1.0).when(square == 1, 0.0).otherwise(p)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -143,14 +143,48 @@ def test_correlations_and_p(spark):
     assert 0.0 <= row.pearson_p < 1e-20
 
 
-def test_p_value_against_the_t_table():
+def p_by_integral(r, n):
+    """The share of cos(t) ** (n - 3) between asin |r| and a right angle, by Gauss-Legendre quadrature."""
+    nodes, weights = np.polynomial.legendre.leggauss(400)
+
+    def area(low):
+        high = math.pi / 2
+        t = low + (high - low) * (nodes + 1) / 2
+        return (weights * np.cos(t) ** (n - 3)).sum() * (high - low)
+
+    return area(math.asin(abs(r))) / area(0.0)
+
+
+def test_p_values(spark):
     # two-sided 5 % points of Student's t: 2.228 at 10, 2.042 at 30 degrees of freedom
-    for df, t in ((10, 2.228139), (30, 2.042272)):
-        r = t / math.sqrt(df + t * t)
-        assert stats._p_value(r, df + 2) == pytest.approx(0.05, abs=1e-6)
-    assert stats._p_value(0.0, 20) == pytest.approx(1.0)
-    assert stats._p_value(1.0, 20) == 0.0
-    assert stats._p_value(None, 20) is None
+    listed = [(t / math.sqrt(df + t * t), df + 2, 0.05) for df, t in ((10, 2.228139), (30, 2.042272))]
+    listed += [(0.0, 20, 1.0), (1.0, 20, 0.0), (-1.0, 3, 0.0), (1.0000001, 9, 0.0), (None, 20, None), (float("nan"), 20, None), (0.5, 2, None)]
+    listed += [(r, n, p_by_integral(r, n)) for n in (3, 4, 5, 10, 57, 400, 3000) for r in (-0.999, -0.6, -0.2, 0.01, 0.05, 0.3, 0.8)]
+    listed += [(0.002, 10**6, 0.0455), (1e-4, 10**8, 0.317311)]
+    rows = spark.createDataFrame([(i, r, n) for i, (r, n, _) in enumerate(listed)], "i int, r double, n bigint").coalesce(1)
+    found = [x.p for x in rows.select("i", stats.correlation_p_value(F.col("r"), F.col("n")).alias("p")).orderBy("i").collect()]
+    for p, (r, n, expected) in zip(found, listed):
+        assert (p is None) == (expected is None), (r, n)
+        assert p is None or p == pytest.approx(expected, rel=1e-6, abs=1e-6 if n < 10**5 else 1e-4), (r, n)
+    plan = rows.select(stats.correlation_p_value(F.col("r"), F.col("n")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
+def test_ranks_of_all_columns_at_once(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 6, 500).astype(float), np.round(rng.standard_normal(500), 1)
+    rows = [(float(a), float(b) if i % 50 else None) for i, (a, b) in enumerate(zip(x, y))]
+    kept = [(a, b) for a, b in rows if b is not None]
+    row = stats.correlations(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+
+    def ranks(v):
+        s = np.sort(v)
+        return (np.searchsorted(s, v, "left") + np.searchsorted(s, v, "right") + 1) / 2
+
+    a, b = np.array(kept).T
+    assert row.n == len(kept) and row.spearman_r == pytest.approx(np.corrcoef(ranks(a), ranks(b))[0, 1])
+    assert row.spearman_p == pytest.approx(p_by_integral(row.spearman_r, row.n), rel=1e-6)
+    assert stats.correlations(spark.createDataFrame([], "x double, y double"), "x", "y").first().n == 0
 
 
 def test_constant_column_has_no_correlation(spark):
