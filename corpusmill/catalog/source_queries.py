@@ -13,7 +13,7 @@ from corpusmill.catalog.quality_queries import CHAT_SCORED, DOC_SCORED, PARTS, R
 from corpusmill.functions import text as tx
 from corpusmill.operators import generation, mixing, quality
 from corpusmill.session import scratch_path
-from corpusmill.sources import score_store, sinks, tables
+from corpusmill.sources import score_store, sinks, tables, tokenizing
 from corpusmill.streaming import scoring
 
 
@@ -212,6 +212,16 @@ def mapped_batches(spark, sf):
     return tables.map_batches(docs, count, "doc_id bigint, n_tokens bigint")
 
 
+@query("tokenizer_lengths")
+def tokenizer_lengths(spark, sf):
+    """Token counts and a digest of the ids by a real tokenizer (its library is the check, in the tests)."""
+    import public_tokenizers
+
+    setup = tokenizing.TokenizerFile(public_tokenizers.path("word_bpe_49k.json"))
+    rows = b.documents(spark, sf).select("doc_id", tokenizing.tokenized(F.col("text"), setup).alias("t"))
+    return rows.select("doc_id", F.col("t.length").alias("tokens"), F.md5(F.array_join("t.ids", " ")).alias("ids_md5"))
+
+
 @query("plugged_tokenizer", f"WITH {b.scored_sql(b.CHAT_PAIRS).replace(b.toks('both_l') + ' AS bt', b.words('both_l') + ' AS bt')} SELECT idx, {r6('diversity')} AS diversity FROM scored")
 def plugged_tokenizer(spark, sf):
     """Diversity with another token counter plugged in."""

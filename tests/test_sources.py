@@ -3,16 +3,18 @@
 import json
 import os
 
+import public_tokenizers
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusmill import schemas
 from corpusmill.catalog import base as b
 from corpusmill.operators import formats, generation
 from corpusmill.plans import jobs
 from corpusmill.session import drop_kept, keep, scratch_path, shared_dir
-from corpusmill.sources import score_store, sinks, tables
+from corpusmill.sources import score_store, sinks, tables, tokenizing
 from corpusmill.streaming import scoring
 
 
@@ -49,6 +51,34 @@ def test_report_text(spark, tmp_path):
     assert lines[:3] == ["Sample 1", "Category: y", "Temperature: 1.00"] and "two" not in lines
 
 
+def test_tokenizer_is_set_up_once_and_gives_the_ids_of_its_library(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["Hello there, world!", "", None, "é 日本 🙂", "word " * 3000, "x" * 5000, " "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    monkeypatch.setattr(tokenizing, "BYTES_AT_ONCE", 4000)
+    for most in (None, 3):
+        got = {r.id: r.t for r in rows.select("id", tokenizing.tokenized(F.col("text"), tokenizing.TokenizerFile(path), most).alias("t")).collect()}
+        for i, text in enumerate(texts):
+            ids = None if text is None else plain.encode(text, add_special_tokens=False).ids
+            assert (got[i] and (got[i].ids, got[i].length)) == (ids if ids is None else (ids[:most], len(ids)))
+    assert rows.limit(0).select(tokenizing.tokenized(F.col("text"), tokenizing.TokenizerFile(path))).count() == 0
+    calls = spark.sparkContext.accumulator(0)
+
+    def setup():
+        calls.add(1)
+        return lambda batch: [[len(t)] * len(t.split()) for t in batch]
+
+    many = spark.range(0, 30000, 1, 1).select(F.concat_ws(" ", "id", "id").alias("text"))
+    assert many.select(tokenizing.tokenized(F.col("text"), setup).alias("t")).agg(F.sum("t.length")).first()[0] == 60000
+    assert calls.value == 1
+    summary, histogram = jobs.length_profile(rows.where("text IS NOT NULL"), "id", counter=tokenizing.token_ids(tokenizing.TokenizerFile(path)))
+    lengths = [len(plain.encode(t, add_special_tokens=False).ids) for t in texts if t is not None]
+    row = summary.first()
+    assert (row.n, row.max, row.median) == (6, max(lengths), sorted(lengths)[2] / 2 + sorted(lengths)[3] / 2)
+    assert histogram.agg(F.sum("n")).first()[0] == 6
+
+
 def test_missing_store_is_empty(spark, tmp_path):
     assert score_store.stored_scores(spark, str(tmp_path / "none")).count() == 0
 
