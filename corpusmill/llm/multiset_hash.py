@@ -145,9 +145,8 @@ def edited_halves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         text.alias("text"),
     )
     own = ["known", "id", "key"]
-    sized = rows.withColumn("n", F.length("text"))
-    found = keep(fingerprints(sized, [*own, "n"]).withColumnRenamed("fingerprint", "found"), "fingerprints")
-    ranked = ranking.running_totals(found.select(*own, "n"), [F.col(c).asc() for c in own])
+    names = rows.groupBy(*own).agg(F.max(F.length("text")).alias("n"))
+    ranked = ranking.running_totals(names, [F.col(c).asc() for c in own])
     before = ranked.select(
         F.pmod(F.col("_before") + 1, "_total").alias("_before"),
         *[F.col(c).alias(f"{c}_b") for c in own],
@@ -156,17 +155,19 @@ def edited_halves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = keep(ranked.select("_before", *own).join(before, "_before").drop("_before"), "neighbours")
     back = [F.col(f"{c}_b").alias(c) for c in own]
     texts = rows.groupBy(*own).agg(F.any_value("text").alias("text"))
-    heads = texts.join(asked, own).select(*back, F.substring("text", F.lit(1), F.col("asked")).alias("head"))
+    # Made from the placed texts on both sides of the exchange: less work than to move fingerprints once more.
+    found = fingerprints(texts, own).withColumnRenamed("fingerprint", "found")
+    after = texts.join(asked, own).join(found, own)
+    after = after.select(*back, F.substring("text", F.lit(1), F.col("asked")).alias("head"), F.col("found").alias("next"))
     half = F.floor(F.length("text") / 2)
-    changed = texts.join(heads, own).select(
+    changed = texts.join(after, own).select(
         *own,
         F.length("text").cast("bigint").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), (F.length("text") - half).cast("int")), "head").alias("edited"),
+        "next",
     )
-    named = changed.select(*own, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited")
-    edited = fingerprints(named, [*own, "n_chars", "edited_sha256"], "edited").withColumnRenamed("fingerprint", "edited")
-    found = found.drop("n")
-    after = found.join(asked, own).select(*back, F.col("found").alias("next"))
-    return edited.join(found, own).join(after, own).select(
+    named = changed.select(*own, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next", "edited")
+    edited = fingerprints(named, [*own, "n_chars", "edited_sha256", "next"], "edited").withColumnRenamed("fingerprint", "edited")
+    return edited.join(found, own).select(
         F.when(F.col("known"), F.col("id")).alias(id_col), "n_chars", "edited_sha256", "found", "edited", "next"
     )
