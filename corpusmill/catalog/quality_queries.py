@@ -9,7 +9,8 @@ from corpusmill.catalog.base import query, r6
 from corpusmill.functions import fixed
 from corpusmill.functions import text as tx
 from corpusmill.operators import quality, ranking, sentences, stats
-from corpusmill.session import keep
+from corpusmill.plans import jobs
+from corpusmill.session import keep, scratch_path
 
 CHAT_SCORED = b.scored_sql(b.CHAT_PAIRS)
 DOC_SCORED = b.scored_sql(b.DOCUMENT_PAIRS)
@@ -138,6 +139,35 @@ def tier_report(spark, sf):
     return ranking.tier_report(members, PARTS)
 
 
+SPLIT_SQL = f"CASE WHEN {b.hash32(42, 'idx')} % 10000 < 500 THEN 'validation' ELSE 'train' END"
+
+
+@query(
+    "score_and_tier_report",
+    f"""WITH {DOC_SCORED}, {TIER_SQL} SELECT tier, count(*) AS total_samples, {r6('avg(score)')} AS mean, {r6('min(score)')} AS score_threshold,
+ {r6('median(score)')} AS median FROM members GROUP BY tier""",
+)
+def score_and_tier_report(spark, sf):
+    """The whole scoring job over the documents: its report."""
+    report = jobs.score_and_tier(b.document_pairs(spark, sf), "idx", scratch_path(spark, "job"), TIERS)
+    return report.select("tier", "total_samples", "mean", "score_threshold", "median")
+
+
+@query(
+    "score_and_tier_rows",
+    f"""WITH {DOC_SCORED}, {TIER_SQL} SELECT tier, {SPLIT_SQL} AS split, idx, {r6('score')} AS quality_score, {r6('clarity')} AS clarity,
+ md5(coalesce(p.response, '')) AS response_md5 FROM members JOIN ({b.DOCUMENT_PAIRS}) p USING (idx)""",
+)
+def score_and_tier_rows(spark, sf):
+    """The whole scoring job over the documents: the rows that it saved by tier and split."""
+    path = scratch_path(spark, "job")
+    jobs.score_and_tier(b.document_pairs(spark, sf), "idx", path, TIERS)
+    saved = spark.read.parquet(f"{path}/tiers")
+    return saved.select(
+        "tier", "split", "idx", "quality_score", F.col("quality_components.clarity").alias("clarity"), F.md5("response").alias("response_md5")
+    )
+
+
 ORDER_TIERS = {"ultra_high": 150, "high": 1500, "medium": 12000}
 
 
