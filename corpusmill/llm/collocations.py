@@ -3,12 +3,15 @@
 Every word position gives one window, the word and its next four, padded where the piece of text ends. Only these
 longest windows are counted; Spark's ROLLUP over their columns then sums ever shorter prefixes, which gives the count of
 every phrase, every word and the total at once. Before that, windows are cut where they can no longer begin a phrase
-that is frequent enough: a first pass counts pairs of neighbouring words in hashed cells, and a pair whose cell stays
-below the limit is not frequent. Cells only ever count too much, so nothing is lost.
+that is frequent enough: a first pass counts pairs of neighbouring words in hashed cells, a second one those triples whose
+pairs may be frequent, and what is in a cell that stays below the limit is not frequent. Cells only ever count too much,
+so nothing is lost; were all of them full, the windows would be whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,9 +25,13 @@ from corpusmill.session import keep
 
 LONGEST = 5
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
-#: Cells for pairs of words: 2 MB as bits. More cells tell more pairs apart, the result is the same.
+KEYS = ["lang", *WORDS]
+#: Rows of counts that a task holds, some 30 bytes each.
+HELD = 1 << 20
+#: Cells for phrases of one size: 2 MB as bits. More cells tell more phrases apart, the result is the same.
 CELL_BITS = 24
 CHUNK_BITS = 16
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
 
@@ -59,89 +66,166 @@ def words_of(texts: pa.Array):
     return codes.astype(np.int64), dictionary, row, piece
 
 
-def _cells(codes, dictionary, piece, language, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a word and the next one are a pair, cell of that pair), one entry less than words."""
-    hashed = np.array([xxhash.xxh64_intdigest(w) for w in dictionary.to_pylist()], dtype=np.uint64)
-    tongue = np.array([xxhash.xxh64_intdigest(n) for n in names], dtype=np.uint64)
-    x = hashed[codes[:-1]] * np.uint64(0x9E3779B97F4A7C15) + (hashed[codes[1:]] ^ tongue[language[:-1]])
+class Slice:
+    """Some megabytes of words: codes, dictionary, pieces, languages, and cells of the phrases that start at each word."""
+
+    def __init__(self, part: pa.RecordBatch):
+        self.codes, self.dictionary, row, self.piece = words_of(part.column("text"))
+        named = part.column("lang").dictionary_encode()
+        self.language = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        self.names = named.dictionary.to_pylist()
+        tongue = np.array([xxhash.xxh64_intdigest(n) for n in self.names], dtype=np.uint64)
+        hashed = np.array([xxhash.xxh64_intdigest(w) for w in self.dictionary.to_pylist()], dtype=np.uint64)
+        self.hashed = hashed[self.codes] if len(self.codes) else np.zeros(0, dtype=np.uint64)
+        self.fits: dict[int, np.ndarray] = {}
+        self.mixed = [_mixed(self.hashed ^ tongue[self.language])] if len(self.codes) else [self.hashed]
+
+    def cells(self, size: int) -> np.ndarray:
+        """The cell of the phrase of ``size`` words at each place; places too near the end have none."""
+        while len(self.mixed) < size:
+            last, k = self.mixed[-1], len(self.mixed)
+            self.mixed.append(_mixed(last[: len(self.hashed) - k] * MULTIPLIER + self.hashed[k:]))
+        return (self.mixed[size - 1] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+    def possible(self, size: int, bits: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether a phrase of ``size`` words starts here and may be frequent enough, by the cells that are known."""
+        n = len(self.codes)
+        if size in self.fits:
+            return self.fits[size]
+        if size == 1 or not n:
+            fits = np.ones(n, dtype=bool)
+        else:
+            shorter = self.possible(size - 1, bits)
+            fits = np.append(shorter[:-1] & shorter[1:] & (self.piece[1:] == self.piece[:-1]), False)
+        if size in bits:
+            cell = self.cells(size)
+            fits[len(cell) :] = False
+            fits[: len(cell)] &= ((bits[size][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
+        self.fits[size] = fits
+        return fits
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return piece[1:] == piece[:-1], (x >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return x ^ (x >> np.uint64(32))
 
 
 def _sliced(batches):
-    """Words, pieces and languages of Arrow batches (text, lang), some megabytes at a time."""
     for part in slices(batches):
-        codes, dictionary, row, piece = words_of(part.column("text"))
-        if len(codes):
-            named = part.column("lang").dictionary_encode()
-            language = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            yield codes, dictionary, piece, language, named.dictionary.to_pylist()
+        yield Slice(part)
 
 
-def possible_pairs(rows: DataFrame, least: int) -> np.ndarray:
-    """One bit per cell: whether pairs of words in it occur ``least`` times or more, all together.
+def possible_phrases(rows: DataFrame, least: int, sizes: list[int], bits: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """``bits`` and, for phrases of the given sizes, one bit per cell: whether all in it together occur ``least`` times.
 
-    A task sends its counts of the cells that it has seen, a part of the cells at a time; what a task that adds them up
-    holds is bounded by the number of cells. The driver gets a bit per cell.
+    Only phrases whose parts are possible by ``bits`` are counted. A task sends its counts of the cells that it has
+    seen, a part of the cells at a time; what a task that adds them up holds is bounded by the number of cells. The
+    driver gets a bit per cell.
     """
     most = min(least, 65535)
+    known = rows.sparkSession.sparkContext.broadcast(bits)  # a bit per cell, whatever the input
 
     def count(batches):
-        seen = np.zeros(1 << CELL_BITS, dtype=np.uint16)
-        for codes, dictionary, piece, language, names in _sliced(batches):
-            pair, cell = _cells(codes, dictionary, piece, language, names)
-            at, n = np.unique(cell[pair], return_counts=True)
-            seen[at] = np.minimum(seen[at] + n, most)
+        seen = {size: np.zeros(1 << CELL_BITS, dtype=np.uint16) for size in sizes}
+        for part in _sliced(batches):
+            for size in sizes:
+                cell, fits = part.cells(size), part.possible(size, known.value)
+                at, n = np.unique(cell[fits[: len(cell)]], return_counts=True)
+                seen[size][at] = np.minimum(seen[size][at] + n, most)
         wide = 1 << CHUNK_BITS
-        for chunk in range(len(seen) // wide):
-            part = seen[chunk * wide : (chunk + 1) * wide]
-            at = np.flatnonzero(part)
-            if len(at):
-                columns = [pa.array([chunk], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), part[at])]]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "at", "n"])
+        for size, cells in seen.items():
+            for chunk in range(len(cells) // wide):
+                part = cells[chunk * wide : (chunk + 1) * wide]
+                at = np.flatnonzero(part)
+                if len(at):
+                    columns = [pa.array([x], pa.int32()) for x in (size, chunk)]
+                    columns += [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), part[at])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["size", "chunk", "at", "n"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for chunk, at, n in zip(*(batch.column(c).to_pylist() for c in ("chunk", "at", "n"))):
-                cells = sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, dtype=np.int32))
+            for size, chunk, at, n in zip(*(batch.column(c).to_pylist() for c in ("size", "chunk", "at", "n"))):
+                cells = sums.setdefault((size, chunk), np.zeros(1 << CHUNK_BITS, dtype=np.int32))
                 where = np.frombuffer(at, dtype=np.uint16)
                 cells[where] = np.minimum(cells[where] + np.frombuffer(n, dtype=np.uint16), most)
         if sums:
-            bits = [np.packbits(cells >= most).tobytes() for cells in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
+            columns = [pa.array([key[k] for key in sums], pa.int32()) for k in (0, 1)]
+            columns.append(pa.array([np.packbits(cells >= most).tobytes() for cells in sums.values()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["size", "chunk", "bits"])
+
+    counted = rows.mapInArrow(count, "size int, chunk int, at binary, n binary").repartition("size", "chunk")
+    found = counted.mapInArrow(add, "size int, chunk int, bits binary").toArrow()
+    out = dict(bits)
+    for size in sizes:
+        out[size] = np.zeros(1 << CELL_BITS - 3, dtype=np.uint8)
+    wide = 1 << CHUNK_BITS - 3
+    for size, chunk, part in zip(*(found.column(c).to_pylist() for c in ("size", "chunk", "bits"))):
+        out[size][chunk * wide : (chunk + 1) * wide] = np.frombuffer(part, dtype=np.uint8)
+    return out
+
 
-    counted = rows.mapInArrow(count, "chunk int, at binary, n binary").repartition("chunk")
-    found = counted.mapInArrow(add, "chunk int, bits binary").toArrow()
-    out = np.zeros((1 << CELL_BITS - CHUNK_BITS, 1 << CHUNK_BITS - 3), dtype=np.uint8)
-    for chunk, bits in zip(*(found.column(c).to_pylist() for c in ("chunk", "bits"))):
-        out[chunk] = np.frombuffer(bits, dtype=np.uint8)
-    return out.ravel()
+class Counter:
+    """Counts of windows over the slices of a task, put together before they leave it; bounded by its caller."""
 
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        self.tables: list[pa.Table] = []
 
-def windows(rows: DataFrame, possible: np.ndarray) -> DataFrame:
-    """(lang, w1 to w5, n): the windows of all word positions, each cut before its first pair that is not frequent."""
-    sent = rows.sparkSession.sparkContext.broadcast(possible)  # 2 MB, whatever the input
+    def add(self, part: Slice, bits: dict[int, np.ndarray]) -> None:
+        n = len(part.codes)
+        columns, inside = {"lang": part.language.astype(np.int32)}, np.ones(n, dtype=bool)
+        for k in range(LONGEST):
+            inside = inside & part.possible(k + 1, bits)
+            column, ends = np.full(n, -1, dtype=np.int32), max(0, n - k)
+            column[:ends] = np.where(inside[:ends], part.codes[k:], -1)
+            columns[WORDS[k]] = column
+        found = pa.table(columns).group_by(KEYS).aggregate([([], "count_all")])
+        used = np.unique(np.concatenate([found[w].to_numpy() for w in WORDS]))
+        used = used[used >= 0]
+        own = np.full(len(part.dictionary) + 1, -1, dtype=np.int32)  # the last one stands for no word
+        for code, word in zip(used.tolist(), part.dictionary.take(pa.array(used)).to_pylist()):
+            own[code] = self.words.setdefault(word, len(self.words))
+        tongue = np.array([self.names.setdefault(name, len(self.names)) for name in part.names], dtype=np.int32)
+        coded = [tongue[found["lang"].to_numpy()], *[own[found[w].to_numpy()] for w in WORDS], found["count_all"].to_numpy()]
+        self.tables.append(pa.table(dict(zip([*KEYS, "n"], coded))))
+
+    def rows(self) -> int:
+        return sum(t.num_rows for t in self.tables)
+
+    def merge(self) -> None:
+        summed = pa.concat_tables(self.tables).group_by(KEYS).aggregate([("n", "sum")])
+        self.tables = [summed.rename_columns([*KEYS, "n"])]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """All counts, with their words; nothing is held afterwards."""
+        if self.tables:
+            self.merge()
+            words, names = pa.array(self.words, pa.string()), pa.array(self.names, pa.string())
+            for batch in self.tables[0].to_batches(max_chunksize=20000):
+                texts = [words.take(pc.if_else(pc.less(batch[w], 0), None, batch[w])) for w in WORDS]
+                yield pa.RecordBatch.from_arrays([names.take(batch["lang"]), *texts, batch["n"]], names=[*KEYS, "n"])
+        self.__init__()
+
+
+def windows(rows: DataFrame, bits: dict[int, np.ndarray], most: int) -> DataFrame:
+    """(lang, w1 to w5, n): the windows of all word positions, each cut to the longest phrase that may be frequent.
+
+    A task puts together up to ``most`` different ones before it sends them.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(bits)  # 2 MB for each size of phrase, whatever the input
 
     def run(batches):
-        bits = sent.value
-        for codes, dictionary, piece, language, names in _sliced(batches):
-            pair, cell = _cells(codes, dictionary, piece, language, names)
-            follows = np.append(pair & ((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool), False)
-            columns, inside = {"lang": language.astype(np.int32), "w1": codes.astype(np.int32)}, np.ones(len(codes), dtype=bool)
-            for k in range(1, LONGEST):
-                inside[: len(codes) - k + 1] &= follows[k - 1 :]
-                inside[len(codes) - k + 1 :] = False
-                shifted = np.full(len(codes), -1, dtype=np.int32)
-                shifted[: len(codes) - k] = np.where(inside[: len(codes) - k], codes[k:], -1)
-                columns[f"w{k + 1}"] = shifted
-            found = pa.table(columns).group_by(["lang", *WORDS]).aggregate([([], "count_all")])
-            texts = [dictionary.take(pc.if_else(pc.less(found[w], 0), None, found[w])).combine_chunks() for w in WORDS]
-            tongue = pa.array(names, pa.string()).take(found["lang"])
-            arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in (tongue, *texts)]
-            count = found["count_all"].combine_chunks().cast(pa.int64())
-            for at in range(0, len(count), 20000):
-                yield pa.RecordBatch.from_arrays([a.slice(at, 20000) for a in (*arrays, count)], names=["lang", *WORDS, "n"])
+        held = Counter()
+        for part in _sliced(batches):
+            if len(part.codes):
+                held.add(part, sent.value)
+            if held.rows() > most:
+                held.merge()
+                if held.rows() > most // 2:
+                    yield from held.batches()
+        yield from held.batches()
 
     return rows.mapInArrow(run, f"lang string, {', '.join(f'{w} string' for w in WORDS)}, n bigint")
 
@@ -154,7 +238,8 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
             F.col(f"`{text_col}`").cast("string").alias("text"),
         )
     )
-    counted = windows(rows, possible_pairs(rows, least)).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
+    bits = possible_phrases(rows, least, [3], possible_phrases(rows, least, [2], {}))
+    counted = windows(rows, bits, HELD).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
     # grouping_id has a bit for every column that is summed over: 0 for whole windows, 31 for a language.
     rolled = counted.rollup("lang", *WORDS).agg(F.sum("n").alias("f"), F.grouping_id().alias("_g"))
     size = LONGEST - F.length(F.regexp_replace(F.bin("_g"), "0", ""))

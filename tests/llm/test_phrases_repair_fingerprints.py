@@ -46,7 +46,9 @@ def brute_collocations(rows, least, first):
     return sorted(out)
 
 
-def test_collocations_equal_brute_force(spark):
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_collocations_equal_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(collocations, "HELD", held)
     rng = random.Random(2)
     vocabulary = ["The", "of", "é", "STRASSE", "x-y", " nb", "日本"] + [f"w{i}" for i in range(12)]
     texts = []
