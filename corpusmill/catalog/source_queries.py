@@ -124,7 +124,7 @@ def score_store_size(spark, sf):
 
 # --- streams ---------------------------------------------------------------------------------------
 def document_stream(spark, sf):
-    return tables.scan_stream(spark, sf, schemas.DOCUMENTS, pathGlobFilter="documents.parquet")
+    return tables.scan_stream(spark, f"{sf}/documents.parquet", schemas.DOCUMENTS)
 
 
 SCORES = "idx bigint, " + ", ".join(f"{c} double" for c in [*PARTS, "score"])
@@ -193,11 +193,12 @@ def recovered_stream_scores(spark, sf):
 
 @query("stream_take", "SELECT doc_id, lang FROM documents LIMIT 100")
 def stream_take(spark, sf):
-    """The first rows to arrive from a stream: of the one file, in the order in which it holds them."""
+    """The first rows to arrive from a stream, file by file by name and in the order in which a file holds them."""
     out, check = scratch_path(spark, "taken"), scratch_path(spark, "progress")
-    rows = document_stream(spark, sf).select("doc_id", "lang")
-    scoring.take_from_stream(rows, 100, out, check)
-    return scoring.read_committed(spark, out, rows.schema)
+    place = ("_metadata.file_path", "_metadata.row_index")
+    rows = document_stream(spark, sf).select("doc_id", "lang", *[F.col(c).alias(f"_{i}") for i, c in enumerate(place)])
+    scoring.take_from_stream(rows, 100, out, check, order=["_0", "_1"])
+    return scoring.read_committed(spark, out, rows.schema).drop("_0", "_1")
 
 
 # --- Python batches --------------------------------------------------------------------------------

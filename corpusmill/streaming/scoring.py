@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,13 +94,15 @@ def run_available(
     return query
 
 
-def first_of(batch: DataFrame, n: int, output: str, number: int) -> DataFrame:
-    """The first ``n`` rows of a batch in the order of its partitions, all of which stay where they are.
+def first_of(batch: DataFrame, n: int, output: str, number: int, order: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows of a batch by the columns ``order``; without them in the order of its partitions, all of
+    which stay where they are.
 
     The batch is written once with its row positions, which then no longer change; the rows of every partition are
-    counted, and the cut is a filter on the position.
+    counted, and the cut is a filter on the position. With ``order`` it is sorted by range before that.
     """
     spark, path = batch.sparkSession, f"{output}/_taken/{number}"
+    batch = batch.orderBy(*order) if order else batch
     batch.withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
     held = spark.read.parquet(path)
     sizes = held.groupBy(F.shiftright("_at", _POSITION_BITS).alias("part")).count().orderBy("part").collect()
@@ -113,11 +115,14 @@ def first_of(batch: DataFrame, n: int, output: str, number: int) -> DataFrame:
     return held.where(F.col("_at") < cut).select(*batch.columns)
 
 
-def take_from_stream(stream: DataFrame, n: int, output: str, checkpoint: str) -> StreamingQuery | None:
+def take_from_stream(
+    stream: DataFrame, n: int, output: str, checkpoint: str, order: Sequence[str] = ()
+) -> StreamingQuery | None:
     """Append batches until ``output`` holds ``n`` committed rows, then stop the stream; later files stay unread.
 
-    Only the batch that goes over ``n`` is cut. A restart goes on with what is committed; if that is enough, nothing
-    is started and None is returned.
+    Only the batch that goes over ``n`` is cut, to its first rows by ``order``; Spark reads the files of a batch largest
+    first, so without it which rows these are depends on the files. A restart goes on with what is committed; if that
+    is enough, nothing is started and None is returned.
     """
     spark = stream.sparkSession
     enough, stopping = threading.Event(), threading.Event()
@@ -129,7 +134,7 @@ def take_from_stream(stream: DataFrame, n: int, output: str, checkpoint: str) ->
         if held < n:
             rows = _write(batch, output, number)
             if held + rows > n:
-                rows = _write(first_of(batch, n - held, output, number), output, number)
+                rows = _write(first_of(batch, n - held, output, number, order), output, number)
             commit(spark, output, number, rows)
             held += rows
         if held >= n:
