@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.session import keep
 
 #: Put after a period that ends no sentence; it is not a character and is taken out again.
 MARK = "\ufdd0"
@@ -68,11 +69,9 @@ class SentenceEnds:
         return F.transform(pieces, lambda s: F.replace(s, F.lit(MARK), F.lit("")))
 
 
-def _neighbours(df: DataFrame, text: str) -> DataFrame:
-    """(word, before): every white-space word, and the one before it in the text."""
-    words = df.select(tx.words(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
-    both = F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), "_w").alias("before"))
-    return words.select(F.inline(both)).where("word IS NOT NULL")
+def _words(df: DataFrame, text: str) -> DataFrame:
+    """(_w): the white-space words of every text."""
+    return df.select(tx.words(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
 
 
 def _core(word: Column) -> Column:
@@ -90,11 +89,17 @@ def abbreviation_scores(df: DataFrame, text: str = "text") -> DataFrame:
     The score is the log-likelihood ratio of 'nearly always a period' against 'as often as any word', times the number
     of periods in it, falling with its letters and with the times it stands without.
     """
-    words = _neighbours(df, text).select(F.regexp_replace(_core(F.col("word")), r"[^\p{L}\p{N}.]+$", "").alias("c"))
+    # Patterns are applied to distinct words only; what they give is small and kept, so that the texts are read once.
+    seen = _words(df, text).select(F.explode("_w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    words = seen.select(F.regexp_replace(_core(F.col("word")), r"[^\p{L}\p{N}.]+$", "").alias("c"), "times")
     ends = F.endswith("c", F.lit(".")) & ~F.endswith("c", F.lit(".."))
-    types = words.select(F.lower(F.when(ends, F.expr("left(c, length(c) - 1)")).otherwise(F.col("c"))).alias("word"), ends.alias("e"))
-    counted = types.groupBy("word").agg(F.count_if("e").alias("with_period"), F.count_if(~F.col("e")).alias("without"))
-    total = words.agg((F.count_if(ends) / F.count(F.lit(1))).alias("s")).scalar()
+    types = words.select(F.lower(F.when(ends, F.expr("left(c, length(c) - 1)")).otherwise(F.col("c"))).alias("word"), ends.alias("e"), "times")
+
+    def times(wanted: Column) -> Column:
+        return F.sum(F.when(wanted, F.col("times")).otherwise(0))
+
+    counted = keep(types.groupBy("word").agg(times(F.col("e")).alias("with_period"), times(~F.col("e")).alias("without")), "words")
+    total = counted.agg((F.sum("with_period") / F.sum(F.col("with_period") + F.col("without"))).alias("s")).scalar()
     cells = counted.where(F.col("word").rlike(WORD) & (F.col("with_period") > 0)).withColumn("_p", total)
     hits, misses, periods = F.col("with_period"), F.col("without"), F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     letters = F.length("word") - periods + 1
@@ -106,14 +111,18 @@ def abbreviation_scores(df: DataFrame, text: str = "text") -> DataFrame:
 def starter_scores(df: DataFrame, abbreviations: Iterable[str], text: str = "text") -> DataFrame:
     """(word, after_end, times, score): how much more often than by chance words follow a sentence end."""
     known = list(abbreviations)
-    core = F.lower(_core(F.col("before")))
+    before = F.col("before")
+    core = F.lower(_core(before))
     short = F.expr("left(core, length(core) - 1)").isin(known) if known else F.lit(False)
-    rows = _neighbours(df, text).select(
-        F.lower(F.regexp_extract("word", FIRST_WORD, 0)).alias("word"), core.alias("core"), F.col("before").rlike("[.!?]$").alias("e")
-    )
-    rows = rows.select("word", (F.col("e") & ~(F.endswith("core", F.lit(".")) & short)).alias("e"))
-    counted = rows.groupBy("word").agg(F.count_if("e").alias("after_end"), F.count(F.lit(1)).alias("times"))
-    totals = rows.agg(F.count_if("e").alias("a"), F.count(F.lit(1)).alias("n")).select(F.struct("a", "n").alias("t")).scalar()
+    # Only the few words that end in a period are looked at by patterns row by row, the others as distinct words.
+    dotted = F.when(F.endswith(before, F.lit(".")), core)
+    pairs = _words(df, text).select(F.inline(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), "_w").alias("before"))))
+    rows = pairs.where("word IS NOT NULL").select("word", dotted.alias("core"), F.substring(before, -1, 1).isin(".", "!", "?").alias("e"))
+    rows = rows.select("word", (F.col("e") & ~F.coalesce(F.endswith("core", F.lit(".")) & short, F.lit(False))).alias("e"))
+    seen = rows.groupBy("word").agg(F.count_if("e").alias("after_end"), F.count(F.lit(1)).alias("times"))
+    first = F.lower(F.regexp_extract("word", FIRST_WORD, 0)).alias("word")
+    counted = keep(seen.select(first, "after_end", "times").groupBy("word").agg(F.sum("after_end").alias("after_end"), F.sum("times").alias("times")), "starters")
+    totals = counted.agg(F.sum("after_end").alias("a"), F.sum("times").alias("n")).select(F.struct("a", "n").alias("t")).scalar()
     cells = counted.where("word <> ''").withColumn("_t", totals).select("*", "_t.*")
     a, n, b, ab = (F.col(c).cast("double") for c in ("a", "n", "times", "after_end"))
     together, apart = ab / a, F.try_divide(b - ab, n - a)
@@ -133,8 +142,13 @@ def _strongest(scores: DataFrame, least: float, most: int) -> tuple[str, ...]:
     return tuple(r.word for r in rows.collect())
 
 
+def abbreviations(df: DataFrame, text: str = "text", most: int = MOST) -> tuple[str, ...]:
+    """The abbreviations of a corpus."""
+    return _strongest(abbreviation_scores(df, text), ABBREVIATION, most)
+
+
 def learn(df: DataFrame, text: str = "text", most: int = MOST) -> SentenceEnds:
     """Abbreviations and sentence starters of a corpus. Null and empty texts teach nothing; an empty table gives the
     plain rule."""
-    short = _strongest(abbreviation_scores(df, text), ABBREVIATION, most)
+    short = abbreviations(df, text, most)
     return SentenceEnds(short, _strongest(starter_scores(df, short, text), STARTER, most))

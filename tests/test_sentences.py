@@ -111,3 +111,11 @@ def test_scores_follow_the_learned_sentences(spark, texts, ends):
     assert other.grammar_score != one.grammar_score and other.avg_readability < one.avg_readability  # longer sentences
     many = spark.range(3).select(F.lit("U.S. e.g. Dr. ").alias("text"))
     assert sentences.learn(many, most=1).starters == ()
+
+
+def test_learning_reads_the_texts_once(spark, texts):
+    """What is counted over the corpus is kept: the scores are made of distinct words, without another pass."""
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for scores in (sentences.abbreviation_scores(rows), sentences.starter_scores(rows, ["dr", "mr"])):
+        plan = scores._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "LogicalRDD" not in plan
