@@ -170,9 +170,12 @@ class Interrupted(RuntimeError):
 
 @query("recovered_stream_scores", f"WITH {DOC_SCORED} SELECT idx, {ROUNDED} FROM scored")
 def recovered_stream_scores(spark, sf):
-    """Eight files in four batches; the first run fails in the second one, after some of its rows are written."""
+    """Four batches, each of a file for every core and split of the table at least; the first run fails in the second
+    one, after some of its rows are written."""
     source, out, check = (scratch_path(spark, name) for name in ("arrived", "stream", "progress"))
-    b.table(spark, sf, "documents").repartition(8, "doc_id").write.parquet(source)
+    docs = b.table(spark, sf, "documents")
+    files = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    docs.repartition(4 * files, "doc_id").write.parquet(source)
 
     def failing(df):
         scored = _score_batch(df)
@@ -182,7 +185,7 @@ def recovered_stream_scores(spark, sf):
         return scored
 
     for transform in (failing, _score_batch):
-        stream = tables.scan_stream(spark, source, schemas.DOCUMENTS, files_per_trigger=2)
+        stream = tables.scan_stream(spark, source, schemas.DOCUMENTS, files_per_trigger=files)
         try:
             scoring.run_available(stream, transform, out, check)
         except StreamingQueryException as error:

@@ -56,3 +56,16 @@ def test_first_rows_by_an_order(spark, tmp_path):
     batch = spark.range(0, 40, 1, 4).selectExpr("39 - id AS id")
     kept = keep(scoring.first_of(batch, 13, str(tmp_path / "out"), 0, ["id"]), "kept")
     assert sorted(r.id for r in kept.collect()) == list(range(13))
+
+
+def test_batches_have_a_file_for_every_core(spark, sf, monkeypatch):
+    """A fixed number of files bounds the tasks of a batch, however large the table is."""
+    seen, scan = [], tables.scan_stream
+
+    def watched(session, path, schema, files_per_trigger=1000, **options):
+        seen.append((files_per_trigger, len([f for f in os.listdir(path) if f.endswith(".parquet")])))
+        return scan(session, path, schema, files_per_trigger=files_per_trigger, **options)
+
+    monkeypatch.setattr(tables, "scan_stream", watched)
+    assert QUERIES["recovered_stream_scores"](spark, sf).count() == 200
+    assert all(batch >= 8 and files > 2 * batch for batch, files in seen) and len(seen) == 2
