@@ -63,7 +63,15 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter, ends: Sen
     derived = arrays.withColumns(
         {
             "_lengths": ft.sentence_lengths(F.col("_res_sents"), plain=True),
-            "_bigrams": tx.ngrams(F.col("_both_words"), 2, "_"),
+            # Grams are words joined by ``_``. Where no word holds one, a gram is its words, and their hashes are counted.
+            "_joined": F.contains("_both_s", F.lit("_")),
+            "_keys": F.transform("_both_words", lambda w: F.xxhash64(w)),
+        }
+    )
+    derived = derived.withColumns(
+        {
+            "_bigrams": F.when(F.col("_joined"), tx.ngrams(F.col("_both_words"), 2, "_")),
+            "_bigram_keys": F.when(~F.col("_joined"), tx.gram_keys(F.col("_keys"), 2)),
         }
     )
     return derived.withColumns(
@@ -72,7 +80,12 @@ def _prepared(df: DataFrame, instruction: str, response: str, counter, ends: Sen
                 F.col("_ins_words"), F.col("_ins_sents"), tx.syllables(F.col("_ins_s"), plain=True)
             ),
             "_moments": ft.length_moments(F.col("_lengths")),
-            "_trigrams": tx.ngrams(F.col("_both_words"), 3, "_", shorter=F.col("_bigrams")),
+            "_distinct_bigrams": F.when(F.col("_joined"), F.size(F.array_distinct("_bigrams"))).otherwise(
+                F.size(F.array_distinct("_bigram_keys"))
+            ),
+            "_distinct_trigrams": F.when(
+                F.col("_joined"), F.size(F.array_distinct(tx.ngrams(F.col("_both_words"), 3, "_", shorter=F.col("_bigrams"))))
+            ).otherwise(F.size(F.array_distinct(tx.gram_keys(F.col("_keys"), 3, shorter=F.col("_bigram_keys"))))),
         }
     )
 
@@ -136,8 +149,8 @@ def diversity() -> Column:
     vocab = F.least(F.lit(1.0), tx.distinct_ratio(toks) * 2)
     topics = tx.contains_count("_both", fixed.COMMON_TOPICS)
     templates = tx.pattern_hits("_res_l", fixed.TEMPLATE_PATTERNS)
-    bigrams = ft.distinct_gram_ratio(F.col("_bigrams"), n, 2)
-    trigrams = ft.distinct_gram_ratio(F.col("_trigrams"), n, 3)
+    bigrams = ft.distinct_count_ratio(F.col("_distinct_bigrams"), n, 2)
+    trigrams = ft.distinct_count_ratio(F.col("_distinct_trigrams"), n, 3)
     total = (
         vocab
         + bigrams
