@@ -1,7 +1,9 @@
 """Distinct n-grams of a corpus by brute force, and what their count shuffles."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.functions import features as ft
 from corpusmill.operators import corpus
 
 TEXTS = [None, "", "  ", "one", "a b", "A b a b a b", "a b c d e", "b c d e f g", "x_y z", "x y_z", "é ü é ü", "a b c d e"]
@@ -30,3 +32,19 @@ def test_longer_grams_share_one_shuffle_of_texts(spark):
     rows = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     plan = corpus._distinct_windows(rows.selectExpr("split(text, ' ') AS _w"), 4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange SinglePartition") == 1
+
+
+def test_vocabulary_applies_its_pattern_to_distinct_words(spark):
+    texts = ["a b, b b c", "B x-y 12 é\n", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    made = corpus.vocabulary(rows)
+    assert (made.first().tokens, made.first().vocabulary) == (7, 5)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Generate") and "RLIKE" not in plan[plan.index("Generate") :]
+
+
+def test_coherence_of_sets(spark):
+    sets = [["a", "b"], ["b", "c"], [], ["c"], ["c"]]
+    row = spark.createDataFrame([(sets,)], "w array<array<string>>").select(ft.coherence(F.col("w")).alias("x")).first()
+    assert row.x == pytest.approx((1 / 3 + 0 + 0 + 1) / 4)
+    assert "array_union" not in ft.coherence(F.col("w"))._jc.toString()
