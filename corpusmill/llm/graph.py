@@ -16,6 +16,15 @@ SALTS = 16
 PAIRS_AT_ONCE = 1 << 20
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join of two tables that both grow with the input: neither is broadcast.
+
+    Spark sizes rows that a Python function or an explode makes by those that go in, and a written table by its
+    compressed files. What it takes for small enough to broadcast can be many times what the driver holds.
+    """
+    return df.hint("merge")
+
+
 def in_blocks(members: DataFrame, key: str, node: str, data: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Members of buckets with two or more members, dealt out so that every pair of a bucket meets in one piece.
 
@@ -25,10 +34,10 @@ def in_blocks(members: DataFrame, key: str, node: str, data: DataFrame | None =
     column ``_block`` says which block a member is of. Rows come partitioned and sorted by piece.
     """
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    cut = members.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
+    cut = members.join(shuffled(sizes), key).withColumn("_blocks", F.ceil(F.col("_n") / block_rows).cast("int"))
     cut = cut.withColumn("_block", F.pmod(F.xxhash64(F.lit(7), node), "_blocks").cast("int"))
     if data is not None:
-        cut = cut.join(data, node)
+        cut = cut.join(shuffled(data), node)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
     dealt = cut.select("*", other).select(
         *[c for c in cut.columns if c not in ("_n", "_blocks")],
@@ -125,7 +134,7 @@ def components(edges: DataFrame) -> DataFrame:
         """(u, v, m): m is the smallest of u and its neighbours v."""
         low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         return pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(
-            low.select("u", "m", salts), ["u", "_s"]
+            shuffled(low.select("u", "m", salts)), ["u", "_s"]
         )
 
     while True:

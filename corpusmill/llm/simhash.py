@@ -178,10 +178,10 @@ def near_duplicates(
     classes = rows.groupBy("fingerprint").agg(F.min(id_col).alias("_first"))
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     roots = graph.components(links(classes, tables))
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = classes.join(graph.shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fingerprint", "component_id")
-    return rows.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    named = rooted.join(graph.shuffled(lowest), "root").select("fingerprint", "component_id")
+    return rows.join(graph.shuffled(named), "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
 def as_hex(fingerprint: Column) -> Column:
