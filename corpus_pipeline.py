@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import language_id, simhash, toxicity
+from corpusmill.llm import graph, language_id, simhash, toxicity
 from corpusmill.llm.queries import packed_documents
 from corpusmill.llm.vectors import content_key
 from corpusmill.session import keep
@@ -40,7 +40,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables = simhash.single_table(64, radius=BITS_APART)
     groups = simhash.near_duplicates(rows.select(order, "text"), tables, bits=64, width=SHINGLE_WORDS, id_col="_row")
     chosen = groups.where("_row = component_id").select("_row._key.*").distinct()
-    kept = rows.select("*", "_key.*").join(chosen, ["h", "l"], "left_semi")
+    kept = rows.select("*", "_key.*").join(graph.shuffled(chosen), ["h", "l"], "left_semi")
     return kept.dropDuplicates(["h", "l"]).select(*docs.columns)
 
 

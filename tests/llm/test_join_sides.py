@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusmill.llm import graph, simhash
 
 
@@ -24,3 +25,9 @@ def test_smallest_neighbours_are_not_broadcast(spark, monkeypatch):
     links = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
     assert graph.components(links).where("root <> 0").count() == 0
     assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
+def test_kept_documents_are_not_broadcast(spark):
+    docs = spark.range(20).selectExpr("id AS doc_id", "concat('one two three ', id % 4) AS text", "'en' AS lang")
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert 1 <= kept.count() <= 4 and "SortMergeJoin" in plan(kept) and "Broadcast" not in plan(kept)
