@@ -2,12 +2,13 @@
 
 An abbreviation is a word that is followed by a period much more often than chance has it, is short, and seldom stands
 without one. A sentence starter follows sentence ends much more often than other words. Both are counted over the whole
-corpus with map-side combination; what is learned is a short list, which becomes part of a regular expression, so that
-texts are cut without Python and without a join.
+corpus with map-side combination; what is learned is a list of words, which becomes part of a regular expression, so that
+texts are cut without Python and without a join. It grows with the vocabulary and is never cut.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from corpusmill.session import keep
 MARK = "\ufdd0"
 #: A word is an abbreviation, or a sentence starter, from this score on.
 ABBREVIATION, STARTER = 0.3, 30.0
-#: The strongest words of either kind that a model keeps; languages have a few hundred.
+#: The strongest abbreviations that are given where the caller names no number; languages have a few hundred.
 MOST = 2000
 
 WORD = r"^\p{L}(?:[\p{L}.]*\p{L})?$"
@@ -32,14 +33,14 @@ def _pattern(words: Iterable[str]) -> str:
     """One pattern for all words, common beginnings written once; nothing matches an empty list."""
 
     def grouped(rest: list[str]) -> str:
+        common = os.path.commonprefix([rest[0], rest[-1]]) if rest else ""  # they are sorted
         branches: dict[str, list[str]] = {}
         for word in rest:
-            if word:
-                branches.setdefault(word[0], []).append(word[1:])
-        parts = [("\\" + first if first == "." else first) + grouped(tails) for first, tails in sorted(branches.items())]
-        if not parts:
-            return ""
-        return "(?:" + "|".join(parts) + ")" + ("?" if "" in rest else "")
+            if word != common:
+                branches.setdefault(word[len(common)], []).append(word[len(common) :])
+        parts = [grouped(tails) for _, tails in sorted(branches.items())]
+        tail = "(?:" + "|".join(parts) + ")" + ("?" if common in rest else "") if parts else ""
+        return common.replace(".", "\\.") + tail
 
     return grouped(sorted(set(words))) or "(?!)"
 
@@ -110,10 +111,9 @@ def abbreviation_scores(df: DataFrame, text: str = "text") -> DataFrame:
 
 def starter_scores(df: DataFrame, abbreviations: Iterable[str], text: str = "text") -> DataFrame:
     """(word, after_end, times, score): how much more often than by chance words follow a sentence end."""
-    known = list(abbreviations)
     before = F.col("before")
     core = F.lower(_core(before))
-    short = F.expr("left(core, length(core) - 1)").isin(known) if known else F.lit(False)
+    short = F.rlike("core", F.lit(rf"\A(?:{_pattern(abbreviations)})\.\z"))
     # Only the few words that end in a period are looked at by patterns row by row, the others as distinct words.
     dotted = F.when(F.endswith(before, F.lit(".")), core)
     pairs = _words(df, text).select(F.inline(F.arrays_zip(F.col("_w").alias("word"), F.concat(F.array(F.lit("")), "_w").alias("before"))))
@@ -136,18 +136,19 @@ def starter_scores(df: DataFrame, abbreviations: Iterable[str], text: str = "tex
     return scored.where("score IS NOT NULL")
 
 
-def _strongest(scores: DataFrame, least: float, most: int) -> tuple[str, ...]:
-    """The words from a score on, at most ``most``, which bounds what reaches the driver."""
-    rows = scores.where(F.col("score") >= least).orderBy(F.desc("score"), "word").select("word").limit(most)
-    return tuple(r.word for r in rows.collect())
+def _strongest(scores: DataFrame, least: float, most: int | None) -> tuple[str, ...]:
+    """All words from a score on, the strongest first, or only ``most`` of them if the caller wants no more."""
+    rows = scores.where(F.col("score") >= least).select("word", "score")
+    rows = rows if most is None else rows.orderBy(F.desc("score"), "word").limit(most)
+    return tuple(r.word for r in sorted(rows.collect(), key=lambda r: (-r.score, r.word)))
 
 
-def abbreviations(df: DataFrame, text: str = "text", most: int = MOST) -> tuple[str, ...]:
-    """The abbreviations of a corpus."""
+def abbreviations(df: DataFrame, text: str = "text", most: int | None = MOST) -> tuple[str, ...]:
+    """The abbreviations of a corpus; they reach the driver."""
     return _strongest(abbreviation_scores(df, text), ABBREVIATION, most)
 
 
-def learn(df: DataFrame, text: str = "text", most: int = MOST) -> SentenceEnds:
+def learn(df: DataFrame, text: str = "text", most: int | None = None) -> SentenceEnds:
     """Abbreviations and sentence starters of a corpus. Null and empty texts teach nothing; an empty table gives the
     plain rule."""
     short = abbreviations(df, text, most)
