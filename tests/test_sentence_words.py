@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.catalog import all_queries
-from corpusmill.operators import quality, sentences
+from corpusmill.operators import corpus, quality, sentences
 
 #: Sentence starters and abbreviations, more of either than a model once kept.
 LETTERS = string.ascii_lowercase
@@ -34,6 +34,11 @@ def docs(spark, folder):
 WHOLE = sentences.SentenceEnds(tuple(SHORT), (*STARTERS, "he", "she"))
 
 
+def test_proxies_know_every_word(spark, folder, docs):
+    found = all_queries()["learned_quality_proxies"](spark, folder).first()
+    assert tuple(found) == pytest.approx(tuple(corpus.quality_proxies(docs, ends=WHOLE).first()), abs=1e-6)
+
+
 def test_scores_know_every_word(spark, folder, docs):
     pairs = docs.selectExpr("doc_id AS idx", "text AS instruction", "text AS response")
     wanted = quality.score_components(pairs, ends=WHOLE).select("idx", F.col("response_quality").alias("wanted"))
