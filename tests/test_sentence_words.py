@@ -34,6 +34,13 @@ def docs(spark, folder):
 WHOLE = sentences.SentenceEnds(tuple(SHORT), (*STARTERS, "he", "she"))
 
 
+def test_every_starter_is_kept_and_sentences_are_cut_there(spark, folder, docs):
+    learned = sentences.learn(docs)
+    assert set(STARTERS) <= set(learned.starters) and set(learned.abbreviations) == set(SHORT)
+    cut = all_queries()["learned_sentences"](spark, folder)
+    assert [tuple(r) for r in cut.groupBy("sentences").count().collect()] == [(15, len(STARTERS))]
+
+
 def test_proxies_know_every_word(spark, folder, docs):
     found = all_queries()["learned_quality_proxies"](spark, folder).first()
     assert tuple(found) == pytest.approx(tuple(corpus.quality_proxies(docs, ends=WHOLE).first()), abs=1e-6)
