@@ -22,8 +22,6 @@ from corpusmill.session import keep
 MARK = "\ufdd0"
 #: A word is an abbreviation, or a sentence starter, from this score on.
 ABBREVIATION, STARTER = 0.3, 30.0
-#: The strongest abbreviations that are given where the caller names no number; languages have a few hundred.
-MOST = 2000
 
 WORD = r"^\p{L}(?:[\p{L}.]*\p{L})?$"
 FIRST_WORD = r"^\p{L}+"
@@ -143,7 +141,7 @@ def _strongest(scores: DataFrame, least: float, most: int | None) -> tuple[str,
     return tuple(r.word for r in sorted(rows.collect(), key=lambda r: (-r.score, r.word)))
 
 
-def abbreviations(df: DataFrame, text: str = "text", most: int | None = MOST) -> tuple[str, ...]:
+def abbreviations(df: DataFrame, text: str = "text", most: int | None = None) -> tuple[str, ...]:
     """The abbreviations of a corpus; they reach the driver."""
     return _strongest(abbreviation_scores(df, text), ABBREVIATION, most)
 

@@ -34,6 +34,12 @@ def docs(spark, folder):
 WHOLE = sentences.SentenceEnds(tuple(SHORT), (*STARTERS, "he", "she"))
 
 
+def test_every_abbreviation_is_kept(spark, folder, docs):
+    assert set(sentences.abbreviations(docs)) == set(SHORT)
+    found = {r.word: r.after_end for r in all_queries()["sentence_starters"](spark, folder).collect()}
+    assert set(STARTERS) <= set(found) and "four" not in found  # it follows abbreviations only
+
+
 def test_every_starter_is_kept_and_sentences_are_cut_there(spark, folder, docs):
     learned = sentences.learn(docs)
     assert set(STARTERS) <= set(learned.starters) and set(learned.abbreviations) == set(SHORT)
